@@ -77,8 +77,6 @@ def chi2_sf(x: float, dof: int) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-
-
 def chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(float(a), int(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, dof)])
 

@@ -114,8 +114,6 @@ def lateness_band(
 
 
 @cache
-
-
 def py_whitespace() -> str:
     """Characters Python's ``str.strip()`` removes: those with ``str.isspace()``.
 

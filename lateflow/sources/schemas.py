@@ -94,8 +94,6 @@ GEOLOCATION = _schema(
 
 
 @dataclass(frozen=True)
-
-
 class TableSpec:
     """One entry of the load plan: source file, target table, typed schema.
 
@@ -168,8 +166,6 @@ NA_TOKENS = (
 
 
 @dataclass(frozen=True)
-
-
 class RawModel:
     """The raw layer as DataFrames. Payments and geolocation are loaded and
     checked by the reference but joined by no analysis, so they are optional."""

@@ -149,8 +149,6 @@ def derive_translation(part: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-
-
 class TpchSource:
     spark: SparkSession
     sf_dir: str
