@@ -2,11 +2,11 @@
 
 Plan shape of ``fact_orders`` (see README, "Plans"):
 
-* items are aggregated to order grain **once** -- binding seller, line count,
-  distinct sellers / SKUs and money sums come out of one ``groupBy(order_id)``
-  with map-side partial aggregation; the binding seller is
-  ``max(struct(limit, item, seller, product))`` rather than a window, so a hot
-  order never has to be sorted inside one task;
+* items are aggregated to order grain with map-side partial aggregation:
+  the binding seller is ``max(struct(limit, item, seller, product))`` rather
+  than a window, so a hot order never has to be sorted inside one task; line
+  count, distinct sellers / SKUs and money sums are a second, hash-based
+  aggregation (money as integer cents);
 * the latest review per order is the same trick over reviews;
 * orders, the item rollup and the review rollup all meet on ``order_id`` --
   one co-partitioned join stage; customers and sellers join afterwards on
@@ -22,6 +22,8 @@ contributes no columns is removed by the optimizer.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,39 +90,43 @@ def binding_seller(items: DataFrame) -> DataFrame:
 
 
 def order_composition(items: DataFrame) -> DataFrame:
-    """lines, distinct sellers, distinct SKUs, item value and freight per order."""
-    return items.groupBy("order_id").agg(*_composition_aggs())
-
-
-def _composition_aggs():
-    return (
+    """lines, distinct sellers, distinct SKUs, item value and freight per order.
+
+    Money is summed as integer cents (BIGINT) and turned back into
+    DECIMAL(22,2) after the aggregation: a DECIMAL(22,2) sum buffer is not
+    fixed-width, which would force a sort-based aggregation. The two
+    distinct counts plan as one Expand + two-level hash aggregation keyed by
+    (order, seller | product), so a hot order is spread over many tasks
+    before its final merge.
+    """
+    agg = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.count_distinct("seller_id").alias("seller_count"),
         F.count_distinct("product_id").alias("distinct_skus"),
-        F.sum("price").cast("decimal(22,2)").alias("item_value"),
-        F.sum("freight_value").cast("decimal(22,2)").alias("freight_value"),
+        F.sum(_cents("price")).alias("_value_cents"),
+        F.sum(_cents("freight_value")).alias("_freight_cents"),
+    )
+    return agg.select(
+        "order_id",
+        "line_count",
+        "seller_count",
+        "distinct_skus",
+        _from_cents("_value_cents").alias("item_value"),
+        _from_cents("_freight_cents").alias("freight_value"),
     )
 
 
+def _cents(c: str):
+    return (F.col(c) * 100).cast("bigint")
+
+
+def _from_cents(c: str):
+    return (F.col(c).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(22,2)")
+
+
 def order_item_rollup(items: DataFrame) -> DataFrame:
-    """F1 + F2 in one aggregation (one shuffle of the item table)."""
-    return (
-        items.groupBy("order_id")
-        .agg(
-            F.max(F.struct("shipping_limit_date", "order_item_id", "seller_id", "product_id")).alias("_b"),
-            *_composition_aggs(),
-        )
-        .select(
-            "order_id",
-            F.col("_b.seller_id").alias("seller_id"),
-            F.col("_b.shipping_limit_date").alias("shipping_limit_date"),
-            "line_count",
-            "seller_count",
-            "distinct_skus",
-            "item_value",
-            "freight_value",
-        )
-    )
+    """F1 + F2 side by side (both grouped by order_id, joined co-partitioned)."""
+    return binding_seller(items).join(order_composition(items), "order_id", "inner")
 
 
 def latest_review(reviews: DataFrame, policy: str = "latest") -> DataFrame:
@@ -189,8 +195,11 @@ def fact_orders(
     delivered = orders.filter(
         (F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull()
     )
+    # Each rollup is unique on order_id, so a question that reads none of a
+    # rollup's columns drops that left join (and its aggregation) entirely.
     joined = (
-        delivered.join(order_item_rollup(items), "order_id", "left")
+        delivered.join(binding_seller(items), "order_id", "left")
+        .join(order_composition(items), "order_id", "left")
         .join(latest_review(reviews, "latest"), "order_id", "left")
         .join(customers.select("customer_id", "customer_state"), "customer_id", "left")
         .join(sellers.select("seller_id", "seller_state", "seller_city"), "seller_id", "left")
