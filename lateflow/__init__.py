@@ -1,0 +1,10 @@
+"""lateflow: fulfillment-defect analytics as Spark DataFrame jobs.
+
+Subpackages: ``sources`` (schemas, CSV ingest, test-table mapping),
+``functions`` (column expressions, exact rounding, chi-square tail),
+``operators`` (facts, questions, Pareto, diagnostics, quality checks),
+``plans`` (named jobs, SQL oracle, fact materialisation), ``streaming``
+(intentionally empty: the analysed workload has no streams).
+"""
+
+__version__ = "0.1.0"

@@ -1,0 +1 @@
+"""Column expressions, exact rounding and the chi-square tail probability."""

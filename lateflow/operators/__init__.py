@@ -1,0 +1 @@
+"""Fact builds, root-cause questions, Pareto, diagnostics and quality checks."""

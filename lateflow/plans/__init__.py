@@ -1,0 +1 @@
+"""Named jobs, the SQL oracle and fact materialisation."""

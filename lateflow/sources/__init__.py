@@ -1,0 +1 @@
+"""Raw-layer schemas, CSV ingest and the test-table mapping."""

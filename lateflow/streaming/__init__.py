@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is a batch pipeline -- a full-refresh load, two fact
+builds and a set of root-cause questions. It has no streams, event-time
+windows, watermarks or state, so no streaming operator is provided; "late"
+in this library means a late *delivery*, not late-arriving data.
+"""
