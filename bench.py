@@ -1,16 +1,18 @@
-"""Benchmark: build the facts, then run every question over them.
+"""Benchmark: load the raw layer, build the facts, run every question.
 
 Environment:
   BENCH_SF_DIR  input tables (default /root/testdata/sf0.1)
   BENCH_CPUS    local[N] executor threads (default 8)
   BENCH_REPEAT  warm runs per question; the median is reported (default 3)
 
-Timings (seconds):
-  build_fact_orders / build_fact_lines -- derive the raw model from the input
-      tables, build each fact and write it as parquet under the session's
-      spark.checkpoint.dir (the reference's SELECT INTO step);
-  e2e_q3_from_raw -- the flagship question planned from the raw tables in one
-      job (no stored fact);
+Timings (seconds), following the reference's flow (load raw -> build facts ->
+questions), everything written under the session's spark.checkpoint.dir:
+  load_raw -- derive the raw order model from the input tables and store it
+      as parquet (the reference's raw-table load);
+  build_fact_orders / build_fact_lines -- build each fact from the stored raw
+      layer and write it (the reference's SELECT INTO step);
+  e2e_q3_from_raw -- the flagship question planned from the stored raw layer
+      in one job (fact build included, no stored fact);
   every other key -- one question over the stored facts (or, for raw-layer
       checks, over the raw model), results collected to the driver (all are
       small reports).
@@ -33,7 +35,8 @@ from lateflow.operators import diagnostics as T  # noqa: E402
 from lateflow.operators import pareto as P  # noqa: E402
 from lateflow.operators import quality as V  # noqa: E402
 from lateflow.operators import questions as Q  # noqa: E402
-from lateflow.plans.materialize import build_fact_lines, build_fact_orders, Facts  # noqa: E402
+from lateflow.operators.facts import fact_orders_from  # noqa: E402
+from lateflow.plans.materialize import Facts, build_fact_lines, build_fact_orders, store_raw  # noqa: E402
 from lateflow.plans.registry import JOBS, MONTHLY_GATE  # noqa: E402
 from lateflow.session import checkpoint_root, get_session, scratch_path  # noqa: E402
 from lateflow.sources.testmap import raw_model  # noqa: E402
@@ -57,13 +60,20 @@ def main() -> None:
     )
     checkpoint_root(spark, fallback=tempfile.mkdtemp(prefix="lateflow-bench-ckpt-"))
     root = scratch_path(spark, "bench")
-    raw = raw_model(spark, sf_dir)
+    source = raw_model(spark, sf_dir)
     facts = Facts(f"{root}/fact_order_fulfillment", f"{root}/fact_order_lines")
 
     times: dict[str, float] = {}
     # Warm-up: JIT and file listing, not reported.
     JOBS["q3_lane_sla"](spark, sf_dir).collect()
 
+    raw_runs = []
+    for i in range(repeat):
+        t0 = time.perf_counter()
+        raw = store_raw(spark, source, f"{root}/raw{i}")
+        raw_runs.append(time.perf_counter() - t0)
+    times["load_raw"] = round(statistics.median(raw_runs), 4)
+
     builds = {
         "build_fact_orders": lambda: build_fact_orders(raw, facts.orders_path),
         "build_fact_lines": lambda: build_fact_lines(spark, raw, facts.orders_path, facts.lines_path),
@@ -75,7 +85,7 @@ def main() -> None:
     lines = facts.lines(spark)
     items, reviews = raw.order_items, raw.order_reviews
     questions = {
-        "e2e_q3_from_raw": lambda: JOBS["q3_lane_sla"](spark, sf_dir),
+        "e2e_q3_from_raw": lambda: Q.lane_sla(fact_orders_from(raw)),
         "q0a_status_mix": lambda: Q.status_mix(raw.orders),
         "q0b_late_rate": lambda: Q.late_rate(raw.orders),
         "v5_fact_summary": lambda: Q.fact_orders_summary(fact),
@@ -96,14 +106,21 @@ def main() -> None:
         "t5_spike_months": lambda: T.spike_months(fact, min_orders=MONTHLY_GATE),
         "t6_right_censoring": lambda: T.right_censoring(raw.orders),
         "v3_orphans": lambda: V.orphan_check(items, raw.orders, "order_id"),
-        "v4_keys": lambda: JOBS["key_check"](spark, sf_dir),
+        "v4_keys": lambda: V.key_check(
+            {
+                "orders": (raw.orders, "order_id"),
+                "customers": (raw.customers, "customer_id"),
+                "products": (raw.products, "product_id"),
+                "sellers": (raw.sellers, "seller_id"),
+            }
+        ),
     }
     for name, build in questions.items():
         build().collect()  # warm
         times[name] = round(statistics.median(timed(lambda: build().collect()) for _ in range(repeat)), 4)
 
     out = {
-        "metric": "total_sec_fact_build_plus_questions",
+        "metric": "total_sec_load_build_questions",
         "value": round(sum(times.values()), 4),
         "unit": "sec",
         "queries": times,

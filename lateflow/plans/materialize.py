@@ -1,5 +1,10 @@
-"""Materialise the two facts (I13, I14, I16) the way the reference's
-SELECT INTO does, as parquet in a shared folder.
+"""Materialise the raw layer and the two facts (I9, I13, I14, I16) as parquet
+in a shared folder, the way the reference loads raw tables and then builds
+its facts with SELECT INTO.
+
+Raw tables are written with a REBALANCE hint on their key: AQE sizes the
+output partitions (splitting a hot key, merging small ones), so later scans
+run in parallel whatever the layout of the source files was.
 
 Layout: rows are range-partitioned on (purchase_date, order_id) -- order_id
 splits a hot day across tasks -- sorted by purchase_date inside each task, and
@@ -47,6 +52,34 @@ def write_dated(df: DataFrame, path: str, partitions: int | None = None, by_mont
     writer.parquet(path)
 
 
+# Key of each raw table (the reference's primary keys; items and reviews
+# follow their order).
+RAW_KEYS = {
+    "orders": "order_id",
+    "order_items": "order_id",
+    "order_reviews": "order_id",
+    "customers": "customer_id",
+    "sellers": "seller_id",
+    "products": "product_id",
+    "product_category_translation": "product_category_name",
+    "order_payments": "order_id",
+    "geolocation": "geolocation_zip_code_prefix",
+}
+
+
+def store_raw(spark: SparkSession, raw: RawModel, root: str) -> RawModel:
+    """Write every table of ``raw`` under ``root`` (overwrite) and return the
+    stored tables as a new ``RawModel``."""
+    stored = {}
+    for name, df in raw.tables().items():
+        path = f"{root.rstrip('/')}/{name}"
+        df.hint("rebalance", RAW_KEYS[name]).write.mode("overwrite").option(
+            "maxRecordsPerFile", MAX_RECORDS_PER_FILE
+        ).parquet(path)
+        stored[name] = spark.read.parquet(path)
+    return RawModel(**stored)
+
+
 @dataclass(frozen=True)
 class Facts:
     orders_path: str
