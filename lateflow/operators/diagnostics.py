@@ -29,6 +29,14 @@ def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
     return df.groupBy(row, col).agg(F.count(F.lit(1)).alias("observed"))
 
 
+def contingency_wide(df: DataFrame, row: str, col: str, levels: list | None = None) -> DataFrame:
+    """The r x c table for display: one row per ``row`` level, one column per
+    ``col`` level (0 where a pair is absent). Pass ``levels`` to skip the job
+    that discovers the distinct ``col`` values."""
+    wide = df.groupBy(row).pivot(col, levels).agg(F.count(F.lit(1)))
+    return wide.fillna(0).orderBy(row)
+
+
 def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra: dict | None = None) -> DataFrame:
     """One-row chi-square test of independence between two categorical columns.
 

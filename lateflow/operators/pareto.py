@@ -95,6 +95,20 @@ def _local_prefix(value_col: str):
     return run
 
 
+def _ensure_checkpoint_dir(spark) -> None:
+    """Checkpoints go to the shared folder the session names in
+    spark.checkpoint.dir; only a local-mode session without one gets a
+    temporary folder (never a cluster: its executors could not share it)."""
+    import tempfile
+
+    from lateflow.session import checkpoint_root
+
+    if spark.sparkContext.getCheckpointDir():
+        return
+    local = spark.sparkContext.master.startswith("local")
+    checkpoint_root(spark, fallback=tempfile.mkdtemp(prefix="lateflow-ckpt-") if local else None)
+
+
 def prefix_rank(df: DataFrame, order_cols: list, value_col: str, checkpoint: bool = True) -> DataFrame:
     """Global 1-based row number ``_rank`` and running sum ``_cum`` of ``value_col``
     in the total order ``order_cols``, without a single-partition window.
@@ -104,6 +118,7 @@ def prefix_rank(df: DataFrame, order_cols: list, value_col: str, checkpoint: boo
     """
     ordered = df.orderBy(*order_cols)
     if checkpoint:
+        _ensure_checkpoint_dir(df.sparkSession)
         # Reliable checkpoint into spark.checkpoint.dir: partitions and their
         # order are fixed for the two reads below, and survive lost executors.
         ordered = ordered.checkpoint(eager=True)

@@ -75,7 +75,12 @@ def typed(c: Column, dtype: T.DataType) -> Column:
         as_dec = c.try_cast("decimal(38,6)")
         integral = as_dec == F.floor(as_dec)
         return F.when(integral, as_dec.try_cast(dtype.simpleString()))
-    return c.try_cast(dtype.simpleString())
+    value = c.try_cast(dtype.simpleString())
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        # NaN spelled in a case the NA tokens miss still becomes NULL, never a
+        # NaN that would sort above every number in max().
+        return F.when(~F.isnan(value), value)
+    return value
 
 
 def clean_columns(spec: TableSpec) -> tuple[list[Column], dict[str, Column]]:

@@ -106,3 +106,12 @@ def test_clean_text_matches_python_strip(spark):
     na = {"NA", "null", ""}
     want = [None if (s in na or s.strip() == "") else s.strip() for s in samples]
     assert got == want
+
+
+def test_nan_spellings_become_null(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([("NAN",), ("nAn",), ("1.5",)], "v string")
+    got = [r[0] for r in df.select(ingest.typed(ingest.clean_text(F.col("v")), T.DoubleType())).collect()]
+    assert got == [None, None, 1.5]

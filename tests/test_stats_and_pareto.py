@@ -87,3 +87,9 @@ def test_pareto_report_is_prefix_of_full_curve(spark):
             f["cum_pct_of_all_defects"],
             f["pct_of_sellers"],
         )
+
+
+def test_contingency_wide_fills_missing_pairs(spark):
+    df = _table(spark, {("a", "x"): 2, ("b", "y"): 1})
+    rows = [tuple(r) for r in diagnostics.contingency_wide(df, "row", "col", ["x", "y"]).collect()]
+    assert rows == [("a", 2, 0), ("b", 0, 1)]
