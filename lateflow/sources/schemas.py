@@ -187,3 +187,30 @@ class RawModel:
             if df is not None:
                 out[f.name] = df
         return out
+
+
+# Case- and trailing-blank-insensitive, accent-sensitive: the comparison
+# semantics of the reference database's default collation.
+CI_RTRIM = "UTF8_LCASE_RTRIM"
+
+
+def with_collation(raw: RawModel, collation: str = CI_RTRIM) -> RawModel:
+    """Opt-in: give every string column of the raw model ``collation``.
+
+    Spark compares, joins and groups strings byte-wise by default ('SP' <>
+    'sp', 'a' <> 'a '). With a collated raw layer every downstream equality,
+    join key, filter and GROUP BY follows the collation instead (Spark plans
+    joins on collation keys), while the stored text is unchanged.
+    """
+    from pyspark.sql import functions as F
+
+    def collate(df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        cols = [
+            F.collate(F.col(f.name), collation).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+            for f in df.schema.fields
+        ]
+        return df.select(*cols)
+
+    return RawModel(**{f.name: collate(getattr(raw, f.name)) for f in fields(raw)})

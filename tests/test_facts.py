@@ -177,3 +177,19 @@ def test_dim_date_spans_purchase_dates(spark):
     days = facts.dim_date(df).collect()
     assert [str(r["date"]) for r in days] == ["2018-01-30", "2018-01-31", "2018-02-01", "2018-02-02"]
     assert days[2]["month_start"].isoformat() == "2018-02-01" and days[2]["weekday"] == "Thursday"
+
+
+def test_opt_in_collation_matches_case_and_trailing_blanks(spark, raw):
+    from lateflow.sources.schemas import with_collation
+
+    mixed = RawModel(
+        **{
+            **{f: getattr(raw, f) for f in ("orders", "order_items", "order_reviews", "products", "product_category_translation")},
+            "customers": spark.createDataFrame([("c1", "u1", None, "x", "sp "), ("c2", "u2", None, "y", "RJ")], CUSTOMERS),
+            "sellers": spark.createDataFrame([("s1", None, "a", "SP"), ("s2", None, "b", "mg")], SELLERS),
+        }
+    )
+    binary = {r["order_id"]: r["shipping_lane"] for r in facts.fact_orders_from(mixed).collect()}
+    collated = {r["order_id"]: r["shipping_lane"] for r in facts.fact_orders_from(with_collation(mixed)).collect()}
+    assert binary["o1"] == "Inter-state"  # 'SP' vs 'sp ' differ byte-wise
+    assert collated["o1"] == "Intra-state"
