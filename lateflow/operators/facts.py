@@ -8,9 +8,10 @@ Plan shape of ``fact_orders`` (see README, "Plans"):
   count, distinct sellers / SKUs and money sums are a second, hash-based
   aggregation (money as integer cents);
 * the latest review per order is the same trick over reviews;
-* orders, the item rollup and the review rollup all meet on ``order_id`` --
-  one co-partitioned join stage; customers and sellers join afterwards on
-  their own keys. Small dimension sides become broadcasts through Spark's own
+* customers join the orders and sellers join the per-order binding seller
+  (narrow rows, shuffled on their own keys); then orders, binding,
+  composition and review rollups all meet on ``order_id`` in one
+  co-partitioned join stage, so the wide fact row is never re-shuffled. Small dimension sides become broadcasts through Spark's own
   size check (``autoBroadcastJoinThreshold`` and AQE's runtime statistics),
   never by an unconditional hint, and fall back to sort-merge joins beyond it;
   AQE splits a skewed key's partition.
@@ -195,14 +196,19 @@ def fact_orders(
     delivered = orders.filter(
         (F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull()
     )
-    # Each rollup is unique on order_id, so a question that reads none of a
-    # rollup's columns drops that left join (and its aggregation) entirely.
+    # Narrow rows cross the wire: customers meet the orders (by customer_id),
+    # sellers meet the per-order binding seller (by seller_id); then every
+    # part is on order_id and the final joins are co-partitioned. Rollups
+    # are unique on order_id, so a question that reads none of a rollup's
+    # columns drops that left join (and its aggregation) entirely.
+    base = delivered.join(customers.select("customer_id", "customer_state"), "customer_id", "left")
+    attributed = binding_seller(items).join(
+        sellers.select("seller_id", "seller_state", "seller_city"), "seller_id", "left"
+    )
     joined = (
-        delivered.join(binding_seller(items), "order_id", "left")
+        base.join(attributed, "order_id", "left")
         .join(order_composition(items), "order_id", "left")
         .join(latest_review(reviews, "latest"), "order_id", "left")
-        .join(customers.select("customer_id", "customer_state"), "customer_id", "left")
-        .join(sellers.select("seller_id", "seller_state", "seller_city"), "seller_id", "left")
     )
     ts = F.col("order_purchase_timestamp")
     fact = joined.withColumns(
