@@ -11,14 +11,16 @@ Plan shape of ``fact_orders`` (see README, "Plans"):
 * customers join the orders and sellers join the per-order binding seller
   (narrow rows, shuffled on their own keys); then orders, binding,
   composition and review rollups all meet on ``order_id`` in one
-  co-partitioned join stage, so the wide fact row is never re-shuffled. Small dimension sides become broadcasts through Spark's own
-  size check (``autoBroadcastJoinThreshold`` and AQE's runtime statistics),
-  never by an unconditional hint, and fall back to sort-merge joins beyond it;
-  AQE splits a skewed key's partition.
-
-Unused joins disappear: a question that reads no seller column never joins
-sellers, because a left join to a side that is unique on the key and
-contributes no columns is removed by the optimizer.
+  co-partitioned join stage, so the wide fact row is never re-shuffled;
+* small dimension sides become broadcasts through Spark's own size check
+  (``autoBroadcastJoinThreshold`` and AQE's runtime statistics), never by
+  an unconditional hint, and stay sort-merge joins beyond it; AQE splits a
+  skewed key's partition.
+
+Unused rollups disappear: each rollup is an aggregation unique on
+``order_id``, so a question that reads none of its columns drops the left
+join and the aggregation (Q7, for example, never computes the composition).
+Customer and seller joins stay, because parquet declares no key uniqueness.
 """
 
 from __future__ import annotations
