@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lateflow.functions.chisq import p_value
-from lateflow.functions.exact import RATE_SCALE, WIDE, pct, rate_scaled, round_ratio
+from lateflow.functions.exact import RATE_SCALE, WIDE, pct, round_ratio
 from lateflow.functions.expr import month_start
 from lateflow.operators.facts import latest_review
 
@@ -340,6 +340,6 @@ __all__ = [
     "recoverable_defects",
     "size_profile",
     "spike_months",
+    "contingency_wide",
     "right_censoring",
-    "rate_scaled",
 ]

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from lateflow.functions.exact import (
     RATE_SCALE,
-    from_scaled,
     mean,
     mean_hours,
     pct,
@@ -309,5 +308,4 @@ __all__ = [
     "category_profile",
     "lateness_bands",
     "sourcing_profile",
-    "from_scaled",
 ]
