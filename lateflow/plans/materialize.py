@@ -29,10 +29,6 @@ from lateflow.operators.facts import fact_lines, fact_orders_from
 from lateflow.sources.schemas import RawModel
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # Upper bound on rows per output file, whatever the partition count.
 MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -40,12 +36,13 @@ MAX_RECORDS_PER_FILE = 5_000_000
 def write_dated(df: DataFrame, path: str, partitions: int | None = None, by_month: bool = True) -> None:
     """Range-partition on (purchase_date, order_id), sort by date, write parquet.
 
-    ``partitions`` defaults to ``spark.sql.shuffle.partitions``: size it (or
-    the session setting) so that one partition fits an executor at the target
-    scale; files are additionally capped at ``MAX_RECORDS_PER_FILE`` rows.
+    Without ``partitions`` the range exchange uses the session's shuffle
+    partitions and AQE may coalesce small ones; an explicit count is kept as
+    given. Files are capped at ``MAX_RECORDS_PER_FILE`` rows either way.
     """
-    n = partitions or _partitions(df.sparkSession)
-    laid = df.repartitionByRange(n, F.col("purchase_date"), F.col("order_id")).sortWithinPartitions("purchase_date")
+    keys = (F.col("purchase_date"), F.col("order_id"))
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    laid = ranged.sortWithinPartitions("purchase_date")
     writer = laid.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if by_month and "purchase_month" in df.columns:
         writer = writer.partitionBy("purchase_month")
