@@ -8,7 +8,8 @@ window sends the whole table through one task. Two distributed forms:
     ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject -- each task
     keeps its own top k and only k rows per task meet -- and the windows then
     run over those k rows. Table totals (late deliveries, seller count) are
-    scalar subqueries over the qualifying sellers.
+    scalar subqueries over the qualifying sellers; Catalyst merges them and
+    reuses the seller aggregation's exchange, so the fact is scanned once.
 
 ``pareto_full_curve`` (every qualifying seller)
     A distributed prefix sum: a global sort (range-partitioned), written to

@@ -10,8 +10,9 @@ Scale notes
 * Grouped questions (Q1, Q3, Q7, Q8) are one hash aggregation with map-side
   partials: the shuffle carries one partial row per group per task.
 * Totals that the reference takes with ``SUM(..) OVER ()`` over a whole
-  table are scalar subqueries (``DataFrame.scalar()``): one extra aggregate,
-  no single-partition window over the data.
+  table are scalar subqueries (``DataFrame.scalar()``) over the already
+  grouped rows, so Spark reuses the grouping's exchange (one scan of the
+  input) and no single-partition window ever sees the data.
 * Windows without PARTITION BY run only on inputs bounded by a small domain
   -- months (Q4), states (Q5) or the ``top`` rows of a report (Q2) -- never
   on per-order or per-seller data.
