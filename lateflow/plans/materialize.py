@@ -64,17 +64,27 @@ RAW_KEYS = {
 }
 
 
-def store_raw(spark: SparkSession, raw: RawModel, root: str) -> RawModel:
+def store_raw(spark: SparkSession, raw: RawModel, root: str, parallel: int = 4) -> RawModel:
     """Write every table of ``raw`` under ``root`` (overwrite) and return the
-    stored tables as a new ``RawModel``."""
-    stored = {}
-    for name, df in raw.tables().items():
+    stored tables as a new ``RawModel``.
+
+    The tables are independent jobs, submitted from ``parallel`` driver
+    threads so small tables do not wait behind big ones; Spark schedules
+    their tasks side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(item):
+        name, df = item
         path = f"{root.rstrip('/')}/{name}"
         df.hint("rebalance", RAW_KEYS[name]).write.mode("overwrite").option(
             "maxRecordsPerFile", MAX_RECORDS_PER_FILE
         ).parquet(path)
-        stored[name] = spark.read.parquet(path)
-    return RawModel(**stored)
+        return name, path
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        paths = dict(pool.map(write, raw.tables().items()))
+    return RawModel(**{name: spark.read.parquet(path) for name, path in paths.items()})
 
 
 @dataclass(frozen=True)
