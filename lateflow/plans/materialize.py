@@ -6,13 +6,11 @@ Raw tables are written with a REBALANCE hint on their key: AQE sizes the
 output partitions (splitting a hot key, merging small ones), so later scans
 run in parallel whatever the layout of the source files was.
 
-Layout: rows are range-partitioned on (purchase_date, order_id) -- order_id
-splits a hot day across tasks -- sorted by purchase_date inside each task, and
-written under ``purchase_month=`` directories. Each task therefore writes a
-contiguous date range into one or two month folders (few files), range
-filters on dates prune whole months, and parquet min/max statistics on
-purchase_date prune row groups inside a month. ``mode("overwrite")`` replaces
-the previous build (full refresh).
+Fact layout: rows are rebalanced by month (AQE splits a hot month, merges
+small ones), sorted by purchase_date inside each task, and written under
+``purchase_month=`` directories: date filters prune whole months, and
+parquet min/max statistics on purchase_date prune row groups inside a month.
+``mode("overwrite")`` replaces the previous build (full refresh).
 
 Reading the written table back cuts the lineage: questions run over stored
 facts, and a lost executor costs a re-read, not a rebuild from raw.
@@ -33,18 +31,20 @@ from lateflow.sources.schemas import RawModel
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def write_dated(df: DataFrame, path: str, partitions: int | None = None, by_month: bool = True) -> None:
-    """Range-partition on (purchase_date, order_id), sort by date, write parquet.
+def write_dated(df: DataFrame, path: str, by_month: bool = True) -> None:
+    """Lay rows out by date and write parquet (overwrite).
 
-    Without ``partitions`` the range exchange uses the session's shuffle
-    partitions and AQE may coalesce small ones; an explicit count is kept as
-    given. Files are capped at ``MAX_RECORDS_PER_FILE`` rows either way.
+    A REBALANCE on the month (or, without month folders, the date) gathers
+    each period's rows; AQE splits a hot period into advisory-size pieces
+    and merges small ones -- no sampling pass, no fixed partition count.
+    Rows are sorted by date inside each file (parquet min/max statistics then
+    prune row groups) and files are capped at ``MAX_RECORDS_PER_FILE`` rows.
     """
-    keys = (F.col("purchase_date"), F.col("order_id"))
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    laid = ranged.sortWithinPartitions("purchase_date")
+    monthly = by_month and "purchase_month" in df.columns
+    key = "purchase_month" if monthly else "purchase_date"
+    laid = df.hint("rebalance", key).sortWithinPartitions(key, "purchase_date")
     writer = laid.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-    if by_month and "purchase_month" in df.columns:
+    if monthly:
         writer = writer.partitionBy("purchase_month")
     writer.parquet(path)
 
@@ -99,19 +99,19 @@ class Facts:
         return spark.read.parquet(self.lines_path)
 
 
-def build_fact_orders(raw: RawModel, path: str, partitions: int | None = None) -> None:
-    write_dated(fact_orders_from(raw), path, partitions)
+def build_fact_orders(raw: RawModel, path: str) -> None:
+    write_dated(fact_orders_from(raw), path)
 
 
-def build_fact_lines(spark: SparkSession, raw: RawModel, orders_path: str, path: str, partitions: int | None = None) -> None:
+def build_fact_lines(spark: SparkSession, raw: RawModel, orders_path: str, path: str) -> None:
     fact = spark.read.parquet(orders_path)
     lines = fact_lines(raw.order_items, fact, raw.products, raw.product_category_translation)
-    write_dated(lines, path, partitions, by_month=False)
+    write_dated(lines, path, by_month=False)
 
 
-def build_facts(spark: SparkSession, raw: RawModel, root: str, partitions: int | None = None) -> Facts:
+def build_facts(spark: SparkSession, raw: RawModel, root: str) -> Facts:
     """Build and store both facts under ``root``; return their locations."""
     facts = Facts(f"{root.rstrip('/')}/fact_order_fulfillment", f"{root.rstrip('/')}/fact_order_lines")
-    build_fact_orders(raw, facts.orders_path, partitions)
-    build_fact_lines(spark, raw, facts.orders_path, facts.lines_path, partitions)
+    build_fact_orders(raw, facts.orders_path)
+    build_fact_lines(spark, raw, facts.orders_path, facts.lines_path)
     return facts

@@ -18,7 +18,7 @@ def plan(df) -> str:
 @pytest.fixture(scope="module")
 def stored_fact(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("fact") / "fact_order_fulfillment")
-    build_fact_orders(Model(spark, SF001).raw, path, partitions=4)
+    build_fact_orders(Model(spark, SF001).raw, path)
     return spark.read.parquet(path)
 
 
