@@ -109,3 +109,23 @@ def test_strip_text_uses_python_whitespace(spark):
 
     s = "   x 　\x1c"
     assert _one(spark, strip_text(F.col("v")), "v string", (s,)) == s.strip()
+
+
+def test_lateness_band_matches_python_reference(spark):
+    import random
+
+    def ref(is_late, days):
+        if is_late == 0:
+            return BAND_LABELS[0]
+        if days == 0:
+            return BAND_LABELS[1]
+        for label, lo, hi in ((BAND_LABELS[2], 1, 3), (BAND_LABELS[3], 4, 7), (BAND_LABELS[4], 8, 14)):
+            if days is not None and lo <= days <= hi:
+                return label
+        return BAND_LABELS[5]
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice([0, 1]), rnd.choice([None] + list(range(-20, 40)))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "is_late int, days_late int")
+    got = [r[0] for r in df.select(lateness_band()).collect()]
+    assert got == [ref(a, b) for a, b in rows]

@@ -53,3 +53,17 @@ def test_money_sums_are_hash_aggregated(spark):
     m = Model(spark, SF001)
     p = plan(facts.order_composition(m.raw.order_items))
     assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+# The only Python in any job: the chi-square tail on its one-row result, and
+# the per-partition running sums of the full Pareto curve.
+ALLOWED_PYTHON = {"chi_square_test": "ArrowEvalPython", "pareto_full_curve": "MapInPandas"}
+
+
+def test_jobs_stay_on_the_jvm(spark):
+    for name, job in JOBS.items():
+        p = plan(job(spark, SF001))
+        found = {n for n in PYTHON_NODES if n in p}
+        allowed = {ALLOWED_PYTHON[name]} if name in ALLOWED_PYTHON else set()
+        assert found <= allowed, (name, found)
