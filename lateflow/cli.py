@@ -4,10 +4,13 @@
     python -m lateflow.cli checks    --raw RAW_DIR
     python -m lateflow.cli build     --raw RAW_DIR --facts FACT_DIR
     python -m lateflow.cli questions --raw RAW_DIR --facts FACT_DIR [--monthly-gate N]
+    python -m lateflow.cli sql       --raw RAW_DIR --facts FACT_DIR --query "SELECT ..."
 
 ``load`` is the CSV ingest (full refresh, load report); ``checks`` the
 row-count, schema, orphan and key checks; ``build`` writes both facts and
-prints their summaries; ``questions`` prints every root-cause report. Each
+prints their summaries; ``questions`` prints every root-cause report;
+``sql`` registers the stored layers as ``raw.*`` / ``analytics.*`` tables and
+runs a SQL statement written against the reference's schema. Each
 step is one or more Spark jobs; only the small reports reach the driver.
 Paths may be any file system the session can read (local, HDFS, object
 store); on a cluster pass the cluster's own master and settings through
@@ -99,6 +102,13 @@ def cmd_questions(spark, args) -> None:
         _show(title, df)
 
 
+def cmd_sql(spark, args) -> None:
+    from lateflow.plans.catalog import register_tables
+
+    register_tables(spark, args.raw, args.facts)
+    _show("result", spark.sql(args.query))
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="lateflow")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -114,10 +124,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--raw", required=True)
     p.add_argument("--facts", required=True)
     p.add_argument("--monthly-gate", type=int, default=100)
+    p = sub.add_parser("sql", help="run SQL against raw.* and analytics.* tables")
+    p.add_argument("--raw", required=True)
+    p.add_argument("--facts", required=True)
+    p.add_argument("--query", required=True)
     ap.add_argument("--master", default=None, help="Spark master (default: the session's)")
     args = ap.parse_args(argv)
     spark = get_session(master=args.master, app_name=f"lateflow-{args.cmd}")
-    {"load": cmd_load, "checks": cmd_checks, "build": cmd_build, "questions": cmd_questions}[args.cmd](spark, args)
+    commands = {"load": cmd_load, "checks": cmd_checks, "build": cmd_build, "questions": cmd_questions, "sql": cmd_sql}
+    commands[args.cmd](spark, args)
     return 0
 
 

@@ -62,3 +62,28 @@ def test_cli_round_trip(spark, tmpdir_path):
 
     direct = Q.fact_orders_summary(fact_orders_from(raw_model(spark, SF001))).first().asDict()
     assert via_csv == direct  # 488 rows, 128 late, 63 missed at sf0.001
+
+
+# Plain SQL against the registered table names.
+LANE_SQL = """
+SELECT shipping_lane, missed_ship_sla, count(*) AS orders, sum(is_late) AS late_orders
+FROM analytics.fact_order_fulfillment
+WHERE seller_state IS NOT NULL
+GROUP BY shipping_lane, missed_ship_sla
+"""
+
+
+def test_registered_tables_answer_sql(spark, tmpdir_path):
+    from lateflow.plans.catalog import register_tables
+    from lateflow.plans.materialize import build_facts, store_raw
+
+    raw = store_raw(spark, raw_model(spark, SF001), os.path.join(tmpdir_path, "raw"))
+    build_facts(spark, raw, os.path.join(tmpdir_path, "facts"))
+    names = register_tables(spark, os.path.join(tmpdir_path, "raw"), os.path.join(tmpdir_path, "facts"))
+    assert "raw.order_items" in names and "analytics.fact_order_fulfillment" in names
+    got = {(r["shipping_lane"], r["missed_ship_sla"]): (r["orders"], r["late_orders"])
+           for r in spark.sql(LANE_SQL).collect()}
+    ours = {(r["shipping_lane"], r["missed_ship_sla"]): (r["orders"], r["late_orders"])
+            for r in Q.lane_sla(spark.table("analytics.fact_order_fulfillment")).collect()}
+    assert got == ours and len(got) == 4
+    assert spark.sql("SELECT COUNT(*) FROM raw.orders").first()[0] == raw.orders.count()
