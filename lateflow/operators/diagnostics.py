@@ -87,18 +87,26 @@ def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra
     return out.select("n", "dof", "statistic", p_value(F.col("statistic"), F.col("dof")).alias("p_value"), *extra)
 
 
-def seller_review_groups(items: DataFrame, reviews: DataFrame) -> DataFrame:
-    """T1 population: every order with items and a review, any status.
-
-    seller_count = distinct sellers (multi if > 1); review = the order's
-    highest score (bad if <= 2, a missing score counts as good).
+def seller_review_groups(
+    items: DataFrame,
+    reviews: DataFrame,
+    review_policy: str = "max",
+    orders: DataFrame | None = None,
+) -> DataFrame:
+    """T1 population: orders with items and a review.
+
+    seller_count = distinct sellers (multi if > 1); review = one score per
+    order by ``review_policy`` (``"max"``, the test's default, or
+    ``"latest"``, the order fact's), bad if <= 2 (a missing score counts as
+    good). The default population is every order status; pass ``orders`` (for
+    example the delivered orders of the fact) to restrict it -- the two
+    definitions explain two different single-seller rates.
     """
-    spo = (
-        items.filter(F.col("order_id").isNotNull())
-        .groupBy("order_id")
-        .agg(F.count_distinct("seller_id").alias("seller_count"))
-    )
-    df = spo.join(latest_review(reviews, policy="max"), "order_id", "inner")
+    items = items.filter(F.col("order_id").isNotNull())
+    if orders is not None:
+        items = items.join(orders.select("order_id"), "order_id", "left_semi")
+    spo = items.groupBy("order_id").agg(F.count_distinct("seller_id").alias("seller_count"))
+    df = spo.join(latest_review(reviews, policy=review_policy), "order_id", "inner")
     return df.select(
         "order_id",
         F.when(F.col("seller_count") > 1, "multi").otherwise("single").alias("seller_group"),

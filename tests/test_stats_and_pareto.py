@@ -93,3 +93,21 @@ def test_contingency_wide_fills_missing_pairs(spark):
     df = _table(spark, {("a", "x"): 2, ("b", "y"): 1})
     rows = [tuple(r) for r in diagnostics.contingency_wide(df, "row", "col", ["x", "y"]).collect()]
     assert rows == [("a", 2, 0), ("b", 0, 1)]
+
+
+def test_t1_population_and_policy_options(spark):
+    from lateflow.plans.registry import Model
+
+    from conftest import SF01
+
+    m = Model(spark, SF01)
+    default = diagnostics.seller_review_groups(m.raw.order_items, m.raw.order_reviews)
+    delivered = diagnostics.seller_review_groups(
+        m.raw.order_items, m.raw.order_reviews, review_policy="latest", orders=m.fact
+    )
+    assert delivered.count() < default.count()
+    # delivered + latest review + items present is exactly the Q8 population
+    from lateflow.operators import questions
+
+    q8 = sum(r["orders_with_reviews"] for r in questions.sourcing_profile(m.fact).collect())
+    assert delivered.count() == q8
