@@ -53,30 +53,31 @@ def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra
         X2 = max(0, D - 1/2)^2 * N * (sum_i 1/R_i) * (sum_j 1/C_j)
 
     where sum_i 1/R_i = sum_cells O / R_i^2. Everything after the first
-    aggregation runs on the r x c cell table. ``extra`` maps names to further
+    aggregation runs on the r x c cell table, which is built once. ``extra`` maps names to further
     aggregate expressions over the cells (columns ``row``, ``col``, ``observed``).
 
     Output: n, dof, statistic (DOUBLE), p_value (DOUBLE), then ``extra``.
     """
     extra = extra or {}
-    cells = contingency(df, row, col)
-    rows_m = cells.groupBy(row).agg(F.sum("observed").alias("_r"))
-    cols_m = cells.groupBy(col).agg(F.sum("observed").alias("_c"))
-    n = cells.select(F.sum("observed")).scalar().cast("double")
-    o, r, c = (F.col(x).cast("double") for x in ("observed", "_r", "_c"))
-    stats = (
-        cells.join(rows_m, row)
-        .join(cols_m, col)
-        .agg(
-            F.sum("observed").cast("bigint").alias("n"),
-            F.count_distinct(row).alias("_nr"),
-            F.count_distinct(col).alias("_nc"),
-            F.sum(o * o / (r * c)).alias("_q"),
-            F.sum(o / (r * r)).alias("_ir"),
-            F.sum(o / (c * c)).alias("_ic"),
-            F.max(F.abs(o - r * c / n)).alias("_d"),
-            *[e.alias(k) for k, e in extra.items()],
-        )
+    # Margins are windows over the r x c cell table (a handful of rows,
+    # bounded by the number of levels), so the input is aggregated once.
+    cells = contingency(df, row, col).withColumns(
+        {
+            "_r": F.sum("observed").over(Window.partitionBy(row)),
+            "_c": F.sum("observed").over(Window.partitionBy(col)),
+            "_n": F.sum("observed").over(Window.partitionBy()),
+        }
+    )
+    o, r, c, n = (F.col(x).cast("double") for x in ("observed", "_r", "_c", "_n"))
+    stats = cells.agg(
+        F.sum("observed").cast("bigint").alias("n"),
+        F.count_distinct(row).alias("_nr"),
+        F.count_distinct(col).alias("_nc"),
+        F.sum(o * o / (r * c)).alias("_q"),
+        F.sum(o / (r * r)).alias("_ir"),
+        F.sum(o / (c * c)).alias("_ic"),
+        F.max(F.abs(o - r * c / n)).alias("_d"),
+        *[e.alias(k) for k, e in extra.items()],
     )
     dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("bigint")
     nd = F.col("n").cast("double")

@@ -45,7 +45,7 @@ def test_binding_seller_and_review_use_aggregates_not_windows(spark):
 
 
 def test_unused_rollups_are_eliminated(spark):
-    p = plan(JOBS["q7_lateness_band"](spark, SF001))
+    p = plan(questions.lateness_bands(Model(spark, SF001).fact))  # over the lazy fact plan
     assert "Expand" not in p  # no composition (distinct counts) for Q7
 
 
