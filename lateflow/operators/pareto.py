@@ -35,43 +35,56 @@ from pyspark.sql import types as T
 from lateflow.functions.exact import pct, rate_scaled
 
 
-def seller_defects(fact: DataFrame, min_rows: int = 30) -> DataFrame:
-    """Per (seller, seller_state): orders and late orders, sellers with >= min_rows orders."""
+SELLER = ("seller_id", "seller_state")
+
+
+def seller_defects(
+    fact: DataFrame, min_rows: int = 30, entity: tuple[str, ...] = SELLER, weight: str = "is_late"
+) -> DataFrame:
+    """Per entity (default: seller and its state): ``orders`` and
+    ``late_orders`` (the sum of the 0/1 ``weight``), entities with at least
+    ``min_rows`` orders. Rows with a NULL first entity column are skipped."""
     return (
-        fact.filter(F.col("seller_id").isNotNull())
-        .groupBy("seller_id", "seller_state")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("is_late").cast("bigint").alias("late_orders"))
+        fact.filter(F.col(entity[0]).isNotNull())
+        .groupBy(*entity)
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum(weight).cast("bigint").alias("late_orders"))
         .filter(F.col("orders") >= min_rows)
     )
 
 
-def _order_keys():
-    return [F.desc("late_orders"), F.asc("seller_id"), F.asc_nulls_first("seller_state")]
+def _order_keys(entity: tuple[str, ...] = SELLER):
+    return [F.desc("late_orders"), F.asc(entity[0])] + [F.asc_nulls_first(c) for c in entity[1:]]
 
 
-def pareto(fact: DataFrame, min_rows: int = 30, top: int = 25) -> DataFrame:
-    """Q2: top sellers by late deliveries with cumulative share of all defects."""
-    sd = seller_defects(fact, min_rows)
+def pareto(
+    fact: DataFrame,
+    min_rows: int = 30,
+    top: int = 25,
+    entity: tuple[str, ...] = SELLER,
+    weight: str = "is_late",
+    rank_name: str = "seller_rank",
+) -> DataFrame:
+    """Q2: top entities by defects with cumulative share of all defects."""
+    sd = seller_defects(fact, min_rows, entity, weight)
     total_late = sd.select(F.sum("late_orders")).scalar()
     total_sellers = sd.select(F.count(F.lit(1))).scalar()
-    head = sd.orderBy(*_order_keys()).limit(top)
-    w = Window.orderBy(*_order_keys())
+    head = sd.orderBy(*_order_keys(entity)).limit(top)
+    w = Window.orderBy(*_order_keys(entity))
     ranked = head.withColumns(
         {
-            "seller_rank": F.row_number().over(w).cast("bigint"),
+            rank_name: F.row_number().over(w).cast("bigint"),
             "_cum": F.sum("late_orders").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         }
     )
     return ranked.select(
-        "seller_rank",
-        "seller_id",
-        "seller_state",
+        rank_name,
+        *entity,
         "orders",
         "late_orders",
         pct("late_orders", "orders").alias("late_rate_pct"),
         pct("_cum", total_late).alias("cum_pct_of_all_defects"),
-        pct("seller_rank", total_sellers).alias("pct_of_sellers"),
-    ).orderBy("seller_rank")
+        pct(rank_name, total_sellers).alias("pct_of_sellers"),
+    ).orderBy(rank_name)
 
 
 def _local_prefix(value_col: str):
@@ -148,16 +161,22 @@ def prefix_rank(df: DataFrame, order_cols: list, value_col: str, checkpoint: boo
     return out
 
 
-def pareto_full_curve(fact: DataFrame, min_rows: int = 30, checkpoint: bool = True) -> DataFrame:
-    """Q2 for every qualifying seller: rank, cumulative defects and shares."""
-    sd = seller_defects(fact, min_rows)
+def pareto_full_curve(
+    fact: DataFrame,
+    min_rows: int = 30,
+    checkpoint: bool = True,
+    entity: tuple[str, ...] = SELLER,
+    weight: str = "is_late",
+    rank_name: str = "seller_rank",
+) -> DataFrame:
+    """Q2 for every qualifying entity: rank, cumulative defects and shares."""
+    sd = seller_defects(fact, min_rows, entity, weight)
     total_late = sd.select(F.sum("late_orders")).scalar()
     total_sellers = sd.select(F.count(F.lit(1))).scalar()
-    ranked = prefix_rank(sd, _order_keys(), "late_orders", checkpoint)
+    ranked = prefix_rank(sd, _order_keys(entity), "late_orders", checkpoint)
     return ranked.select(
-        F.col("_rank").alias("seller_rank"),
-        "seller_id",
-        "seller_state",
+        F.col("_rank").alias(rank_name),
+        *entity,
         "orders",
         "late_orders",
         pct("late_orders", "orders").alias("late_rate_pct"),
@@ -167,18 +186,19 @@ def pareto_full_curve(fact: DataFrame, min_rows: int = 30, checkpoint: bool = Tr
     )
 
 
-def high_rate_sellers(fact: DataFrame, min_rows: int = 30, top: int = 25) -> DataFrame:
-    """T4: the qualifying sellers with the highest late *rate* (volume beside it).
+def high_rate_sellers(
+    fact: DataFrame, min_rows: int = 30, top: int = 25, entity: tuple[str, ...] = SELLER, weight: str = "is_late"
+) -> DataFrame:
+    """T4: the qualifying entities with the highest late *rate* (volume beside it).
 
-    Same input as Q2, ordered by exact rate, then by volume, then seller.
+    Same input as Q2, ordered by exact rate, then by volume, then entity.
     """
-    sd = seller_defects(fact, min_rows).withColumn("_rate", rate_scaled("late_orders", "orders"))
-    keys = [F.desc("_rate"), F.desc("orders"), F.asc("seller_id"), F.asc_nulls_first("seller_state")]
+    sd = seller_defects(fact, min_rows, entity, weight).withColumn("_rate", rate_scaled("late_orders", "orders"))
+    keys = [F.desc("_rate"), F.desc("orders"), F.asc(entity[0])] + [F.asc_nulls_first(c) for c in entity[1:]]
     head = sd.orderBy(*keys).limit(top)
     return head.select(
         F.row_number().over(Window.orderBy(*keys)).cast("bigint").alias("rate_rank"),
-        "seller_id",
-        "seller_state",
+        *entity,
         "orders",
         "late_orders",
         pct("late_orders", "orders").alias("late_rate_pct"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -111,3 +112,14 @@ def test_t1_population_and_policy_options(spark):
 
     q8 = sum(r["orders_with_reviews"] for r in questions.sourcing_profile(m.fact).collect())
     assert delivered.count() == q8
+
+
+def test_pareto_by_another_entity(spark):
+    from lateflow.plans.registry import Model
+
+    from conftest import SF01
+
+    fact = Model(spark, SF01).fact
+    by_state = pareto.pareto(fact, min_rows=1, top=10, entity=("seller_state",), rank_name="state_rank").collect()
+    assert len(by_state) == 5 and by_state[-1]["cum_pct_of_all_defects"] == Decimal("100.00")
+    assert [r["state_rank"] for r in by_state] == [1, 2, 3, 4, 5]
