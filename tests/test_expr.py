@@ -129,3 +129,25 @@ def test_lateness_band_matches_python_reference(spark):
     df = spark.createDataFrame(rows, "is_late int, days_late int")
     got = [r[0] for r in df.select(lateness_band()).collect()]
     assert got == [ref(a, b) for a, b in rows]
+
+
+def test_minute_and_day_boundaries_match_python_on_random_stamps(spark):
+    import datetime as dt
+    import math
+    import random
+
+    rnd = random.Random(3)
+    epoch = dt.datetime(1970, 1, 1)
+
+    def rand_ts():
+        return dt.datetime(1965, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 2_000_000_000), microseconds=rnd.randint(0, 999_999))
+
+    def minutes(t):
+        return math.floor((t - epoch).total_seconds() // 60)
+
+    rows = [(rand_ts(), rand_ts()) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+    got = df.select(minutes_between("a", "b").alias("m"), days_between("a", "b").alias("d")).collect()
+    for (a, b), r in zip(rows, got):
+        assert r["m"] == minutes(b) - minutes(a), (a, b)
+        assert r["d"] == (b.date() - a.date()).days, (a, b)
