@@ -1,6 +1,6 @@
 """Command line: the reference's script order as Spark jobs.
 
-    python -m lateflow.cli load      --data-dir CSV_DIR --raw RAW_DIR
+    python -m lateflow.cli load      --data-dir CSV_DIR --raw RAW_DIR   (or: python -m lateflow load ...)
     python -m lateflow.cli checks    --raw RAW_DIR
     python -m lateflow.cli build     --raw RAW_DIR --facts FACT_DIR
     python -m lateflow.cli questions --raw RAW_DIR --facts FACT_DIR [--monthly-gate N]
