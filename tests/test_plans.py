@@ -69,3 +69,12 @@ def test_every_job_runs_at_sf0001_and_stays_on_the_jvm(spark):
         found = {n for n in PYTHON_NODES if n in p}
         allowed = {ALLOWED_PYTHON[name]} if name in ALLOWED_PYTHON else set()
         assert found <= allowed, (name, found)
+
+
+def test_fact_build_pushes_the_delivered_filter_into_the_scan(spark, tmp_path_factory):
+    from lateflow.plans.materialize import store_raw
+
+    raw = store_raw(spark, Model(spark, SF001).raw, str(tmp_path_factory.mktemp("raw")))
+    p = plan(facts.fact_orders_from(raw))
+    scan = next(line for line in p.splitlines() if "FileScan parquet" in line and "order_status" in line)
+    assert "EqualTo(order_status,delivered)" in scan and "IsNotNull(order_delivered_customer_date)" in scan
