@@ -78,3 +78,11 @@ def test_fact_build_pushes_the_delivered_filter_into_the_scan(spark, tmp_path_fa
     p = plan(facts.fact_orders_from(raw))
     scan = next(line for line in p.splitlines() if "FileScan parquet" in line and "order_status" in line)
     assert "EqualTo(order_status,delivered)" in scan and "IsNotNull(order_delivered_customer_date)" in scan
+
+
+def test_questions_drop_dimension_joins_they_do_not_read(spark):
+    fact = Model(spark, SF001).fact
+    q1 = questions.stage_by_outcome(fact)._jdf.queryExecution().optimizedPlan().toString()
+    q7 = questions.lateness_bands(fact)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in q1  # stage hours need the orders alone
+    assert q7.count("Join ") == 1  # orders and the latest review only
