@@ -11,9 +11,9 @@ import sys as _sys
 
 __version__ = "0.1.0"
 
-# The few Python functions that run inside tasks (the chi-square tail UDF, the
-# per-partition running sums of the Pareto curve) are shipped with the task by
-# value, so executors need no installed copy of this package. Deployments
+# The one Python function that runs inside tasks (the per-partition running
+# sums of the full Pareto curve) is shipped with the task by value, so
+# executors need no installed copy of this package. Deployments
 # that install it (or pass it with --py-files) lose nothing by this.
 try:
     from pyspark import cloudpickle as _cloudpickle

@@ -1,25 +1,26 @@
-"""Chi-square upper-tail probability, for one-row results.
+"""Chi-square upper-tail probability.
 
 Spark SQL has no ``erfc`` or incomplete gamma, and MLlib's ChiSquareTest
 (a) omits the continuity correction SciPy applies to 2x2 tables and (b)
 returns p = 0.0 far above the magnitudes seen here (p ~ 1e-254). The test
-statistic is a distributed aggregate (``lateflow.operators.diagnostics``);
-only the final scalar goes through this module, vectorised in a pandas UDF.
+statistic is a distributed aggregate (``lateflow.operators.diagnostics``).
 
     sf(x; k) = Q(k/2, x/2)      (regularized upper incomplete gamma)
 
-Q is evaluated by the series for P when x < a+1 and by the Lentz continued
-fraction otherwise; df = 1 uses ``erfc(sqrt(x/2))`` directly.
+Q is evaluated by the series for P when x/2 < k/2 + 1 and by the Lentz
+continued fraction otherwise. ``p_value`` builds that as a JVM-side column
+expression: the fixed-length loops are Spark's higher-order ``aggregate``
+over a ``sequence``, and ln Gamma(k/2) is an exact sum of logs (k is an
+integer). ``chi2_sf`` is the same algorithm in plain Python, used as the
+reference in tests (df = 1 there is ``erfc(sqrt(x/2))``).
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _EPS = 1e-16
 _TINY = 1e-300
@@ -76,10 +77,59 @@ def chi2_sf(x: float, dof: int) -> float:
     return _gamma_q_fraction(a, h)
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(a), int(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, dof)])
+ITERATIONS = 400
+
+
+def _lgamma_half(k: Column) -> Column:
+    """ln Gamma(k/2) for integer k >= 1, as an exact sum of logs."""
+    even = k % 2 == 0
+    n_even = (k / 2 - 1).cast("int")  # Gamma(m) = (m-1)!          for k = 2m
+    n_odd = ((k - 1) / 2).cast("int")  # Gamma(m + 1/2) = sqrt(pi) prod (i - 1/2)
+    idx = lambda n: F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    sum_even = F.aggregate(idx(n_even), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    sum_odd = F.aggregate(idx(n_odd), F.lit(0.5 * math.log(math.pi)), lambda acc, i: acc + F.log(i - 0.5))
+    return F.when(even, sum_even).otherwise(sum_odd)
+
+
+def _steps() -> Column:
+    return F.sequence(F.lit(1), F.lit(ITERATIONS))
+
+
+def _gamma_p_series_col(a: Column, h: Column) -> Column:
+    start = F.struct((F.lit(1.0) / a).alias("term"), (F.lit(1.0) / a).alias("total"))
+
+    def step(acc, i):
+        term = acc["term"] * h / (a + i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    return F.aggregate(_steps(), start, step)["total"]
+
+
+def _gamma_q_fraction_col(a: Column, h: Column) -> Column:
+    tiny = F.lit(_TINY)
+    b0 = h + 1.0 - a
+    start = F.struct(b0.alias("b"), (F.lit(1.0) / tiny).alias("c"), (F.lit(1.0) / b0).alias("d"), (F.lit(1.0) / b0).alias("h"))
+
+    def step(acc, i):
+        an = -i * (i - a)
+        b = acc["b"] + 2.0
+        d = an * acc["d"] + b
+        d = F.when(F.abs(d) < tiny, tiny).otherwise(d)
+        c = b + an / acc["c"]
+        c = F.when(F.abs(c) < tiny, tiny).otherwise(c)
+        d = F.lit(1.0) / d
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+    return F.aggregate(_steps(), start, step)["h"]
 
 
 def p_value(statistic: Column, dof: Column) -> Column:
-    return chi2_sf_udf(statistic.cast("double"), dof.cast("bigint"))
+    """P(X >= statistic) for X ~ chi-square(dof), as a JVM-side expression."""
+    x = statistic.cast("double")
+    k = dof.cast("int")
+    a, h = k / 2.0, x / 2.0
+    log_front = -h + a * F.log(h) - _lgamma_half(k)
+    lower = _gamma_p_series_col(a, h) * F.exp(log_front)
+    upper = _gamma_q_fraction_col(a, h) * F.exp(log_front)
+    value = F.when(h < a + 1.0, F.greatest(F.lit(0.0), F.lit(1.0) - lower)).otherwise(upper)
+    return F.when(x.isNull() | k.isNull(), F.lit(None).cast("double")).when((k <= 0) | (x <= 0), F.lit(1.0)).otherwise(value)

@@ -56,9 +56,9 @@ def test_money_sums_are_hash_aggregated(spark):
 
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-# The only Python in any job: the chi-square tail on its one-row result, and
-# the per-partition running sums of the full Pareto curve.
-ALLOWED_PYTHON = {"chi_square_test": "ArrowEvalPython", "pareto_full_curve": "MapInPandas"}
+# The only Python in any job: the per-partition running sums of the full
+# Pareto curve.
+ALLOWED_PYTHON = {"pareto_full_curve": "MapInPandas"}
 
 
 def test_every_job_runs_at_sf0001_and_stays_on_the_jvm(spark):

@@ -123,3 +123,15 @@ def test_pareto_by_another_entity(spark):
     by_state = pareto.pareto(fact, min_rows=1, top=10, entity=("seller_state",), rank_name="state_rank").collect()
     assert len(by_state) == 5 and by_state[-1]["cum_pct_of_all_defects"] == Decimal("100.00")
     assert [r["state_rank"] for r in by_state] == [1, 2, 3, 4, 5]
+
+
+def test_jvm_p_value_matches_python_reference(spark):
+    from lateflow.functions.chisq import p_value
+
+    cases = [(0.5, 1), (3.841458820694124, 1), (16.5785, 1), (233.3, 1), (1158.9, 1), (5.99, 2), (2.0, 7),
+             (11.07, 5), (40.0, 7), (0.1, 12), (30.0, 12), (0.0, 1), (3.0, 0)]
+    df = spark.createDataFrame(cases, "x double, k long")
+    got = [r[0] for r in df.select(p_value(F.col("x"), F.col("k"))).collect()]
+    for (x, k), g in zip(cases, got):
+        want = chi2_sf(x, k)
+        assert math.isclose(g, want, rel_tol=1e-9, abs_tol=1e-300), (x, k, g, want)
