@@ -123,13 +123,27 @@ def _gamma_q_fraction_col(a: Column, h: Column) -> Column:
     return F.aggregate(_steps(), start, step)["h"]
 
 
-def p_value(statistic: Column, dof: Column) -> Column:
-    """P(X >= statistic) for X ~ chi-square(dof), as a JVM-side expression."""
+def log_p_value(statistic: Column, dof: Column) -> Column:
+    """ln P(X >= statistic) for X ~ chi-square(dof), as a JVM-side expression.
+
+    Kept in log space on the upper branch, so tails far below the smallest
+    double (very large statistics) still have a finite value.
+    """
     x = statistic.cast("double")
     k = dof.cast("int")
     a, h = k / 2.0, x / 2.0
     log_front = -h + a * F.log(h) - _lgamma_half(k)
     lower = _gamma_p_series_col(a, h) * F.exp(log_front)
-    upper = _gamma_q_fraction_col(a, h) * F.exp(log_front)
-    value = F.when(h < a + 1.0, F.greatest(F.lit(0.0), F.lit(1.0) - lower)).otherwise(upper)
-    return F.when(x.isNull() | k.isNull(), F.lit(None).cast("double")).when((k <= 0) | (x <= 0), F.lit(1.0)).otherwise(value)
+    log_upper = log_front + F.log(_gamma_q_fraction_col(a, h))
+    value = F.when(h < a + 1.0, F.log(F.greatest(F.lit(0.0), F.lit(1.0) - lower))).otherwise(log_upper)
+    return F.when(x.isNull() | k.isNull(), F.lit(None).cast("double")).when((k <= 0) | (x <= 0), F.lit(0.0)).otherwise(value)
+
+
+def p_value(statistic: Column, dof: Column) -> Column:
+    """P(X >= statistic) for X ~ chi-square(dof), as a JVM-side expression."""
+    return F.exp(log_p_value(statistic, dof))
+
+
+def neg_log10_p_value(statistic: Column, dof: Column) -> Column:
+    """-log10 of the p-value (about 253.3 for a p of 5e-254)."""
+    return -log_p_value(statistic, dof) / F.lit(math.log(10.0))

@@ -16,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lateflow.functions.chisq import p_value
+from lateflow.functions.chisq import neg_log10_p_value, p_value
 from lateflow.functions.exact import RATE_SCALE, WIDE, pct, round_ratio
 from lateflow.functions.expr import month_start
 from lateflow.operators.facts import latest_review
@@ -56,7 +56,7 @@ def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra
     aggregation runs on the r x c cell table, which is built once. ``extra`` maps names to further
     aggregate expressions over the cells (columns ``row``, ``col``, ``observed``).
 
-    Output: n, dof, statistic (DOUBLE), p_value (DOUBLE), then ``extra``.
+    Output: n, dof, statistic, p_value, neg_log10_p (DOUBLE), then ``extra``.
     """
     extra = extra or {}
     # Margins are windows over the r x c cell table (a handful of rows,
@@ -85,7 +85,14 @@ def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra
     yates = F.pow(F.greatest(F.col("_d") - F.lit(0.5), F.lit(0.0)), 2) * nd * F.col("_ir") * F.col("_ic")
     statistic = F.when(dof <= 0, F.lit(0.0)).when(F.lit(correction) & (dof == 1), yates).otherwise(pearson)
     out = stats.select("n", dof.alias("dof"), statistic.alias("statistic"), *extra)
-    return out.select("n", "dof", "statistic", p_value(F.col("statistic"), F.col("dof")).alias("p_value"), *extra)
+    return out.select(
+        "n",
+        "dof",
+        "statistic",
+        p_value(F.col("statistic"), F.col("dof")).alias("p_value"),
+        neg_log10_p_value(F.col("statistic"), F.col("dof")).alias("neg_log10_p"),
+        *extra,
+    )
 
 
 def seller_review_groups(
@@ -145,7 +152,7 @@ def chi_square_test(items: DataFrame, reviews: DataFrame, correction: bool = Tru
     """T1 with the p-value (the reference prints statistic, p and dof)."""
     groups = seller_review_groups(items, reviews)
     return chi_square(groups, "seller_group", "review_group", correction).select(
-        "n", "dof", F.col("statistic").alias("chi2"), "p_value"
+        "n", "dof", F.col("statistic").alias("chi2"), "p_value", "neg_log10_p"
     )
 
 
