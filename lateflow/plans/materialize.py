@@ -21,7 +21,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lateflow.operators.facts import fact_lines, fact_orders_from
 from lateflow.sources.schemas import RawModel
