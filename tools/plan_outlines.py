@@ -48,7 +48,7 @@ def _line(line: str):
         kind = re.search(r"\b(Inner|LeftOuter|LeftAnti|LeftSemi|FullOuter|RightOuter)\b", rest)
         detail = f" {kind.group(1)}" if kind else ""
     elif op in ("HashAggregate", "SortAggregate", "ObjectHashAggregate"):
-        keys = re.search(r"keys=\[([^\]]*)\]", rest)
+        keys = re.search(r"keys?=\[([^\]]*)\]", rest)
         detail = " keys=[" + ", ".join(k.split("#")[0] for k in keys.group(1).split(", ") if k) + "]" if keys else ""
     return indent, op, f"{op}{detail}"
 
