@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lateflow.session import checkpoint_root
 
@@ -31,6 +37,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table of its own in the shared checkpoint folder and read it back.
+
+    For loops: unlike a checkpoint the table carries its real size into the
+    next round's plan. ``discard`` removes a table that a later one replaces.
+    """
+    path = f"{shared_dir(df.sparkSession)}/lateflow/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    if hasattr(df, "stored_at"):
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hash_sample(df: DataFrame, rows: int, *key: str, seed: int = 7) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hashes of ``key``.
+
+    A threshold on the hash thins the rows first, so that tasks hand on little
+    more than ``rows`` rows in sum, however many tasks there are.
+    """
+    spread = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40))
+    total = max(1, df.count())
+    most = min(1.0, (rows + 6 * math.sqrt(rows) + 20) / total)
+    return df.where(spread < int(most * (1 << 40))).orderBy(spread, *key).limit(rows)
+
+
 def worker_state(key: tuple, make: Callable[[], object]) -> object:
     """An object kept in a Python worker from task to task (caches, loaded models).
 
@@ -43,6 +81,15 @@ def worker_state(key: tuple, make: Callable[[], object]) -> object:
     return home.__dict__[key]
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this package by value, as its functions are; ``load`` reads it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def load(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -2,8 +2,8 @@
 
 Rows with equal texts form a group that stays together. Groups are taken in
 falling order of bytes and each goes to the shard with the least load, held in
-a heap. The driver schedules a bounded number of units: the ``exact_groups``
-largest groups one by one, and all smaller groups bundled by a hash of their
+a heap. The driver schedules a bounded number of units: up to ``exact_groups``
+of the largest groups one by one, and all smaller groups bundled by a hash of their
 text into ``bundles`` units (with fewer groups than either bound, a unit is
 nearly always one group). Both bounds are parameters, hold for any input size,
 and no row is left out.
@@ -60,7 +60,15 @@ def shard_documents(
         ).withColumn("_bundle", F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int"))
     )
     groups = cut(rows.groupBy("_group", "_bundle").agg(F.sum("size").alias("bytes")))
-    large = groups.orderBy(F.desc("bytes"), "_group").limit(exact_groups).select("_group", "_bundle", "bytes").collect()
+    # the largest groups, by a threshold on a histogram of sizes: what is collected is bounded whatever the number of tasks
+    step = F.floor(F.log2(F.col("bytes").cast("double")) * 64).cast("int")
+    least, count = None, 0
+    for r in sorted(groups.groupBy(step.alias("step")).count().collect(), reverse=True):
+        count += r["count"]
+        if count > exact_groups:
+            break
+        least = r["step"]
+    large = groups.where(step >= least if least is not None else F.lit(False)).orderBy(F.desc("bytes"), "_group").select("_group", "_bundle", "bytes").collect()
     taken: dict[int, int] = {}
     for g in large:
         taken[g["_bundle"]] = taken.get(g["_bundle"], 0) + g["bytes"]
