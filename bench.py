@@ -37,7 +37,7 @@ from lateflow.operators import quality as V  # noqa: E402
 from lateflow.operators import questions as Q  # noqa: E402
 from lateflow.operators.facts import fact_orders_from  # noqa: E402
 from lateflow.plans.materialize import Facts, build_fact_lines, build_fact_orders, store_raw  # noqa: E402
-from lateflow.plans.registry import JOBS, MONTHLY_GATE  # noqa: E402
+from lateflow.plans.registry import JOBS  # noqa: E402
 from lateflow.session import checkpoint_root, get_session, scratch_path  # noqa: E402
 from lateflow.sources.testmap import raw_model  # noqa: E402
 
@@ -94,7 +94,7 @@ def main() -> None:
         "q2_pareto": lambda: P.pareto(fact),
         "q2_pareto_full_curve": lambda: P.pareto_full_curve(fact),
         "q3_lane_sla": lambda: Q.lane_sla(fact),
-        "q4_trend": lambda: Q.trend(fact, min_orders=MONTHLY_GATE),
+        "q4_trend": lambda: Q.trend(fact),
         "q5_state_variance": lambda: Q.state_variance(fact),
         "q6_category": lambda: Q.category_profile(fact, items, raw.products, raw.product_category_translation),
         "q7_lateness_band": lambda: Q.lateness_bands(fact),
@@ -103,7 +103,7 @@ def main() -> None:
         "t2_recoverable": lambda: T.recoverable_defects(fact),
         "t3_size_profile": lambda: T.size_profile(lines),
         "t4_high_rate_sellers": lambda: P.high_rate_sellers(fact),
-        "t5_spike_months": lambda: T.spike_months(fact, min_orders=MONTHLY_GATE),
+        "t5_spike_months": lambda: T.spike_months(fact),
         "t6_right_censoring": lambda: T.right_censoring(raw.orders),
         "v3_orphans": lambda: V.orphan_check(items, raw.orders, "order_id"),
         "v4_keys": lambda: V.key_check(

@@ -3,16 +3,14 @@
 Subpackages: ``sources`` (schemas, CSV ingest, test-table mapping),
 ``functions`` (column expressions, exact rounding, chi-square tail),
 ``operators`` (facts, questions, Pareto, diagnostics, quality checks),
-``plans`` (named jobs, SQL oracle, fact materialisation), ``streaming``
-(intentionally empty: the analysed workload has no streams).
+``plans`` (named jobs, SQL oracle, fact materialisation).
 """
 
 import sys as _sys
 
 __version__ = "0.1.0"
 
-# The one Python function that runs inside tasks (the per-partition running
-# sums of the full Pareto curve) is shipped with the task by value, so
+# Python functions that run inside tasks are shipped with the task by value, so
 # executors need no installed copy of this package. Deployments
 # that install it (or pass it with --py-files) lose nothing by this.
 try:

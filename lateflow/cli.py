@@ -4,7 +4,7 @@
     python -m lateflow.cli checks    --raw RAW_DIR
     python -m lateflow.cli build     --raw RAW_DIR --facts FACT_DIR
     python -m lateflow.cli questions --raw RAW_DIR --facts FACT_DIR [--monthly-gate N]
-    python -m lateflow.cli sql       --raw RAW_DIR --facts FACT_DIR --query "SELECT ..."
+    python -m lateflow.cli sql       --raw RAW_DIR --facts FACT_DIR --query "SELECT ..." [--out PATH] [--limit N]
 
 ``load`` is the CSV ingest (full refresh, load report); ``checks`` the
 row-count, schema, orphan and key checks; ``build`` writes both facts and
@@ -30,9 +30,17 @@ from lateflow.session import get_session
 from lateflow.sources.schemas import EXPECTED_ROWS, ORDERS
 
 
-def _show(title: str, df, rows: int = 1000) -> None:
+def _show(title: str, df, limit: int | None = None) -> None:
+    """Print a report whole (reports are small by nature), or its first ``limit`` rows and that there are more."""
     print(f"\n== {title}")
-    df.show(rows, truncate=False)
+    rows = (df if limit is None else df.limit(limit + 1)).collect()
+    more = limit is not None and len(rows) > limit
+    cells = [list(df.columns), *([str(v) for v in r] for r in (rows[:limit] if more else rows))]
+    width = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+    for r in cells:
+        print("| " + " | ".join(v.ljust(w) for v, w in zip(r, width)) + " |")
+    if more:
+        print(f"... first {limit} rows; --out PATH writes the whole result")
 
 
 def cmd_load(spark, args) -> None:
@@ -106,7 +114,11 @@ def cmd_sql(spark, args) -> None:
     from lateflow.plans.catalog import register_tables
 
     register_tables(spark, args.raw, args.facts)
-    _show("result", spark.sql(args.query))
+    result = spark.sql(args.query)
+    if args.out:
+        result.write.mode("overwrite").parquet(args.out)
+        result = spark.read.parquet(args.out)
+    _show("result", result, args.limit)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -128,6 +140,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--raw", required=True)
     p.add_argument("--facts", required=True)
     p.add_argument("--query", required=True)
+    p.add_argument("--out", default=None, help="write the whole result there, as parquet")
+    p.add_argument("--limit", type=int, default=20, help="rows to print")
     ap.add_argument("--master", default=None, help="Spark master (default: the session's)")
     args = ap.parse_args(argv)
     spark = get_session(master=args.master, app_name=f"lateflow-{args.cmd}")

@@ -16,7 +16,6 @@ Each helper maps one clause of the reference's SQL onto built-in functions:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,11 +25,22 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def epoch() -> Column:
+    """The zone-free origin that stamps are counted from; before any stamp in use, so counts are not negative."""
+    return F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'")
+
+
+def _whole_minutes(ts: Column | str) -> Column:
+    # NTZ minus NTZ is an interval without any zone; as BIGINT it is whole seconds
+    seconds = (_c(ts).cast("timestamp_ntz") - epoch()).cast("bigint")
+    return F.call_function("div", seconds, F.lit(60).cast("bigint"))
+
+
 def minutes_between(start: Column | str, end: Column | str) -> Column:
-    """Signed count of minute boundaries from start to end (BIGINT); NULL if either is NULL."""
-    return F.timestamp_diff(
-        "MINUTE", F.date_trunc("MINUTE", _c(start)), F.date_trunc("MINUTE", _c(end))
-    )
+    """Signed count of minute boundaries from start to end (BIGINT); NULL if either is NULL.
+
+    Counted on the stamps as written, so the session's zone plays no part."""
+    return _whole_minutes(end) - _whole_minutes(start)
 
 
 def days_between(start: Column | str, end: Column | str) -> Column:
@@ -113,15 +123,13 @@ def lateness_band(
     return expr.otherwise(F.lit(labels[-1]))
 
 
-@cache
-def py_whitespace() -> str:
-    """Characters Python's ``str.strip()`` removes: those with ``str.isspace()``.
-
-    Derived from that rule rather than listed.
-    """
-    return "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+# The characters Python's str.strip() removes.
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_text(c: Column | str) -> Column:
     """Python ``str.strip()`` semantics (Spark ``trim`` removes spaces only)."""
-    return F.btrim(_c(c), F.lit(py_whitespace()))
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))

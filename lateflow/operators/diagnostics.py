@@ -11,12 +11,13 @@ T6  right-censoring: share of each purchase month not yet delivered
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lateflow.functions.chisq import neg_log10_p_value, p_value
+from lateflow.functions.chisq import log_p_value
 from lateflow.functions.exact import RATE_SCALE, WIDE, pct, round_ratio
 from lateflow.functions.expr import month_start
 from lateflow.operators.facts import latest_review
@@ -41,10 +42,11 @@ def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra
     """One-row chi-square test of independence between two categorical columns.
 
     Pearson's statistic needs every cell of the r x c grid, including empty
-    ones; it is rewritten so that only observed cells and their margins
-    appear (no grid is materialised):
+    ones; the grid is not materialised. Observed cells give their own terms,
+    and an empty cell's term is its expected count, so all empty cells together give N less
+    the expected counts of the observed ones:
 
-        X2 = N * sum_{O>0} O^2 / (R_i C_j) - N
+        X2 = sum_{O>0} (O - E)^2 / E  +  N - sum_{O>0} E,    E = R_i C_j / N
 
     With ``correction`` and dof = 1 (a 2x2 table) Yates' correction is
     applied as SciPy does it, capped at |O - E|; all four cells share
@@ -52,45 +54,46 @@ def chi_square(df: DataFrame, row: str, col: str, correction: bool = True, extra
 
         X2 = max(0, D - 1/2)^2 * N * (sum_i 1/R_i) * (sum_j 1/C_j)
 
-    where sum_i 1/R_i = sum_cells O / R_i^2. Everything after the first
-    aggregation runs on the r x c cell table, which is built once. ``extra`` maps names to further
+    where sum_i 1/R_i = sum_cells O / R_i^2. Margins are aggregations of the
+    cell table joined back to it, so no task sees all cells, however many levels the
+    columns have. ``extra`` maps names to further
     aggregate expressions over the cells (columns ``row``, ``col``, ``observed``).
 
     Output: n, dof, statistic, p_value, neg_log10_p (DOUBLE), then ``extra``.
     """
     extra = extra or {}
-    # Margins are windows over the r x c cell table (a handful of rows,
-    # bounded by the number of levels), so the input is aggregated once.
-    cells = contingency(df, row, col).withColumns(
-        {
-            "_r": F.sum("observed").over(Window.partitionBy(row)),
-            "_c": F.sum("observed").over(Window.partitionBy(col)),
-            "_n": F.sum("observed").over(Window.partitionBy()),
-        }
-    )
-    o, r, c, n = (F.col(x).cast("double") for x in ("observed", "_r", "_c", "_n"))
-    stats = cells.agg(
+    cells = contingency(df, row, col)
+    rows = cells.groupBy(F.col(row).alias("_row")).agg(F.sum("observed").alias("_r"))
+    cols = cells.groupBy(F.col(col).alias("_col")).agg(F.sum("observed").alias("_c"))
+    total = rows.select(F.sum("_r")).scalar()
+    joined = cells.join(rows, F.col(row).eqNullSafe(F.col("_row"))).join(cols, F.col(col).eqNullSafe(F.col("_col")))
+    o, r, c, n = F.col("observed").cast("double"), F.col("_r").cast("double"), F.col("_c").cast("double"), total.cast("double")
+    e = r * c / n
+    stats = joined.agg(
         F.sum("observed").cast("bigint").alias("n"),
-        F.count_distinct(row).alias("_nr"),
-        F.count_distinct(col).alias("_nc"),
-        F.sum(o * o / (r * c)).alias("_q"),
+        F.sum((o - e) * (o - e) / e).alias("_q"),
+        F.sum(e).alias("_e"),
         F.sum(o / (r * r)).alias("_ir"),
         F.sum(o / (c * c)).alias("_ic"),
-        F.max(F.abs(o - r * c / n)).alias("_d"),
-        *[e.alias(k) for k, e in extra.items()],
+        F.max(F.abs(o - e)).alias("_d"),
+        *[x.alias(k) for k, x in extra.items()],
     )
-    dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("bigint")
+    # a level that is NULL is none, as for a distinct count
+    levels_r, levels_c = rows.select(F.count("_row")).scalar(), cols.select(F.count("_col")).scalar()
+    dof = ((levels_r - 1) * (levels_c - 1)).cast("bigint")
+    stats = stats.withColumn("dof", dof)
     nd = F.col("n").cast("double")
-    pearson = nd * F.col("_q") - nd
+    pearson = F.col("_q") + F.greatest(nd - F.col("_e"), F.lit(0.0))
     yates = F.pow(F.greatest(F.col("_d") - F.lit(0.5), F.lit(0.0)), 2) * nd * F.col("_ir") * F.col("_ic")
-    statistic = F.when(dof <= 0, F.lit(0.0)).when(F.lit(correction) & (dof == 1), yates).otherwise(pearson)
-    out = stats.select("n", dof.alias("dof"), statistic.alias("statistic"), *extra)
+    statistic = F.when(F.col("dof") <= 0, F.lit(0.0)).when(F.lit(correction) & (F.col("dof") == 1), yates).otherwise(pearson)
+    out = stats.select("n", "dof", statistic.alias("statistic"), *extra)
+    out = out.withColumn("_log_p", log_p_value(F.col("statistic"), F.col("dof")))  # the long loops, once
     return out.select(
         "n",
         "dof",
         "statistic",
-        p_value(F.col("statistic"), F.col("dof")).alias("p_value"),
-        neg_log10_p_value(F.col("statistic"), F.col("dof")).alias("neg_log10_p"),
+        F.exp("_log_p").alias("p_value"),
+        (-F.col("_log_p") / F.lit(math.log(10.0))).alias("neg_log10_p"),
         *extra,
     )
 
@@ -163,6 +166,10 @@ def recoverable_defects(fact: DataFrame) -> DataFrame:
     """Per lane (Q3 population), late orders among SLA misses beyond what
     the lane's SLA-met rate predicts, plus an 'All lanes' row.
 
+    A lane without SLA-met orders has no rate to predict from: its figures are NULL and
+    ``lanes_without_rate`` counts it, also in the total, whose expected and
+    recoverable orders leave it out.
+
     recoverable = missed_late - missed_orders * met_late / met_orders
     recoverable_pct_of_late is relative to every late order in the fact.
     """
@@ -196,6 +203,7 @@ def recoverable_defects(fact: DataFrame) -> DataFrame:
         round_ratio(w("missed_orders") * w("met_late"), "met_orders", 2, 18).alias("expected_late_at_met_rate"),
         round_ratio(excess, "met_orders", 2, 18).alias("recoverable_late"),
         round_ratio(excess * 100, w("met_orders") * total_late, 2, 5).alias("recoverable_pct_of_late"),
+        (F.col("met_orders") == 0).cast("bigint").alias("lanes_without_rate"),
     )
     cents = (F.col("recoverable_late") * 100).cast(WIDE)
     total = per_lane.agg(
@@ -207,6 +215,7 @@ def recoverable_defects(fact: DataFrame) -> DataFrame:
         F.sum("recoverable_late").cast("decimal(18,2)").alias("recoverable_late"),
         F.sum(cents).alias("_cents"),
         F.max("_total_late").alias("_total_late"),
+        F.sum("lanes_without_rate").alias("lanes_without_rate"),
     ).select(
         F.lit("All lanes").alias("shipping_lane"),
         F.col("met_orders").cast("bigint").alias("met_orders"),
@@ -218,6 +227,7 @@ def recoverable_defects(fact: DataFrame) -> DataFrame:
         "expected_late_at_met_rate",
         "recoverable_late",
         round_ratio("_cents", total_late, 2, 5).alias("recoverable_pct_of_late"),
+        F.col("lanes_without_rate").cast("bigint").alias("lanes_without_rate"),
     )
     return per_lane.drop("_total_late").unionByName(total)
 

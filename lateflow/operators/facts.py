@@ -2,37 +2,38 @@
 
 Plan shape of ``fact_orders`` (see README, "Plans"):
 
-* items are aggregated to order grain with map-side partial aggregation:
-  the binding seller is ``max(struct(limit, item, seller, product))`` rather
-  than a window, so a hot order never has to be sorted inside one task; line
-  count, distinct sellers / SKUs and money sums are a second, hash-based
-  aggregation (money as integer cents);
-* the latest review per order is the same trick over reviews;
-* customers join the orders and sellers join the per-order binding seller
-  (narrow rows, shuffled on their own keys); then orders, binding,
-  composition and review rollups all meet on ``order_id`` in one
-  co-partitioned join stage, so the wide fact row is never re-shuffled;
+* items are rolled up by (order, seller) with hash aggregation and map-side
+  partials, then by order: lines, sellers, money and the binding seller come
+  from one scan of the items. A hot order is reduced per seller before its last
+  shuffle, and is never sorted inside one task. Distinct SKUs are a second
+  rollup by (order, product). No row is expanded;
+* the latest review per order is ``max(struct(...))`` over reviews;
+* customers join the orders and sellers join the per-order rollup (shuffled
+  on their own keys); then orders, item rollup, SKUs and review all meet on
+  ``order_id`` in one co-partitioned join stage, so the wide fact row is never
+  re-shuffled;
 * small dimension sides become broadcasts through Spark's own size check
   (``autoBroadcastJoinThreshold`` and AQE's runtime statistics), never by
   an unconditional hint, and stay sort-merge joins beyond it; AQE splits a
   skewed key's partition.
 
 Unused joins disappear: each rollup is an aggregation unique on
-``order_id`` and the customer / seller sides are reduced to one row per key
-(``one_per_key``), so a question that reads none of a side's columns drops
-that left join and its work -- Q7, for example, reads only orders and
-reviews.
+``order_id``; with ``reduce_sides`` the customer / seller sides are reduced to
+one row per key too (``one_per_key``), so a question planned straight from raw that reads
+none of a side's columns drops that left join and its work -- Q7, for example, reads only orders and
+reviews. The stored build joins the sides as they are.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lateflow.functions.expr import (
     days_between,
+    epoch,
     flag,
     hours,
     minutes_between,
@@ -79,58 +80,74 @@ ORDER_FACT_COLUMNS = (
 )
 
 
-def binding_seller(items: DataFrame) -> DataFrame:
-    """per order, the item line with the latest shipping limit.
+# Packed order of item lines: microseconds of the shipping limit (+1; 0 where it
+# is NULL), then the item number in 11 digits. A DECIMAL of fixed width, so that
+# the maximum is a hash aggregation; NULLs sort lowest.
+_ITEM_DIGITS = 10**11
 
-    Order: shipping_limit_date DESC, order_item_id DESC, then seller_id and
-    product_id DESC as tie-breaks (item ids need not be unique). NULLs sort
-    lowest, as in the reference's ROW_NUMBER ... DESC.
-    """
-    return (
-        items.groupBy("order_id")
-        .agg(F.max(F.struct("shipping_limit_date", "order_item_id", "seller_id", "product_id")).alias("_b"))
-        .select("order_id", "_b.seller_id", "_b.shipping_limit_date")
-    )
 
+def _line_order(limit: str, item: str) -> Column:
+    micros = ((F.col(limit).cast("timestamp_ntz") - epoch()).cast("decimal(20,6)") * 1_000_000).cast("decimal(20,0)")
+    number = (F.col(item).cast("bigint") + F.lit(2**31 + 1)).cast("decimal(11,0)")
+    scale = F.lit(Decimal(_ITEM_DIGITS)).cast("decimal(12,0)")
+    return (F.coalesce(micros + 1, F.lit(0)).cast("decimal(21,0)") * scale + F.coalesce(number, F.lit(0))).cast("decimal(34,0)")
 
-def order_composition(items: DataFrame) -> DataFrame:
-    """lines, distinct sellers, distinct SKUs, item value and freight per order.
-
-    Money is summed as integer cents (BIGINT) and turned back into
-    DECIMAL(22,2) after the aggregation: a DECIMAL(22,2) sum buffer is not
-    fixed-width, which would force a sort-based aggregation. The two
-    distinct counts plan as one Expand + two-level hash aggregation keyed by
-    (order, seller | product), so a hot order is spread over many tasks
-    before its final merge.
+
+def _limit_of(order: Column) -> Column:
+    """The shipping limit back from a packed order."""
+    micros = F.floor(order / F.lit(Decimal(_ITEM_DIGITS)).cast("decimal(12,0)")).cast("decimal(21,0)") - 1
+    seconds = (micros / F.lit(Decimal(1_000_000)).cast("decimal(8,0)")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.when(micros >= 0, epoch() + F.make_dt_interval(zero, zero, zero, seconds))
+
+
+def order_item_rollup(items: DataFrame) -> DataFrame:
+    """F1 and the seller half of F2 from one scan of the items, one row per order:
+    ``seller_id`` and ``shipping_limit_date`` of the binding line, ``line_count``,
+    ``seller_count``, ``item_value``, ``freight_value``.
+
+    The binding line is the one with the latest shipping limit, then the
+    greatest item number, then the greatest seller (item numbers need not be
+    unique). NULLs sort lowest, as in the reference's ROW_NUMBER ... DESC.
     """
-    agg = items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
-        F.count_distinct("product_id").alias("distinct_skus"),
-        F.sum(_cents("price")).alias("_value_cents"),
-        F.sum(_cents("freight_value")).alias("_freight_cents"),
+    per_seller = items.groupBy("order_id", "seller_id").agg(
+        F.max(_line_order("shipping_limit_date", "order_item_id")).alias("_order"),
+        F.count(F.lit(1)).alias("_lines"),
+        F.sum("price").alias("_value"),
+        F.sum("freight_value").alias("_freight"),
+    )
+    per_order = per_seller.groupBy("order_id").agg(
+        F.max(F.struct("_order", "seller_id")).alias("_b"),
+        F.sum("_lines").cast("bigint").alias("line_count"),
+        F.count("seller_id").alias("seller_count"),
+        F.sum("_value").cast("decimal(22,2)").alias("item_value"),
+        F.sum("_freight").cast("decimal(22,2)").alias("freight_value"),
     )
-    return agg.select(
+    return per_order.select(
         "order_id",
+        "_b.seller_id",
+        _limit_of(F.col("_b._order")).alias("shipping_limit_date"),
         "line_count",
         "seller_count",
-        "distinct_skus",
-        _from_cents("_value_cents").alias("item_value"),
-        _from_cents("_freight_cents").alias("freight_value"),
+        "item_value",
+        "freight_value",
     )
 
 
-def _cents(c: str):
-    return (F.col(c) * 100).cast("bigint")
+def order_skus(items: DataFrame) -> DataFrame:
+    """Distinct SKUs per order, rolled up by (order, product) first."""
+    return items.groupBy("order_id", "product_id").agg(F.lit(1).alias("_one")).groupBy("order_id").agg(F.count("product_id").alias("distinct_skus"))
 
 
-def _from_cents(c: str):
-    return (F.col(c).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(22,2)")
+def binding_seller(items: DataFrame) -> DataFrame:
+    """per order, the seller and shipping limit of the binding item line."""
+    return order_item_rollup(items).select("order_id", "seller_id", "shipping_limit_date")
 
 
-def order_item_rollup(items: DataFrame) -> DataFrame:
-    """F1 + F2 side by side (both grouped by order_id, joined co-partitioned)."""
-    return binding_seller(items).join(order_composition(items), "order_id", "inner")
+def order_composition(items: DataFrame) -> DataFrame:
+    """lines, distinct sellers, distinct SKUs, item value and freight per order."""
+    joined = order_item_rollup(items).join(order_skus(items), "order_id", "left")
+    return joined.select("order_id", "line_count", "seller_count", "distinct_skus", "item_value", "freight_value")
 
 
 def latest_review(reviews: DataFrame, policy: str = "latest") -> DataFrame:
@@ -206,23 +223,31 @@ def fact_orders(
     customers: DataFrame,
     detractor_max: int = 2,
     strict_nulls: bool = False,
+    reduce_sides: bool = True,
 ) -> DataFrame:
-    """one row per delivered order with a customer delivery stamp."""
+    """one row per delivered order with a customer delivery stamp.
+
+    With ``reduce_sides`` a customer or seller key that occurs twice counts once
+    (``quality.key_check`` reports such keys); without, it multiplies its orders, as the
+    reference's joins do.
+    """
     delivered = orders.filter(
         (F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull()
     )
-    # Narrow rows cross the wire: customers meet the orders (by customer_id),
-    # sellers meet the per-order binding seller (by seller_id); then every
-    # part is on order_id and the final joins are co-partitioned. Rollups
-    # are unique on order_id, so a question that reads none of a rollup's
-    # columns drops that left join (and its aggregation) entirely.
-    customer = one_per_key(customers.select("customer_id", "customer_state"), "customer_id")
-    seller = one_per_key(sellers.select("seller_id", "seller_state", "seller_city"), "seller_id")
+    # Customers meet the orders (by customer_id), sellers meet the per-order
+    # item rollup (by seller_id); then every part is on order_id and the final
+    # joins are co-partitioned. Rollups are unique on order_id, so a question
+    # that reads none of a rollup's columns drops that left join (and its
+    # aggregation) entirely.
+    customer = customers.select("customer_id", "customer_state")
+    seller = sellers.select("seller_id", "seller_state", "seller_city")
+    if reduce_sides:
+        customer, seller = one_per_key(customer, "customer_id"), one_per_key(seller, "seller_id")
     base = delivered.join(customer, "customer_id", "left")
-    attributed = binding_seller(items).join(seller, "seller_id", "left")
+    attributed = order_item_rollup(items).join(seller, "seller_id", "left")
     joined = (
         base.join(attributed, "order_id", "left")
-        .join(order_composition(items), "order_id", "left")
+        .join(order_skus(items), "order_id", "left")
         .join(latest_review(reviews, "latest"), "order_id", "left")
     )
     ts = F.col("order_purchase_timestamp")
@@ -238,9 +263,9 @@ def fact_orders(
     return fact.select(*ORDER_FACT_COLUMNS)
 
 
-def fact_orders_from(raw) -> DataFrame:
+def fact_orders_from(raw, reduce_sides: bool = True) -> DataFrame:
     """F7 over a ``RawModel``."""
-    return fact_orders(raw.orders, raw.order_items, raw.order_reviews, raw.sellers, raw.customers)
+    return fact_orders(raw.orders, raw.order_items, raw.order_reviews, raw.sellers, raw.customers, reduce_sides=reduce_sides)
 
 
 LINE_FACT_COLUMNS = (

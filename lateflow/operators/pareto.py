@@ -12,11 +12,13 @@ window sends the whole table through one task. Two distributed forms:
     reuses the seller aggregation's exchange, so the fact is scanned once.
 
 ``pareto_full_curve`` (every qualifying seller)
-    A distributed prefix sum: a global sort (range-partitioned), written to
-    the shared checkpoint folder so every later read sees the same
-    partitions; per-partition running sums in ``mapInPandas``; per-partition
-    totals (one row per partition) turned into offsets and broadcast back --
-    that side is bounded by the partition count, not by the data.
+    A distributed prefix sum: a global sort (range-partitioned) whose rows are
+    tagged with their partition and place and then checkpointed in the session's shared
+    folder. The tags are data from then on, so whatever is done with the
+    result (coalesce, union, limit) gives the same ranks. Running sums are
+    windows within a range partition; per-partition totals (one row per
+    partition) turned into offsets are broadcast back -- that side is bounded
+    by the partition count, not by the data.
 
 Ordering is ``late_orders DESC`` with ``seller_id`` and ``seller_state`` as
 tie-breaks, so ranks are deterministic.
@@ -24,16 +26,11 @@ tie-breaks, so ranks are deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lateflow.functions.exact import pct, rate_scaled
-
+from lateflow.session import checkpoint_root
 
 SELLER = ("seller_id", "seller_state")
 
@@ -87,93 +84,53 @@ def pareto(
     ).orderBy(rank_name)
 
 
-def _local_prefix(value_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        running = 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            csum = pdf[value_col].astype("int64").cumsum() + running
-            out = pdf.assign(
-                _pid=pid,
-                _i=range(seen + 1, seen + n + 1),
-                _cum=csum.to_numpy(),
-            )
-            seen += n
-            running = int(csum.iloc[-1])
-            yield out
-
-    return run
-
-
-def _ensure_checkpoint_dir(spark) -> None:
-    """Checkpoints go to the shared folder the session names in
-    spark.checkpoint.dir; only a local-mode session without one gets a
-    temporary folder (never a cluster: its executors could not share it)."""
-    import tempfile
-
-    from lateflow.session import checkpoint_root
-
-    if spark.sparkContext.getCheckpointDir():
-        return
-    local = spark.sparkContext.master.startswith("local")
-    checkpoint_root(spark, fallback=tempfile.mkdtemp(prefix="lateflow-ckpt-") if local else None)
-
-
-def prefix_rank(df: DataFrame, order_cols: list, value_col: str, checkpoint: bool = True) -> DataFrame:
-    """Global 1-based row number ``_rank`` and running sum ``_cum`` of ``value_col``
-    in the total order ``order_cols``, without a single-partition window.
+def prefix_rank(df: DataFrame, order_cols: list, value_col: str) -> DataFrame:
+    """Global 1-based row number ``_rank``, running sum ``_cum`` of ``value_col``
+    in the total order ``order_cols``, and over all rows ``_rows`` and ``_total``,
+    without a single-partition window.
 
     ``order_cols`` must define a total order (include a unique key) so that
-    ranks are deterministic.
+    ranks are deterministic. Needs ``spark.checkpoint.dir``.
     """
-    ordered = df.orderBy(*order_cols)
-    if checkpoint:
-        _ensure_checkpoint_dir(df.sparkSession)
-        # Reliable checkpoint into spark.checkpoint.dir: partitions and their
-        # order are fixed for the two reads below, and survive lost executors.
-        ordered = ordered.checkpoint(eager=True)
-    schema = T.StructType(
-        ordered.schema.fields
-        + [
-            T.StructField("_pid", T.IntegerType(), False),
-            T.StructField("_i", T.LongType(), False),
-            T.StructField("_cum", T.LongType(), False),
-        ]
-    )
-    tagged = ordered.mapInPandas(_local_prefix(value_col), schema)
-    part = tagged.groupBy("_pid").agg(F.max("_i").alias("_n"), F.max("_cum").alias("_s"))
+    checkpoint_root(df.sparkSession)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    tagged = df.orderBy(*order_cols).withColumns({"_pid": F.spark_partition_id(), "_i": place}).checkpoint(eager=True)
+    part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.sum(value_col).alias("_s"))
     # One row per partition: bounded by the partition count, never by the data.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
     offsets = part.select(
         "_pid",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"),
+        F.sum("_n").over(everything).alias("_rows"),
+        F.sum("_s").over(everything).alias("_total"),
     )
-    out = tagged.join(F.broadcast(offsets), "_pid").select(
-        *[c for c in df.columns],
-        (F.col("_off_n") + F.col("_i")).alias("_rank"),
-        (F.col("_off_s") + F.col("_cum")).alias("_cum"),
+    local = Window.partitionBy("_pid").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        tagged.withColumn("_own", F.sum(value_col).over(local))
+        .join(F.broadcast(offsets), "_pid")
+        .select(
+            *df.columns,
+            (F.col("_off_n") + F.col("_i") + 1).alias("_rank"),
+            (F.col("_off_s") + F.col("_own")).alias("_cum"),
+            "_rows",
+            "_total",
+        )
     )
-    return out
 
 
 def pareto_full_curve(
     fact: DataFrame,
     min_rows: int = 30,
-    checkpoint: bool = True,
     entity: tuple[str, ...] = SELLER,
     weight: str = "is_late",
     rank_name: str = "seller_rank",
 ) -> DataFrame:
-    """Q2 for every qualifying entity: rank, cumulative defects and shares."""
-    sd = seller_defects(fact, min_rows, entity, weight)
-    total_late = sd.select(F.sum("late_orders")).scalar()
-    total_sellers = sd.select(F.count(F.lit(1))).scalar()
-    ranked = prefix_rank(sd, _order_keys(entity), "late_orders", checkpoint)
+    """Q2 for every qualifying entity: rank, cumulative defects and shares.
+
+    The fact is read once; totals come from the checkpointed entity rollup."""
+    ranked = prefix_rank(seller_defects(fact, min_rows, entity, weight), _order_keys(entity), "late_orders")
     return ranked.select(
         F.col("_rank").alias(rank_name),
         *entity,
@@ -181,8 +138,8 @@ def pareto_full_curve(
         "late_orders",
         pct("late_orders", "orders").alias("late_rate_pct"),
         F.col("_cum").alias("cum_late"),
-        pct("_cum", total_late).alias("cum_pct_of_all_defects"),
-        pct("_rank", total_sellers).alias("pct_of_sellers"),
+        pct("_cum", "_total").alias("cum_pct_of_all_defects"),
+        pct("_rank", "_rows").alias("pct_of_sellers"),
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,12 +94,42 @@ def key_check(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def fact_lines_summary(lines: DataFrame) -> DataFrame:
-    """V6: line rows, distinct orders, distinct categories, 'unknown' lines."""
-    return lines.agg(
-        F.count(F.lit(1)).alias("line_rows"),
-        F.count_distinct("order_id").alias("distinct_orders"),
-        F.count_distinct("category_en").alias("categories"),
-        F.count_if(F.col("category_en") == "unknown").alias("unknown_category"),
+    """V6: line rows, distinct orders, distinct categories, 'unknown' lines.
+
+    Orders and categories are each rolled up by their own key first, so no
+    line is expanded into one row per distinct count."""
+    per_order = lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("category_en") == "unknown").alias("_u")
+    )
+    categories = lines.select("category_en").distinct().select(F.count("category_en")).scalar()
+    return per_order.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("line_rows"),
+        F.count("order_id").alias("distinct_orders"),
+        F.coalesce(F.sum("_u"), F.lit(0)).cast("bigint").alias("unknown_category"),
+    ).select("line_rows", "distinct_orders", categories.alias("categories"), "unknown_category")
+
+
+def reconcile_labels(df: DataFrame, label: str, first: Column, second: Column, measure: str, names=("a", "b")) -> DataFrame:
+    """V7 in one pass: how many rows each of two labellings puts under each label.
+
+    Rows are counted once by the pair of labels (a table as small as the two
+    label sets); both counts and their difference (second minus first) come from it.
+    """
+    pairs = df.groupBy(first.alias("_a"), second.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    ca, cb = f"{measure}_{names[0]}", f"{measure}_{names[1]}"
+    sides = pairs.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("_a").alias(label), F.col("_n").alias(ca), F.lit(0).cast("bigint").alias(cb)),
+                F.struct(F.col("_b").alias(label), F.lit(0).cast("bigint").alias(ca), F.col("_n").alias(cb)),
+            )
+        ).alias("_s")
+    ).select("_s.*")
+    return (
+        sides.groupBy(label)
+        .agg(F.sum(ca).cast("bigint").alias(ca), F.sum(cb).cast("bigint").alias(cb))
+        .withColumn("diff", F.col(cb) - F.col(ca))
+        .orderBy(label)
     )
 
 

@@ -99,7 +99,7 @@ class Facts:
 
 
 def build_fact_orders(raw: RawModel, path: str) -> None:
-    write_dated(fact_orders_from(raw), path)
+    write_dated(fact_orders_from(raw, reduce_sides=False), path)
 
 
 def build_fact_lines(spark: SparkSession, raw: RawModel, orders_path: str, path: str) -> None:

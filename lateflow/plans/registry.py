@@ -3,17 +3,13 @@
 Each job derives the raw model from the tables under ``sf_dir`` and composes
 the library's lazy transforms on top, so Catalyst sees one plan per job and
 prunes what the job does not read (unused columns, and rollup joins that
-contribute no column). Jobs whose plan consumes the order fact more than once
--- a scalar subquery beside the main query (Q2 and its full curve) or two
-independent band aggregations (the reconciliation) -- read it from a reliable
-checkpoint in the session's ``spark.checkpoint.dir`` instead, so the fact is
-built once and the lineage is cut.
-
-Registered parameters are the reference's defaults except the monthly volume
-gate: at the correctness scale (sf0.01) no month reaches 100 orders, so the
-trend and spike jobs are registered with ``MONTHLY_GATE = 50`` (a default of
-100 would return no rows and prove nothing). The functions themselves keep
-100 as their default.
+contribute no column). Nothing at order grain is checkpointed: the full Pareto curve checkpoints
+its seller rollup, and the reconciliation is one grouping.
+
+Registered parameters are the reference's defaults. Jobs named ``..._gate_50``,
+``..._gaps`` and the like are the same operators with other parameters or on
+tables with rows taken out, so that branches are exercised which the defaults
+never reach on small data.
 """
 
 from __future__ import annotations
@@ -21,34 +17,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lateflow.functions.expr import lateness_band
 from lateflow.operators import diagnostics as T
 from lateflow.operators import facts as F7
 from lateflow.operators import pareto as P
 from lateflow.operators import quality as V
 from lateflow.operators import questions as Q
-from lateflow.sources.schemas import EXPECTED_ROWS, RawModel
+from lateflow.plans import roundtrip as R
+from lateflow.sources.schemas import EXPECTED_ROWS, ORDERS, RawModel
 from lateflow.sources.testmap import raw_model
 
-MONTHLY_GATE = 50
-
-# Fact columns the seller reports (Q2, its full curve) read.
-SELLER_COLUMNS = ("seller_id", "seller_state", "is_late")
-
 Job = Callable[[SparkSession, str], DataFrame]
 
 
 class Model:
     """Raw model plus facts for one (session, source).
 
-    ``fact`` is the lazy order-fact plan; ``stored_fact(*columns)`` is a
-    narrow checkpoint of it for questions that read the fact twice;
-    ``lines`` is the lazy line fact.
+    ``fact`` is the lazy order-fact plan, ``lines`` the lazy line fact.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.raw: RawModel = raw_model(spark, sf_dir)
+        self.sf_dir = sf_dir
+        self.raw: RawModel = raw_model(spark, sf_dir, full=True)
         self._fact = None
         self._lines = None
 
@@ -58,18 +51,6 @@ class Model:
             self._fact = F7.fact_orders_from(self.raw)
         return self._fact
 
-    def stored_fact(self, *columns: str) -> DataFrame:
-        """The order fact, pruned to ``columns``, from a reliable checkpoint.
-
-        Catalyst prunes the fact build to those columns before the write, so
-        a question that reads the fact twice pays for one narrow build; the
-        checkpoint lives in the shared folder and survives lost executors.
-        """
-        from lateflow.session import checkpoint_root
-
-        checkpoint_root(self.spark, fallback=_local_fallback(self.spark))
-        return self.fact.select(*columns).checkpoint(eager=True)
-
     @property
     def lines(self) -> DataFrame:
         if self._lines is None:
@@ -77,15 +58,6 @@ class Model:
         return self._lines
 
 
-def _local_fallback(spark: SparkSession) -> str | None:
-    """A temporary folder only for a local-mode session without spark.checkpoint.dir."""
-    import tempfile
-
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="lateflow-ckpt-")
-    return None
-
-
 def _job(fn: Callable[[Model], DataFrame]) -> Job:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Model(spark, sf_dir))
@@ -101,17 +73,7 @@ def _stage_durations(m: Model) -> DataFrame:
 
 
 def _row_counts(m: Model) -> DataFrame:
-    r = m.raw
-    tables = {
-        "orders": r.orders,
-        "order_items": r.order_items,
-        "order_reviews": r.order_reviews,
-        "customers": r.customers,
-        "products": r.products,
-        "sellers": r.sellers,
-        "product_category_translation": r.product_category_translation,
-    }
-    return V.row_count_check(tables, EXPECTED_ROWS)
+    return V.row_count_check(m.raw.tables(), EXPECTED_ROWS)
 
 
 def _key_check(m: Model) -> DataFrame:
@@ -129,8 +91,6 @@ def _key_check(m: Model) -> DataFrame:
 def _chi_square_test(m: Model) -> DataFrame:
     # The p-value is reported as -log10(p) to 4 places, a form two engines
     # agree on (the double itself differs in its last bits between them).
-    from pyspark.sql import functions as F
-
     test = T.chi_square_test(m.raw.order_items, m.raw.order_reviews)
     return test.select(
         "n",
@@ -141,10 +101,42 @@ def _chi_square_test(m: Model) -> DataFrame:
 
 
 def _reconcile_bands(m: Model) -> DataFrame:
-    fact = m.stored_fact("is_late", "days_late", "review_score", "is_detractor")
-    fixed = Q.lateness_bands(fact)
-    buggy = Q.lateness_bands(fact, same_day_band=False)
-    return V.reconcile(fixed, buggy, ["lateness_band"], "orders", names=("fixed", "buggy"))
+    reviewed = m.fact.filter(F.col("review_score").isNotNull())
+    return V.reconcile_labels(
+        reviewed, "lateness_band", lateness_band(), lateness_band(same_day_band=False), "orders", names=("fixed", "buggy")
+    )
+
+
+def _without_every(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` without the rows whose key is a multiple of ``n``."""
+    return df.filter(F.col(key) % n != 0)
+
+
+def _lines_gaps(m: Model) -> DataFrame:
+    """Line fact where every fifth product is unknown."""
+    products = _without_every(m.raw.products, "product_id", 5)
+    return F7.fact_lines(m.raw.order_items, m.fact, products, m.raw.product_category_translation)
+
+
+def _key_check_bad(m: Model) -> DataFrame:
+    """Key check over customers of which every tenth occurs twice and every seventh has no key."""
+    k = F.col("customer_id")
+    twice = m.raw.customers.unionByName(m.raw.customers.filter(k % 10 == 0))
+    bad = twice.withColumn("customer_id", F.when(k % 7 != 0, k))
+    return V.key_check({"customers": (bad, "customer_id")})
+
+
+def _t1_latest_delivered(m: Model) -> DataFrame:
+    """T1's cells for delivered orders with the latest review."""
+    groups = T.seller_review_groups(m.raw.order_items, m.raw.order_reviews, review_policy="latest", orders=m.fact)
+    return T.contingency(groups, "seller_group", "review_group")
+
+
+def _t1_pearson(m: Model) -> DataFrame:
+    """Pearson's test of an r x c table: customer state against order status, with its deep tail."""
+    orders = m.raw.orders.join(m.raw.customers.select("customer_id", "customer_state"), "customer_id")
+    test = T.chi_square(orders, "customer_state", "order_status")
+    return test.select("n", "dof", F.col("statistic").cast("decimal(18,4)").alias("chi2"), F.col("neg_log10_p").cast("decimal(12,3)").alias("neg_log10_p"))
 
 
 JOBS: dict[str, Job] = {
@@ -170,10 +162,10 @@ JOBS: dict[str, Job] = {
     "dim_seller": _job(lambda m: F7.dim_seller(m.raw.sellers)),
     # root-cause questions
     "q1_stage_by_outcome": _job(lambda m: Q.stage_by_outcome(m.fact)),
-    "q2_pareto": _job(lambda m: P.pareto(m.stored_fact(*SELLER_COLUMNS))),
-    "pareto_full_curve": _job(lambda m: P.pareto_full_curve(m.stored_fact(*SELLER_COLUMNS))),
+    "q2_pareto": _job(lambda m: P.pareto(m.fact)),
+    "pareto_full_curve": _job(lambda m: P.pareto_full_curve(m.fact)),
     "q3_lane_sla": _job(lambda m: Q.lane_sla(m.fact)),
-    "q4_trend": _job(lambda m: Q.trend(m.fact, min_orders=MONTHLY_GATE)),
+    "q4_trend": _job(lambda m: Q.trend(m.fact)),
     "q5_state_variance": _job(lambda m: Q.state_variance(m.fact)),
     "q6_category": _job(
         lambda m: Q.category_profile(m.fact, m.raw.order_items, m.raw.products, m.raw.product_category_translation)
@@ -188,8 +180,38 @@ JOBS: dict[str, Job] = {
     "recoverable_defects": _job(lambda m: T.recoverable_defects(m.fact)),
     "size_profile": _job(lambda m: T.size_profile(m.lines)),
     "high_rate_sellers": _job(lambda m: P.high_rate_sellers(m.fact)),
-    "spike_months": _job(lambda m: T.spike_months(m.fact, min_orders=MONTHLY_GATE)),
+    "spike_months": _job(lambda m: T.spike_months(m.fact)),
     "right_censoring": _job(lambda m: T.right_censoring(m.raw.orders)),
+    # the same operators where their rarer branches occur
+    "q4_trend_gate_50": _job(lambda m: Q.trend(m.fact, min_orders=50)),
+    "spike_months_gate_50": _job(lambda m: T.spike_months(m.fact, min_orders=50)),
+    "spike_months_low_factors": _job(
+        lambda m: T.spike_months(m.fact, min_orders=50, rate_factor="1.05", volume_factor="1.02")
+    ),
+    "q5_state_gate_1000": _job(lambda m: Q.state_variance(m.fact, min_orders=1000)),
+    "orphan_check_gaps": _job(
+        lambda m: V.orphan_check(m.raw.order_items, _without_every(m.raw.orders, "order_id", 7), "order_id")
+    ),
+    "key_check_bad": _job(_key_check_bad),
+    "fact_lines_gaps": _job(_lines_gaps),
+    "fact_lines_summary_gaps": _job(lambda m: V.fact_lines_summary(_lines_gaps(m))),
+    "q6_category_gaps": _job(
+        lambda m: Q.category_profile(
+            m.fact,
+            m.raw.order_items,
+            _without_every(m.raw.products, "product_id", 5),
+            m.raw.product_category_translation,
+            min_orders=100,
+        )
+    ),
+    "chi_square_latest_delivered": _job(_t1_latest_delivered),
+    "chi_square_pearson": _job(_t1_pearson),
+    # the raw layer through CSV files
+    "csv_round_trip": _job(lambda m: R.round_trip_report(m.spark, m.raw)),
+    "csv_round_trip_orders": _job(lambda m: R.round_trip(m.spark, m.raw, "orders")),
+    "csv_round_trip_items": _job(lambda m: R.round_trip(m.spark, m.raw, "order_items")),
+    "load_report": _job(lambda m: R.malformed_report(m.spark, m.raw)),
+    "schema_report": _job(lambda m: V.schema_report(m.spark, R.round_trip(m.spark, m.raw, "orders"), ORDERS)),
 }
 
 # Jobs whose output has no SQL equivalent in the oracle engine (none today).

@@ -1,11 +1,9 @@
 """Spark session settings the library relies on.
 
 Every function in the package is a lazy DataFrame -> DataFrame transform; the
-session only has to carry three contracts:
+session only has to carry two contracts (stage stamps are ``timestamp_ntz``
+and counted without a zone, so the session's zone plays no part):
 
-* ``spark.sql.session.timeZone=UTC`` -- stage stamps are ``timestamp_ntz``;
-  ``date_trunc`` returns a session-zone ``timestamp``, so minute boundaries
-  must be counted in a fixed zone.
 * AQE on, with skew-join splitting and partition coalescing -- the fact build
   joins on order, customer and seller keys, any of which may be hot.
 * ANSI mode left on (the 4.x default): silent overflow would hide bugs in the
@@ -20,7 +18,6 @@ import uuid
 from pyspark.sql import SparkSession
 
 SESSION_CONF: dict[str, str] = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -52,8 +49,6 @@ def get_session(
     for key, value in (extra_conf or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    # getOrCreate keeps an existing session's settings; the zone is a contract.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -2,10 +2,16 @@
 
 For every ``TableSpec`` of the load plan:
 
-1. scan the CSV with every column as text (header, UTF-8, RFC-4180 quoting:
+1. read the header, bind columns **by name** whatever their order, fail on a
+   column the table needs and the file lacks, and report columns the table
+   does not know. A path may be one file or a folder of part files, each with the same
+   header (a file with another one fails the load);
+   scan the CSV with every column as text (UTF-8, RFC-4180 quoting:
    ``quote='"'``, ``escape='"'`` so doubled quotes and embedded newlines parse;
    ``multiLine`` only for files that need it, because such a file cannot be
-   split into several tasks);
+   split into several tasks: give large ones as a folder of part files). Rows with too few or too many fields are
+   counted as ``malformed_rows``: missing fields load as NULL, surplus ones are
+   not stored, and ``fail_on_malformed`` turns any such row into an error;
 2. clean each field the way the reference's loader does: a field equal to a
    pandas NA token (compared untrimmed) becomes NULL, then Python-``strip()``
    whitespace is removed, then an empty string becomes NULL;
@@ -34,15 +40,16 @@ from pyspark.sql import types as T
 from lateflow.functions.expr import strip_text
 from lateflow.sources.schemas import LOAD_PLAN, NA_TOKENS, TableSpec
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+MALFORMED = "_malformed"
 
 
-def read_text_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """Scan a CSV with the spec's column names, every column as string."""
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in spec.schema.fields])
+class MalformedSource(ValueError):
+    """A source file that cannot be loaded as the table it is meant for."""
+
+
+def _csv_reader(spark: SparkSession, spec: TableSpec):
     return (
-        spark.read.schema(text_schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')
@@ -52,8 +59,32 @@ def read_text_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+    )
+
+
+def read_text_csv(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFrame, list[str]]:
+    """Scan a CSV, columns bound by header name, every column as string, and
+    ``MALFORMED`` (the record, where its number of fields is wrong). Also the
+    names of columns the table does not know."""
+    header = _csv_reader(spark, spec).csv(path).columns
+    wanted = [f.name for f in spec.schema.fields]
+    place = {}
+    for i, name in enumerate(header):
+        place.setdefault(name.strip().removeprefix("\ufeff"), i)
+    missing = [n for n in wanted if n not in place]
+    if missing:
+        raise MalformedSource(f"{path} lacks the columns {missing} of {spec.table}; its header is {header}")
+    text = T.StructType([T.StructField(n, T.StringType(), True) for n in [*header, MALFORMED]])
+    scan = (
+        _csv_reader(spark, spec)
+        .schema(text)
+        .option("enforceSchema", False)  # every part file must have this header
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)  # the number of fields counts, also of those not loaded
         .csv(path)
     )
+    columns = [F.col(f"`{header[place[n]]}`").alias(n) for n in wanted]
+    return scan.select(*columns, MALFORMED), [n for n in place if n not in wanted]
 
 
 def clean_text(c: Column, na_tokens=NA_TOKENS) -> Column:
@@ -67,10 +98,7 @@ def typed(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.TimestampNTZType):
-        # the declared format first, then ISO forms (e.g. fractional seconds)
-        return F.coalesce(
-            F.try_to_timestamp(c, F.lit(TIMESTAMP_FORMAT)).cast("timestamp_ntz"), c.try_cast("timestamp_ntz")
-        )
+        return c.try_cast("timestamp_ntz")  # never through a zoned timestamp
     if isinstance(dtype, (T.IntegerType, T.LongType)):
         as_dec = c.try_cast("decimal(38,6)")
         integral = as_dec == F.floor(as_dec)
@@ -108,6 +136,8 @@ class LoadResult:
     status: str
     rows: int
     rejects: dict[str, int]
+    malformed_rows: int = 0
+    unknown_columns: tuple[str, ...] = ()
 
 
 def source_exists(spark: SparkSession, path: str) -> bool:
@@ -122,7 +152,7 @@ def source_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def load_table(spark: SparkSession, data_dir: str, spec: TableSpec, target_dir: str) -> LoadResult:
+def load_table(spark: SparkSession, data_dir: str, spec: TableSpec, target_dir: str, fail_on_malformed: bool = False) -> LoadResult:
     """Load one CSV into ``target_dir/<table>`` (parquet, overwrite)."""
     path = f"{data_dir.rstrip('/')}/{spec.file}"
     out = f"{target_dir.rstrip('/')}/{spec.table}"
@@ -130,17 +160,23 @@ def load_table(spark: SparkSession, data_dir: str, spec: TableSpec, target_dir:
         spark.createDataFrame([], spec.schema).write.mode("overwrite").parquet(out)
         return LoadResult(spec.table, spec.file, "missing", 0, {})
     cols, rejects = clean_columns(spec)
+    scan, unknown = read_text_csv(spark, path, spec)
     obs = Observation(f"load_{spec.table}")
-    metrics = [F.count(F.lit(1)).alias("rows")] + [agg.alias(f"reject_{k}") for k, agg in rejects.items()]
+    metrics = [F.count(F.lit(1)).alias("rows"), F.count(MALFORMED).alias("malformed")]
+    metrics += [agg.alias(f"reject_{k}") for k, agg in rejects.items()]
     # metrics are computed on the text scan as rows stream into the write
-    read_text_csv(spark, path, spec).observe(obs, *metrics).select(*cols).write.mode("overwrite").parquet(out)
+    scan.observe(obs, *metrics).select(*cols).write.mode("overwrite").parquet(out)
     got = obs.get
+    if fail_on_malformed and got["malformed"]:
+        raise MalformedSource(f"{path} has {got['malformed']} rows with too few or too many fields")
     return LoadResult(
         spec.table,
         spec.file,
         "loaded",
         int(got["rows"]),
         {k: int(got[f"reject_{k}"]) for k in rejects if got[f"reject_{k}"]},
+        int(got["malformed"]),
+        tuple(unknown),
     )
 
 
@@ -149,17 +185,24 @@ def load_all(spark: SparkSession, data_dir: str, target_dir: str, plan=LOAD_PLAN
 
     Tables are independent jobs, submitted from ``parallel`` driver threads.
     Report columns: table_name, source_file, status, rows, rejects (map of
-    column -> count of unparseable values), in plan order; the last row is
+    column -> count of unparseable values), malformed_rows, unknown_columns, in plan order; the last row is
     the total.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         results = list(pool.map(lambda spec: load_table(spark, data_dir, spec, target_dir), plan))
-    total = LoadResult("TOTAL", "", "", sum(r.rows for r in results), {})
-    schema = "table_name string, source_file string, status string, rows bigint, rejects map<string,bigint>"
+    total = LoadResult("TOTAL", "", "", sum(r.rows for r in results), {}, sum(r.malformed_rows for r in results))
+    schema = (
+        "table_name string, source_file string, status string, rows bigint, rejects map<string,bigint>, "
+        "malformed_rows bigint, unknown_columns array<string>"
+    )
     return spark.createDataFrame(
-        [(r.table, r.file, r.status, r.rows, r.rejects) for r in results + [total]], schema
+        [
+            (r.table, r.file, r.status, r.rows, r.rejects, r.malformed_rows, list(r.unknown_columns))
+            for r in results + [total]
+        ],
+        schema,
     )
 
 

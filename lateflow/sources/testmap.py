@@ -56,9 +56,9 @@ def derive_orders(orders: DataFrame) -> DataFrame:
 
 
 def derive_order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    purchase = orders.select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("_purchase")
-    )
+    # one row per order key, so that a job which does not read the shipping
+    # limit drops this left join
+    purchase = orders.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.max("o_orderdate").alias("_purchase"))
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     return lineitem.join(purchase, "l_orderkey", "left").select(
         F.col("l_orderkey").alias("order_id"),
@@ -141,13 +141,36 @@ def derive_translation(part: DataFrame) -> DataFrame:
         .distinct()
         .select(
             brand.alias("product_category_name"),
-            F.concat(F.lit("Category "), F.substring(brand, 7, 1 << 20)).alias(
+            F.concat(F.lit("Category "), F.expr("substring(p_brand, 7)")).alias(
                 "product_category_name_english"
             ),
         )
     )
 
 
+def derive_payments(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    return orders.select(
+        k.alias("order_id"),
+        F.lit(1).alias("payment_sequential"),
+        F.when(k % 4 == 0, "voucher").otherwise("card").alias("payment_type"),
+        (k % 12 + 1).cast("int").alias("payment_installments"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("payment_value"),
+    )
+
+
+def derive_geolocation(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    geo = _geo(nation, region).withColumnRenamed("n_nationkey", "c_nationkey")
+    k = F.col("c_custkey")
+    return customer.join(F.broadcast(geo), "c_nationkey", "left").select(
+        F.lpad((k % 100_000).cast("string"), 5, "0").alias("geolocation_zip_code_prefix"),
+        (k % 180 - 90).cast("double").alias("geolocation_lat"),
+        (k % 360 - 180).cast("double").alias("geolocation_lng"),
+        F.col("n_name").alias("geolocation_city"),
+        F.col("r_name").alias("geolocation_state"),
+    )
+
+
 @dataclass(frozen=True)
 class TpchSource:
     spark: SparkSession
@@ -157,8 +180,9 @@ class TpchSource:
         return read_table(self.spark, self.sf_dir, name)
 
 
-def raw_model(spark: SparkSession, sf_dir: str) -> RawModel:
-    """The raw order model derived from the TPC-H-like tables under ``sf_dir``."""
+def raw_model(spark: SparkSession, sf_dir: str, full: bool = False) -> RawModel:
+    """The raw order model derived from the TPC-H-like tables under ``sf_dir``;
+    with ``full`` also payments and geolocation, which no analysis joins."""
     src = TpchSource(spark, sf_dir)
     orders = src.table("orders")
     nation, region = src.table("nation"), src.table("region")
@@ -170,4 +194,6 @@ def raw_model(spark: SparkSession, sf_dir: str) -> RawModel:
         sellers=derive_sellers(src.table("supplier"), nation, region),
         products=derive_products(src.table("part")),
         product_category_translation=derive_translation(src.table("part")),
+        order_payments=derive_payments(orders) if full else None,
+        geolocation=derive_geolocation(src.table("customer"), nation, region) if full else None,
     )

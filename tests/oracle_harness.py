@@ -97,8 +97,10 @@ def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     import __spark_entry__ as E
 
-    names = argv[1:] or list(E.queries())
-    spark = get_session("local[8]", shuffle_partitions=8)
+    from lateflow.plans.registry import JOBS
+
+    names = argv[1:] or list(JOBS)
+    spark = get_session(os.environ.get("HARNESS_MASTER", "local[8]"), shuffle_partitions=8)
     con = duck(sf_dir)
     bad = 0
     for n in names:

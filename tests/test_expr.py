@@ -33,6 +33,19 @@ def test_minute_difference_counts_boundaries(spark):
     assert _one(spark, m, schema, (None, ts("2024-01-01 10:00:30"))) is None
 
 
+def test_minutes_do_not_depend_on_the_session_zone(spark):
+    rows = [(ts("2018-03-11 02:30:00"), ts("2018-03-11 04:00:00")), (ts("2018-11-04 00:59:59"), ts("2018-11-04 02:00:00")),
+            (ts("1965-06-01 00:00:59"), ts("1965-06-01 00:01:00"))]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz").select(minutes_between("a", "b"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "America/Sao_Paulo", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.collect()] == [90, 61, 1], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_day_difference_counts_calendar_days(spark):
     schema = "a timestamp_ntz, b timestamp_ntz"
     d = days_between("a", "b")

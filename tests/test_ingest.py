@@ -6,6 +6,8 @@ import datetime as dt
 import os
 from decimal import Decimal
 
+import pytest
+
 from lateflow.sources import ingest
 from lateflow.sources.schemas import LOAD_PLAN
 
@@ -115,3 +117,39 @@ def test_nan_spellings_become_null(spark):
     df = spark.createDataFrame([("NAN",), ("nAn",), ("1.5",)], "v string")
     got = [r[0] for r in df.select(ingest.typed(ingest.clean_text(F.col("v")), T.DoubleType())).collect()]
     assert got == [None, None, 1.5]
+
+
+def test_columns_are_bound_by_name(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "csv")
+    os.makedirs(src)
+    _write(src, "olist_sellers_dataset.csv", "seller_state,extra,seller_city,seller_id,seller_zip_code_prefix\nSP,x,Sao Paulo,s1,01000\n")
+    result = ingest.load_table(spark, src, SPECS["sellers"], os.path.join(tmpdir_path, "raw"))
+    assert result.status == "loaded" and result.unknown_columns == ("extra",) and result.malformed_rows == 0
+    row = spark.read.parquet(os.path.join(tmpdir_path, "raw", "sellers")).first()
+    assert (row["seller_id"], row["seller_zip_code_prefix"], row["seller_city"], row["seller_state"]) == ("s1", "01000", "Sao Paulo", "SP")
+
+
+def test_a_missing_column_fails(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "csv")
+    os.makedirs(src)
+    _write(src, "olist_sellers_dataset.csv", "seller_id,seller_city,seller_state\ns1,c,SP\n")
+    with pytest.raises(ingest.MalformedSource, match="seller_zip_code_prefix"):
+        ingest.load_table(spark, src, SPECS["sellers"], os.path.join(tmpdir_path, "raw"))
+
+
+def test_short_and_long_rows_are_counted(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "csv")
+    os.makedirs(src)
+    _write(
+        src,
+        "olist_customers_dataset.csv",
+        "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\n"
+        "c1,u1,01234,sao paulo,SP\nc2,u2,05678\nc3,u3,1,x,RJ,more,fields\n",
+    )
+    target = os.path.join(tmpdir_path, "raw")
+    result = ingest.load_table(spark, src, SPECS["customers"], target)
+    assert (result.rows, result.malformed_rows) == (3, 2)
+    states = {r["customer_id"]: r["customer_state"] for r in spark.read.parquet(f"{target}/customers").collect()}
+    assert states == {"c1": "SP", "c2": None, "c3": "RJ"}
+    with pytest.raises(ingest.MalformedSource, match="2 rows"):
+        ingest.load_table(spark, src, SPECS["customers"], target, fail_on_malformed=True)

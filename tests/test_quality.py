@@ -28,8 +28,9 @@ def test_orphans_keys_and_counts(spark):
     assert c["orders"]["matches"] is True and c["x"]["expected_rows"] is None and c["x"]["matches"] is None
 
 
-def test_reconcile_full_outer(spark):
-    a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, n long")
-    b = spark.createDataFrame([("y", 5), ("z", 3)], "k string, n long")
-    got = {r["k"]: (r["n_a"], r["n_b"], r["diff"]) for r in quality.reconcile(a, b, ["k"], "n").collect()}
-    assert got == {"x": (1, 0, -1), "y": (2, 5, 3), "z": (0, 3, 3)}
+def test_reconcile_labels(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("x", "y"), ("y", "y"), ("y", "z"), ("y", "y")], "a string, b string")
+    got = {r["k"]: (r["n_a"], r["n_b"], r["diff"]) for r in quality.reconcile_labels(df, "k", F.col("a"), F.col("b"), "n").collect()}
+    assert got == {"x": (1, 0, -1), "y": (3, 3, 0), "z": (0, 1, 1)}

@@ -9,10 +9,28 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lateflow.functions.chisq import chi2_sf
 from lateflow.operators import diagnostics, pareto
 
 
+def chi2_log_sf(x: float, k: int) -> float:
+    """ln P(X >= x) by finite sums: e^-h sum h^i / i! for even k, with an erfc term and half-integer steps for odd k."""
+    h = x / 2
+    if x <= 0 or k <= 0:
+        return 0.0
+    if k % 2 == 0:
+        logs = [i * math.log(h) - math.lgamma(i + 1) - h for i in range(k // 2)]
+    else:
+        logs = [(i - 0.5) * math.log(h) - math.lgamma(i + 0.5) - h for i in range(1, (k - 1) // 2 + 1)]
+        tail = math.erfc(math.sqrt(h))
+        logs.append(math.log(tail) if tail > 0 else -h - 0.5 * math.log(math.pi * h) + math.log1p(-1 / (2 * h)))
+    top = max(logs)
+    return top + math.log(math.fsum(math.exp(v - top) for v in logs))
+
+
+def chi2_sf(x: float, k: int) -> float:
+    return math.exp(chi2_log_sf(x, k))
+
+
 def _table(spark, counts):
     rows = []
     for (r, c), n in counts.items():
@@ -44,6 +62,16 @@ def test_yates_capped_when_difference_small(spark):
     assert diagnostics.chi_square(df, "row", "col").first()["statistic"] == 0.0
 
 
+def test_p_value_for_many_degrees_of_freedom(spark):
+    from lateflow.functions.chisq import log_p_value
+
+    cases = [(float(x), k) for k in (1, 2, 3, 7, 40, 399, 5000, 20_000, 99_999, 100_000) for x in (0.5 * k, 0.97 * k, k, 1.02 * k, 1.3 * k)]
+    cases += [(1158.9, 1), (5000.0, 2), (40_000.0, 20_000)]  # deep tails
+    df = spark.createDataFrame(cases, "x double, k long")
+    for (x, k), r in zip(cases, df.select(log_p_value(F.col("x"), F.col("k"))).collect()):
+        assert math.isclose(r[0], chi2_log_sf(x, k), rel_tol=1e-6, abs_tol=1e-8), (x, k, r[0], chi2_log_sf(x, k))
+
+
 def test_chi2_sf_values():
     assert math.isclose(chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-9)
     assert math.isclose(chi2_sf(5.991464547107979, 2), 0.05, rel_tol=1e-9)
@@ -69,7 +97,19 @@ def test_prefix_rank_matches_window_across_partitions(spark):
         F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
     )
     assert sorted(got.collect()) == sorted(want.collect())
-    assert got.rdd.getNumPartitions() >= 1
+    ranked = pareto.prefix_rank(df, keys, "v")
+    assert {(r["_rows"], r["_total"]) for r in ranked.collect()} == {(2000, sum(v for _, v in rows))}
+
+
+def test_ranks_are_data_whatever_is_done_with_them(spark):
+    rows = [(i, (i * 7919) % 13) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(9)
+    ranked = pareto.prefix_rank(df, [F.desc("v"), F.asc("k")], "v")
+    total = sum(v for _, v in rows)
+    for shaped in (ranked.coalesce(2), ranked.coalesce(1), ranked.union(ranked.limit(0)), ranked.repartition(3)):
+        got = shaped.collect()
+        assert sorted(r["_rank"] for r in got) == list(range(1, 4001)) and max(r["_cum"] for r in got) == total
+    assert len({r["_rank"] for r in ranked.limit(50).collect()}) == 50
 
 
 def test_pareto_report_is_prefix_of_full_curve(spark):
