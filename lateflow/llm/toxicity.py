@@ -24,6 +24,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -55,33 +56,43 @@ def features(word: bytes) -> list[int]:
     return [zlib.crc32(p.encode()) & ((1 << BITS) - 1) for p in parts]
 
 
-def pick_forms(toxic: list[set[str]], clean: list[set[str]], ratio: float = 20.0, times: int = 8) -> set[str]:
-    """Forms far likelier in toxic documents, by a cover in which each use halves a document's weight."""
-    n_toxic, n_clean = Counter(f for d in toxic for f in d), Counter(f for d in clean for f in d)
-    a, b = len(toxic) + 1, len(clean) + 1
+def pick_forms(toxic: list[bytes], clean: list[bytes], ratio: float = 20.0) -> set[str]:
+    """Forms far likelier in toxic texts, by a cover in which each use halves a text's weight.
+
+    Only forms of two toxic texts or more are held, so that memory follows those and not the clean texts' words.
+    """
+    times = Counter(f for t in toxic for f in {f for w in set(t.lower().split()) for f in forms(w)})
+    number = {f: i for i, (f, n) in enumerate(times.items()) if n >= 2}
+    del times
+    size = max(number.values(), default=0) + 1
+
+    def numbers(text: bytes) -> np.ndarray:
+        return np.array(sorted({i for w in set(text.lower().split()) for f in forms(w) if (i := number.get(f)) is not None}), np.int32)
+
+    each = [numbers(t) for t in toxic]
+    n_toxic, n_clean = np.zeros(size), np.zeros(size)
+    for own in each:
+        n_toxic[own] += 1
+    for t in clean:
+        n_clean[numbers(t)] += 1
+    good = (n_toxic >= 2) & ((n_toxic / (len(toxic) + 1)) / ((n_clean + 0.5) / (len(clean) + 1)) >= ratio)
     where = defaultdict(list)
-    for i, d in enumerate(toxic):
-        for f in d:
-            if n_toxic[f] >= 2 and (n_toxic[f] / a) / ((n_clean[f] + 0.5) / b) >= ratio:
-                where[f].append(i)
-    weight, picked = np.ones(len(toxic)), set()
-    least = max(1.2, 0.002 * len(toxic))
-    bound = {f: float(len(docs)) for f, docs in where.items()}  # weights only fall, so old sums are upper bounds
-    while bound and len(picked) < 400 * times:
-        f = max(bound, key=bound.get)
+    for i, own in enumerate(each):
+        for f in own[good[own]].tolist():
+            where[f].append(i)
+    weight, picked, least = np.ones(len(toxic)), set(), max(1.2, 0.002 * len(toxic))
+    heap = [(-float(len(docs)), f) for f, docs in where.items()]  # weights only fall, so old sums are upper bounds
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= least:
+        bound, f = heap[0]
         now = float(weight[where[f]].sum())
-        if now < least:
-            if bound[f] < least:
-                break
-            del bound[f]
-            continue
-        if now < bound[f] and now < max((v for g, v in bound.items() if g != f), default=0):
-            bound[f] = now
+        if now < -bound:
+            heapq.heapreplace(heap, (-now, f))
             continue
+        heapq.heappop(heap)
         picked.add(f)
         weight[where[f]] /= 2
-        del bound[f]
-    return picked
+    return {f for f, i in number.items() if i in picked}
 
 
 class Chain:
@@ -97,7 +108,7 @@ class Chain:
 
     def train(self, lines: list[list[list[int]]], labels: list[list[int]], rounds: int = 60, rate: float = 0.5, l2: float = 1e-4) -> None:
         n, longest = len(lines), max(map(len, lines))
-        x = np.zeros((n, longest, FEATURES), np.int64)
+        x = np.zeros((n, longest, FEATURES), np.int32)
         y, mask = np.zeros((n, longest)), np.zeros((n, longest), bool)
         for i, (line, label) in enumerate(zip(lines, labels)):
             x[i, : len(line)], y[i, : len(line)], mask[i, : len(line)] = line, label, True
@@ -191,23 +202,26 @@ class ToxicityModel:
         return score, np.split(p, np.cumsum(lengths)[:-1]) if len(many) else []
 
 
-def fit(toxic: list[bytes], clean: list[bytes], line_words: int = 64, plain_lines: int = 6_000, toxic_lines: int = 6_000) -> ToxicityModel:
-    """Train on distinct labelled texts."""
+def fit(toxic: list[bytes], clean: list[bytes], line_words: int = 64, plain_lines: int = 4_000, toxic_lines: int = 4_000, share: float = 0.1) -> ToxicityModel:
+    """Train on distinct labelled texts; ``share`` is the share of toxic texts to expect."""
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
     if not toxic or not clean:
         return ToxicityModel(len(toxic) / max(1, len(toxic) + len(clean)))
-    split = {t: [line.lower().split() for line in t.split(b"\n")] for t in [*toxic, *clean]}
-    known: dict[bytes, list[str]] = {}
-    found = {t: {f for line in lines for w in line for f in (known.get(w) or known.setdefault(w, forms(w)))} for t, lines in split.items()}
-    picked = pick_forms([found[t] for t in toxic], [found[t] for t in clean])
-    marked, plain = [], []
-    for t, bad in [*((t, True) for t in toxic), *((t, False) for t in clean)]:
-        for line in split[t]:
-            for at in range(0, len(line), line_words):
-                part = line[at : at + line_words]
-                label = [int(bad and any(f in picked for f in known[w])) for w in part]
-                (marked if any(label) else plain).append((zlib.crc32(b" ".join(part)), part, label))
-    rows = sorted(marked)[:toxic_lines] + sorted(plain)[:plain_lines]
+    picked = pick_forms(toxic, clean)
+
+    def lines(want: bool) -> Iterator[tuple[int, list[bytes], list[int]]]:
+        """Stretches of lines with labelled words, or those without, and a hash that orders them."""
+        for texts, bad in ((toxic, True), (clean, False)):
+            for text in texts if bad or not want else ():
+                for line in text.lower().split(b"\n"):
+                    words = line.split()
+                    for at in range(0, len(words), line_words):
+                        part = words[at : at + line_words]
+                        label = [int(bad and any(f in picked for f in forms(w))) for w in part] if bad else [0] * len(part)
+                        if any(label) == want:
+                            yield zlib.crc32(b" ".join(part)), part, label
+
+    rows = heapq.nsmallest(toxic_lines, lines(True)) + heapq.nsmallest(plain_lines, lines(False))
     cached: dict[bytes, list[int]] = {}
     chain = Chain()
     chain.emit[features(b"x")[0]] = -2.0  # most words are plain
@@ -222,6 +236,7 @@ def fit(toxic: list[bytes], clean: list[bytes], line_words: int = 64, plain_line
         emissions = np.fromiter((e for w in words for e in model.emissions(w, cache)), float, int(lengths.sum()))
         x.append(_summary(chain.marginals(emissions, lengths), lengths))
     model.weights = _logistic(np.concatenate(x), np.repeat([1, 0], [len(toxic), len(clean)]))
+    model.weights[0] += np.log(share / (1 - share))  # the rows above count both classes alike
     return model
 
 
@@ -233,7 +248,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= text_bytes).join(F.broadcast(ids), "_id").select("_text", "_y")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fit_rows: int = 4_000, fit_bytes: int = 8_192) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fit_rows: int = 3_000, fit_bytes: int = 8_192) -> ToxicityModel:
     rows = labelled_sample(docs, labels, label, id_col, text_col, fit_rows, fit_bytes).select(F.col("_text").cast("binary"), "_y").collect()
     return fit([bytes(r[0]) for r in rows if r[1] == 1], [bytes(r[0]) for r in rows if r[1] == 0])
 
