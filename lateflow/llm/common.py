@@ -81,6 +81,11 @@ def worker_state(key: tuple, make: Callable[[], object]) -> object:
     return home.__dict__[key]
 
 
+def release_worker() -> None:
+    """Drop what ``worker_state`` keeps, at the start of tasks that need the memory for other things."""
+    sys.modules.pop("lateflow_worker_state", None)
+
+
 def share(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast an object of this package by value, as its functions are; ``load`` reads it in a task."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -6,9 +6,11 @@ next. For each band the Hamming distance that linked sets can have is known,
 ``k``. The hash domain is cut into ``first`` ranges, one of which holds at most
 ``errors`` of the ``k`` differences, and that range into ``second`` cells; a
 signature is the projection of a set onto all but ``errors`` of the cells, for
-every such subset of cells. Linked sets share at least one signature; there
-are spare ranges, so that projections without elements need no signature
-unless a set has more of them than spares.
+every such subset of cells. Linked sets share at least one signature. A
+projection without elements says little and would be shared by very many sets.
+So there are spare ranges, of which linked sets then agree on ``spare + 1`` or more, and a
+set that lacks elements in more ranges than the spares signs every ``spare + 1``
+such ranges together.
 
 Most documents have no near copy, and a prefix filter spares them the
 signatures: of a set's smallest hashes (a fixed share of them), so many must also
@@ -16,12 +18,14 @@ be among the smallest of a linked set that a set where fewer occur anywhere
 else links with nothing. The filter is exact.
 
 Equal sets count once, under the hash of the set. Sets that share a signature
-form a group; groups with the same members count once. Within a group, the
-member that meets most others is compared with all the rest, in rounds, until
-every group lies in one component; groups that are small in sum are finished by
-comparing what is left across components. So no link between different
-texts is lost, and no group is multiplied out as a whole. A comparison is exact,
-on the sets of both texts.
+form a group; groups with the same members count once, and groups that overlap
+form a cluster. A cluster is compared in blocks: each task gets two blocks of
+sets, counts all their common elements as a product of matrices, and hands on
+only edges that join linked sets, never pairs. Of clusters beyond ``cluster_rows`` first the
+member that meets most others in a group is compared with all the rest, which
+brings a large group of near copies together in linear work; groups that lie in one
+component need nothing more. So no link between different
+texts is lost. A comparison is exact, on the sets of both texts.
 
 Defined cases: null texts and texts without words have the empty set and link
 with nothing; texts with fewer words than ``n`` have their whole sequence as the
@@ -44,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, discard, raw_bytes, store
+from lateflow.llm.common import cut, discard, raw_bytes, release_worker, store
 from lateflow.llm.components import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -59,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler(dict):
     """Sorted distinct n-gram hashes of texts; word hashes are kept within a bound."""
 
-    def __init__(self, n: int, bound: int = 400_000):
+    def __init__(self, n: int, bound: int = 200_000):
         super().__init__()
         self.n, self.bound = n, bound
 
@@ -120,18 +124,10 @@ class Bands:
             return 1, 1, ((0,),), 0
         if k <= 3:
             errors, second = k, {1: 4, 2: 6, 3: 7}[k]
-        elif k <= 12:
-            errors, second = 2, 5
         else:
-            errors, second = 1, 3
-        subsets = tuple(combinations(range(second), second - errors))
-        least = self.upper[max(0, index - 2)] + 1  # the smallest set that meets this band
-        spare = 0
-        for _ in range(12 if k > 3 else 0):  # enough ranges beyond those that may lack elements
-            first = k // (errors + 1) + 1 + spare
-            lacking = first * min(1.0, len(subsets) * math.exp(-least * (second - errors) / (first * second)))
-            spare = min(math.ceil(lacking + 3 * math.sqrt(lacking)) - 1, k)
-        return k // (errors + 1) + 1 + spare, second, subsets, spare
+            errors, second = (3, 7) if k <= 12 else (2, 5)
+        spare = 2 if k > 12 else 0
+        return k // (errors + 1) + 1 + spare, second, tuple(combinations(range(second), second - errors)), spare
 
     def signatures(self, h: np.ndarray) -> np.ndarray:
         """All signatures of a set given as sorted hashes."""
@@ -154,7 +150,12 @@ class Bands:
                 made.append(_mix(value + np.arange(first, dtype=np.uint64) * _A + np.uint64((index * 1009 + number) * int(_B) & (1 << 64) - 1)))
                 some.append(full[:, subset].any(1))
             made, some = np.stack(made, 1), np.stack(some, 1)
-            out.append(made.ravel() if (~some.all(1)).sum() > spare else made[some])
+            out.append(made[some])
+            if (~some.all(1)).sum() > spare:
+                # any spare + 1 ranges that lack elements, with a subset that lacks them in each
+                lacking = [(int(r), int(v)) for r, v in zip(np.nonzero(~some)[0], made[~some])]
+                together = [sum(v for _, v in c) & (1 << 64) - 1 for c in combinations(lacking, spare + 1) if len({r for r, _ in c}) == spare + 1]
+                out.append(_mix(np.array(together, np.uint64) ^ _A))
         return np.concatenate(out)
 
 
@@ -171,6 +172,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 4, whole: int =
     kind = docs.schema["_id"].dataType.simpleString()
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         shingler = Shingler(n)
         for batch in batches:
             size, node = [], []
@@ -192,8 +194,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 4, whole: int =
 
 
 def _bits(df: DataFrame) -> int:
-    """Enough buckets of the hash space for every shuffle partition to get several."""
-    return max(6, math.ceil(math.log2(16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    """Enough buckets of the hash space for every shuffle partition; a task sends a row for each bucket at most."""
+    return max(6, math.ceil(math.log2(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def _pack(values: np.ndarray, node: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -222,6 +224,7 @@ def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _emit(texts: Iterator[bytes], n: int, make, bits: int) -> Iterator[pa.RecordBatch]:
     """Packed values that ``make`` gives for each distinct set of a task's texts."""
+    release_worker()
     shingler, seen, held, count = Shingler(n), set(), [], 0
 
     def flush() -> pa.RecordBatch:
@@ -237,12 +240,12 @@ def _emit(texts: Iterator[bytes], n: int, make, bits: int) -> Iterator[pa.Record
         node = fingerprint(h)
         if node in seen:
             continue
-        if len(seen) >= 1_000_000:
+        if len(seen) >= 200_000:
             seen.clear()
         seen.add(node)
         held.append((make(h), node))
         count += len(held[-1][0])
-        if count >= 2_000_000:
+        if count >= 1_000_000:
             yield flush()
             count = 0
     if held:
@@ -316,7 +319,7 @@ def signature_groups(sets: DataFrame, n: int, part: int, whole: int) -> DataFram
                 key = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
                 if key in known:
                     continue
-                if len(known) >= 1_000_000:
+                if len(known) >= 200_000:
                     known.clear()
                 known.add(key)
                 gid.append(np.full(m, int.from_bytes(key, "little", signed=True)))
@@ -341,7 +344,7 @@ def _texts(docs: DataFrame, rows: DataFrame, active: DataFrame, n: int) -> DataF
             key, packed = [], []
             for own, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
                 if own not in done:
-                    if len(done) >= 1_000_000:
+                    if len(done) >= 200_000:
                         done.clear()
                     done.add(own)
                     key.append(own)
@@ -359,43 +362,127 @@ def _texts(docs: DataFrame, rows: DataFrame, active: DataFrame, n: int) -> DataF
     return cut(found.groupBy("node").agg(F.first("packed").alias("packed")))
 
 
-def resolve(members: DataFrame, sets: DataFrame, n: int, part: int, whole: int, salt_rows: int = 2_000) -> DataFrame:
+def resolve(members: DataFrame, sets: DataFrame, n: int, part: int, whole: int, cluster_rows: int = 8_192, rounds: int = 8) -> DataFrame:
     """``(id, root)`` of linked sets, from groups that share a signature and a text for each set."""
     weight = members.groupBy("node").agg(F.sum("met").alias("weight"))
     members = store(members.join(weight, "node").select("gid", "node", "weight"))
     roots = store(members.select(F.col("node").alias("id"), F.col("node").alias("root")).distinct())
-    while True:
+    for turn in range(rounds + 1):
         placed = members.join(roots, members["node"] == roots["id"]).select("gid", "node", "weight", "root")
-        open_groups = placed.groupBy("gid").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("weight", "node"))["node"].alias("center")).where("lo <> hi")
-        state = store(placed.join(open_groups.select("gid", "m", "center"), "gid"))
+        open_groups = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.max(F.struct("weight", "node"))["node"].alias("center")).where("lo <> hi")
+        state = store(placed.join(open_groups.select("gid", "first", "center"), "gid"))
         discard(members)
-        size, pairs = state.agg(F.count("*"), F.sum((F.col("m") - 1) / 2)).first()
-        if not size:
-            discard(state)
-            return roots
-        last = pairs <= 4 * size + 10_000  # all that is left costs no more than a few rounds
-        if last:
-            a, b = state.alias("a"), state.alias("b")
-            todo = a.join(b, (F.col("a.gid") == F.col("b.gid")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")))
-            todo = todo.select(F.col("a.node").alias("center"), F.col("b.node").alias("node")).distinct()
+        clusters = components(state.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+        largest = sizes.agg(F.max("m")).first()[0]
+        if largest is None:  # no group is open
+            found = None
+        elif largest <= cluster_rows or turn == rounds:
+            found = compare_blocks(clusters.select(F.col("id").alias("node"), F.col("root").alias("cluster")), sizes.select(F.col("root").alias("cluster"), "m"), roots, sets, n, part, whole)
         else:
             center = state.where("node = center").select("gid", F.col("root").alias("center_root"))
-            todo = state.join(center, "gid").where("root <> center_root").select("center", "node").distinct()
-        found = verify(todo, sets, n, part, whole, salt_rows)
-        ends = found.join(roots.select(F.col("id").alias("center"), F.col("root").alias("a")), "center").join(roots.select(F.col("id").alias("node"), F.col("root").alias("b")), "node")
-        merged = components(ends.select("a", "b"))
-        before, roots = roots, store(roots.join(merged.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        for old in (before, found, merged):
-            discard(old)
-        if last:
-            discard(state)
-            return roots
+            found = verify(state.join(center, "gid").where("root <> center_root").select("center", "node").distinct(), sets, n, part, whole)
+        discard(clusters)
+        if found is not None:
+            ends = found.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b")
+            merged = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            before, roots = roots, store(roots.join(merged.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+            for old in (before, found, merged):
+                discard(old)
+        if found is None or largest <= cluster_rows:
+            break
         members = store(state.where("node <> center").select("gid", "node", "weight"))
         discard(state)
+    discard(state)
+    return roots
+
+
+def compare_blocks(clusters: DataFrame, sizes: DataFrame, roots: DataFrame, sets: DataFrame, n: int, part: int, whole: int, block_rows: int = 400) -> DataFrame:
+    """``(a, b)``: edges that join all linked sets of each cluster ``(node, cluster)``."""
+    blocks = F.ceil(F.col("m") / block_rows).cast("int")
+    nodes = (
+        clusters.join(sizes, "cluster")
+        .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+        .join(roots.withColumnRenamed("id", "node"), "node")
+        .join(sets, "node")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = nodes.select("cluster", "block", "node", "root", "packed", other).select(
+        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "packed"
+    )
 
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, expand = Shingler(n), zstandard.ZstdDecompressor()
 
-def verify(pairs: DataFrame, sets: DataFrame, n: int, part: int, whole: int, salt_rows: int) -> DataFrame:
-    """The linked ones of ``pairs (center, node)``.
+        def finish(key: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            hashes = [shingler.hashes(expand.decompress(p)) for _, _, _, p in held]
+            block = np.array([b for b, _, _, _ in held])
+            first, second = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+            linked_ = linked_pairs([hashes[i] for i in first], [hashes[i] for i in second], part, whole)
+            parent = list(range(len(held)))
+
+            def root(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            by_root: dict[int, int] = {}
+            for i, (_, _, r, _) in enumerate(held):  # what is joined already needs no edge
+                parent[i] = by_root.setdefault(r, i)
+            out = []
+            for i, j in linked_:
+                x, y = root(int(first[i])), root(int(second[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((held[first[i]][1], held[second[j]][1]))
+            return out
+
+        current, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for cluster, lo, hi, block, node, r, packed in zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi", "block", "node", "root", "packed"))):
+                if (cluster, lo, hi) != current:
+                    out += finish(current, held)
+                    current, held = (cluster, lo, hi), []
+                held.append((block, node, r, packed))
+            yield _edges(out)
+        yield _edges(finish(current, held))
+
+    dealt = rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "block")
+    return store(dealt.mapInArrow(compare, "a long, b long"))
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+
+def linked_pairs(first: list[np.ndarray], second: list[np.ndarray], part: int, whole: int, columns: int = 8_192) -> list[list[int]]:
+    """Indices of linked sets of two lists; common elements are counted as products of 0/1 matrices, some columns at a time."""
+    a, b = np.concatenate([*first, np.zeros(0, np.uint64)]), np.concatenate([*second, np.zeros(0, np.uint64)])
+    both = np.intersect1d(a, b)  # other elements are common to no pair
+    size_a, size_b = np.array([len(h) for h in first]), np.array([len(h) for h in second])
+    row_a, row_b = np.repeat(np.arange(len(first)), size_a), np.repeat(np.arange(len(second)), size_b)
+    common = np.zeros((len(first), len(second)), np.float32)
+    at_a, at_b = np.searchsorted(both, a), np.searchsorted(both, b)
+    in_a = at_a < len(both)
+    in_a[in_a] = both[at_a[in_a]] == a[in_a]
+    in_b = at_b < len(both)
+    in_b[in_b] = both[at_b[in_b]] == b[in_b]
+    for begin in range(0, len(both), columns):
+        x, y = (np.zeros((len(s), min(columns, len(both) - begin)), np.float32) for s in (first, second))
+        for matrix, row, at, inside in ((x, row_a, at_a, in_a), (y, row_b, at_b, in_b)):
+            here = inside & (at >= begin) & (at < begin + columns)
+            matrix[row[here], at[here] - begin] = 1
+        common += x @ y.T
+    count = common.astype(np.int64)  # below 2 ** 24 common elements these sums are exact
+    return np.argwhere(whole * count >= part * (size_a[:, None] + size_b[None] - count)).tolist()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, n: int, part: int, whole: int, salt_rows: int = 2_000) -> DataFrame:
+    """``(a, b)``: the linked ones of ``pairs (center, node)``.
 
     A centre's text is read once and its partners stream past it; centres with
     very many partners are spread over several tasks.
@@ -418,10 +505,9 @@ def verify(pairs: DataFrame, sets: DataFrame, n: int, part: int, whole: int, sal
                     own = h
                 elif linked(own, h, part, whole):
                     out.append((center, node))
-            a, b = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["center", "node"])
+            yield _edges(out)
 
     dealt = rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
-    found = store(dealt.mapInArrow(compare, "center long, node long"))
+    found = store(dealt.mapInArrow(compare, "a long, b long"))
     discard(pairs)
     return found

@@ -75,8 +75,11 @@ def test_components_equal_brute_force(spark, seed, n, part, whole):
     assert got == brute(ids, texts, n, part, whole)
 
 
-def test_rounds_of_resolve(spark):
-    """Sets around one centre that link with it but not with each other, and a null id."""
+@pytest.mark.parametrize("limit", [8_192, 5])
+def test_rounds_of_resolve(spark, monkeypatch, limit):
+    """Sets around one centre that link with it but not with each other, and a null id; once as a cluster beyond the limit."""
+    monkeypatch.setattr(jaccard.resolve, "__defaults__", (limit, 8))
+    monkeypatch.setattr(jaccard.compare_blocks, "__defaults__", (7,))
     r = random.Random(9)
     base = [f"b{i}" for i in range(120)]
     texts = [" ".join(base)]
@@ -92,6 +95,14 @@ def test_rounds_of_resolve(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_linked_pairs_equal_single_comparisons():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 60), np.uint64)) for _ in range(40)]
+    for columns in (7, 8192):
+        got = jaccard.linked_pairs(sets[:25], sets[20:], 1, 2, columns)
+        assert got == [[i, j] for i, a in enumerate(sets[:25]) for j, b in enumerate(sets[20:]) if jaccard.linked(a, b, 1, 2)]
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(5, 5)]
