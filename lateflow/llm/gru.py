@@ -152,7 +152,7 @@ class Gru:
         score, back = self.outputs(states[real], classes[real], words[real], grads)
         by_state = np.zeros_like(states)
         by_state[real] = back
-        d_table = np.zeros_like(table)
+        by_input = np.empty((end - begin, len(h), 3 * n), h.dtype)
         d = np.zeros_like(h)
         for t in range(end - 1, begin - 1, -1):
             before, z, r, new, u_new = kept[t - begin]
@@ -163,9 +163,14 @@ class Gru:
             d_x = np.concatenate([d_z, d_r, d_new], 1)
             d_hu = np.concatenate([d_z, d_r, d_new * r], 1)
             grads["u"] += before.T @ d_hu
-            np.add.at(d_table, lanes.inputs[t], d_x)
+            by_input[t - begin] = d_x
             d = d * z + d_hu @ p["u"].T
             d[lanes.fresh[t]] = 0
+        inputs = lanes.inputs[begin:end].ravel()
+        order = np.argsort(inputs, kind="stable")
+        met, first = np.unique(inputs[order], return_index=True)
+        d_table = np.zeros_like(table)
+        d_table[met] = np.add.reduceat(by_input.reshape(-1, 3 * n)[order], first)
         grads["embed"] = d_table @ p["w"].T
         grads["w"] = p["embed"].T @ d_table
         grads["b"] = d_table.sum(0)

@@ -81,12 +81,14 @@ class Vocabulary:
         gru.p["bo"][:] = np.log(c)
         return gru
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """Head numbers of a text's tokens (-1 beyond the head) and the tokens."""
+    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Head numbers of a text's tokens (-1 beyond the head), their last bytes, and the tokens beyond the head."""
         tokens = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
         tokens.append(END)
         get = self.words.get
-        return np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens)), tokens
+        head = np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens))
+        last = np.fromiter((w[-1] for w in tokens), np.uint8, len(tokens))
+        return head, last, [tokens[i] for i in np.flatnonzero(head < 0).tolist()]
 
     def targets(self, head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, shortlist word or -1, number as an input) of tokens by head number and last byte."""
@@ -95,11 +97,10 @@ class Vocabulary:
         classes = np.where(listed, self.class_of[np.where(listed, head, 0)] if self.listed else 0, len(self.bounds) - 1 + tail)
         return classes.astype(np.int32), np.where(listed, head, -1).astype(np.int32), np.where(listed, head, self.listed + tail).astype(np.int32)
 
-    def lanes(self, texts: list[tuple[np.ndarray, list[bytes]]], most: int) -> tuple[Lanes, np.ndarray, np.ndarray, np.ndarray]:
-        """Grid of texts; head numbers, tail classes and lengths beside it."""
-        lengths = np.array([len(t) for _, t in texts], np.int64)
-        head = np.concatenate([h for h, _ in texts])
-        last = np.fromiter((w[-1] for _, t in texts for w in t), np.uint8, len(head))
+    def lanes(self, texts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[Lanes, np.ndarray, np.ndarray, np.ndarray]:
+        """Grid of texts (head numbers and last bytes); head numbers, tail classes and lengths beside it."""
+        lengths = np.array([len(h) for h, _ in texts], np.int64)
+        head, last = np.concatenate([h for h, _ in texts]), np.concatenate([b for _, b in texts])
         classes, words, inputs = self.targets(head, last)
         before = np.empty_like(inputs)
         before[1:] = inputs[:-1]
@@ -122,7 +123,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for text in raw_bytes(batch.column(0)):
                 counts.update(text.lower().split())
                 counts[END] += 1
-                if len(counts) > 1_000_000:
+                if len(counts) > 500_000:
                     yield rows()
         yield rows()
 
@@ -158,8 +159,10 @@ def train(texts: DataFrame, vocabulary: Vocabulary, groups: int, rounds: int, la
             done = size = 0
             for batch in batches:
                 for text in raw_bytes(batch.column(0)):
-                    held.append(own.encode(text))
-                    size += len(held[-1][1])
+                    head, last, _ = own.encode(text)
+                    # long texts go on as further sequences, so that lanes fill evenly
+                    held += [(head[at : at + 2_048], last[at : at + 2_048]) for at in range(0, len(head), 2_048)]
+                    size += len(head)
                     if size >= 400_000:  # a bounded share of a group at once
                         gru.train(own.lanes(held, lanes)[0], rate=rate)
                         done, size = done + size, 0
@@ -221,7 +224,7 @@ def score_documents(
         own, gru = load(words), load(shared)
         log_count = np.log10(np.append(own.count, 0) + 0.5)  # the last: beyond the head
 
-        def flush(ids: list, held: list, texts: list) -> pa.RecordBatch:
+        def flush(ids: pa.Array, held: list, texts: list, rare: list) -> pa.RecordBatch:
             grid, head, tail, lengths = own.lanes(texts, lanes)
             n = len(texts)
             beyond, listed = head < 0, (head >= 0) & (head < own.listed)
@@ -229,13 +232,8 @@ def score_documents(
             log_p += np.where(listed, 0, np.where(beyond, 0, log_count[head]) - own.log_z[tail])
             base = np.where(beyond, 0, log_count[head])
             sums = [np.bincount(grid.sequence, v, n) for v in (log_p, base, ~beyond)]
-            ends = np.cumsum(lengths)
-            rare = []
-            for (h, tokens), some in zip(texts, np.bincount(grid.sequence, beyond, n) > 0):
-                rare.append([tokens[i] for i in np.flatnonzero(h < 0).tolist()] if some else [])
-            del ends
             columns = [
-                pa.array(ids),
+                ids,
                 pa.array(held, pa.bool_()),
                 pa.array(lengths, pa.int64()),
                 pa.array(sums[2].astype(np.int64)),
@@ -245,19 +243,21 @@ def score_documents(
             ]
             return pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
-        ids, held, texts, size, kind_ = [], [], [], 0, None
+        ids, held, texts, rare, size, kind_ = [], [], [], [], 0, None
         for batch in batches:
             kind_ = batch.schema.field(0).type
             for doc_id, text, h in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                head, last, beyond = own.encode(text)
                 ids.append(doc_id)
                 held.append(h)
-                texts.append(own.encode(text))
-                size += len(texts[-1][1])
-                if size >= 1_500_000:
-                    yield flush(pa.array(ids, kind_), held, texts)
-                    ids, held, texts, size = [], [], [], 0
+                texts.append((head, last))
+                rare.append(beyond)
+                size += len(head)
+                if size >= 3_000_000:
+                    yield flush(pa.array(ids, kind_), held, texts, rare)
+                    ids, held, texts, rare, size = [], [], [], [], 0
         if ids:
-            yield flush(pa.array(ids, kind_), held, texts)
+            yield flush(pa.array(ids, kind_), held, texts, rare)
 
     scored = docs.select("_id", "_text", "_held").mapInArrow(score, f"_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>")
     scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))
