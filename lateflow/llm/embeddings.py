@@ -148,7 +148,7 @@ def near_duplicates(
     spark = vectors.sparkSession
     v = F.col("_v")
     clean = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col("_l").isNotNull(), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).alias("_l"))
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), F.col(label_col).alias("_l"))
     rows = rows.withColumn("node", F.when(clean, F.xxhash64("_l", F.size("_v"), "_v")))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("_l").alias("_l"), F.first("_v").alias("_v")))
     own = rows.select("_id", "node")
@@ -196,7 +196,7 @@ def _meet(nodes: DataFrame, shared, size: int, threshold: float, part_rows: int)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(index.cells(x), pa.int32()), visits], ["node", "copies", "_l", "_v", "cell", "visits"])
 
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
-    placed = nodes.select("node", "copies", "_l", "_v").mapInArrow(place, f"node long, copies long, _l {kinds['_l']}, _v array<double>, cell int, visits array<int>")
+    placed = nodes.select("node", "copies", "_l", "_v").mapInArrow(place, f"node long, copies long, _l {kinds['_l']}, _v {kinds['_v']}, cell int, visits array<int>")
     placed = cut(placed)
     parts = placed.groupBy("_l", "cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     base = placed.join(parts, ["_l", "cell"]).select("_l", "cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "node", "copies", "_v")
