@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, raw_bytes
+from lateflow.llm.common import cut, raw_bytes, release_worker
 
 SHALLOW = 64
 SMALL = 24
@@ -213,6 +213,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def joined_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(key, begin, end)`` with the overlapping ones of each text joined."""
+    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for key, begin, end in spans:
+        by[key].append((begin, end - 1))
+    return [(key, p, q + 1) for key, own in by.items() for p, q in merged(own)]
+
+
 class _Contexts:
     """Contexts of a task, each distinct one once; flushed as packed rows by bucket of the gram."""
 
@@ -227,13 +235,14 @@ class _Contexts:
             places.append(ref)
 
     def flush(self, width: int) -> pa.RecordBatch:
-        spans, by = [], defaultdict(list)
+        found, by = [], defaultdict(list)
         for (gram, context, lo, hi), places in self.held.items():
             many = len(places) > 1
             if many:
                 far, near = max(hi, 0), max(lo, 0)
-                spans += [(key, pos - far, pos - near + width) for key, pos in places]
+                found += [(key, pos - far, pos - near + width) for key, pos in places]
             by[gram % self.buckets].append((gram, context, lo, hi, None if many else places[0]))
+        spans = joined_spans(found)
         self.held.clear()
         self.size = 0
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -250,6 +259,7 @@ def repeated_spans(kept: DataFrame, width: int, buckets: int) -> DataFrame:
     """``(key, begin, end)`` of repeated strings in the texts of ``kept (key, packed, anchors)``."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         expand, contexts = zstandard.ZstdDecompressor(), _Contexts(buckets)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -263,7 +273,7 @@ def repeated_spans(kept: DataFrame, width: int, buckets: int) -> DataFrame:
                         for s in range(pos - hi, pos - lo + 1):
                             digest = hashlib.blake2b(text[s : s + width], digest_size=16).digest()
                             contexts.add(int.from_bytes(digest[:8], "little", signed=True), digest, -1, -1, (key, s))
-                if contexts.size > 48_000_000:
+                if contexts.size > 24_000_000:
                     yield contexts.flush(width)
         yield contexts.flush(width)
 
@@ -287,7 +297,7 @@ def repeated_spans(kept: DataFrame, width: int, buckets: int) -> DataFrame:
                         if len(refs) == 1 and None not in refs:
                             ((key, pos),) = refs
                             out += [(key, pos - q, pos - p + width) for p, q in found]
-            return out
+            return joined_spans(out)
 
         def rows(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([s[c] for s in spans], pa.int64()) for c in range(3)], ["key", "begin", "end"])
@@ -325,10 +335,11 @@ def remove_repeats(
     """``(id, *keep, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and with ``kept_text`` the text that is left."""
     docs = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_k_{c}") for c in keep), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text")).withColumn("key", F.xxhash64("_text"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(6, math.ceil(math.log2(8 * tasks)))
+    buckets = 1 << max(6, math.ceil(math.log2(2 * tasks)))  # a task sends a row for each at most
     wide = docs.where(F.octet_length("_text") >= width).select("key", "_text")
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         seen: set[int] = set()
         held: list[tuple[int, bytes]] = []
         size = 0
@@ -344,7 +355,7 @@ def remove_repeats(
             for key, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
                 if key in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(key)
                 held.append((key, text))
@@ -361,7 +372,7 @@ def remove_repeats(
             key, packed = [], []
             for own, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
                 if own not in seen:
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(own)
                     key.append(own)
