@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lateflow.llm.common import texts, worker_state
 
-CACHED_PIECES = 400_000  # entries a worker keeps; about 80 MB
+CACHED_PIECES = 400_000  # entries a worker keeps, unless told otherwise; about 80 MB
 LONG_PIECE = 64  # characters; longer pieces seldom recur and are not kept
 
 _AFTER_SPACE = re.compile(r" \s")
@@ -62,11 +62,11 @@ def split_words(text: str) -> list[str]:
 class PieceEncoder:
     """A tokenizer file with a bounded cache from pieces to packed ids (unsigned, 32 bits, little-endian)."""
 
-    def __init__(self, path: str, split=split_on_spaces):
+    def __init__(self, path: str, split=split_on_spaces, bound: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.cache = Tokenizer.from_file(path), split, {"": b""}
+        self.tokenizer, self.split, self.bound, self.cache = Tokenizer.from_file(path), split, bound, {"": b""}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path) as f:
@@ -84,7 +84,7 @@ class PieceEncoder:
         cache = self.cache
         wanted = set().union(*many) if many else set()
         new = [p for p in wanted if p not in cache]
-        if len(cache) + len(new) > CACHED_PIECES:
+        if len(cache) + len(new) > self.bound:
             cache.clear()
             new = list(wanted)
         passing = []

@@ -44,7 +44,7 @@ MAGIC = b"LFTOK001"
 
 
 def _encoder(path: str) -> PieceEncoder:
-    return worker_state(("words", path), lambda: PieceEncoder(path, split_words))
+    return worker_state(("words", path), lambda: PieceEncoder(path, split_words, bound=1_000_000))  # about 200 MB
 
 
 def _open(uri: str):
