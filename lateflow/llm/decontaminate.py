@@ -11,6 +11,9 @@
    item by Smith-Waterman over words (linear gaps), many stretches at a time.
    The score is the alignment's over that of the item with itself.
 
+Words of ASCII punctuation alone count on neither side, so spaced maths or code matches however its
+signs are set; ``start_word`` and ``end_word`` are places among all words of the document.
+
 Items are taken in blocks of ``block_items``, which bounds what a task holds;
 all documents are held against every block. No text, and no document, is
 shuffled.
@@ -38,23 +41,27 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 class Numbering(dict):
-    """Numbers of the items' words by raw word; others are 0. Filled as words are met, within a bound."""
+    """Numbers of the items' words by raw word; others are 0, and words of punctuation alone -1. Filled as words are met, within a bound."""
 
     def __init__(self, vocabulary: dict[bytes, int], bound: int = 400_000):
         super().__init__()
         self.vocabulary, self.bound = vocabulary, bound
 
     def __missing__(self, word: bytes) -> int:
-        n = self.vocabulary.get(word.strip(_EDGES), 0)
+        core = word.strip(_EDGES)
+        n = self.vocabulary.get(core, 0) if core else -1
         if len(self) >= self.bound:
             self.clear()
         if len(word) < 64:
             self[word] = n
         return n
 
-    def numbers(self, text: bytes) -> np.ndarray:
+    def numbers(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's words without those of punctuation alone, and their places among all words."""
         words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        all_ = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        places = np.flatnonzero(all_ >= 0)
+        return all_[places], places
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -208,7 +215,7 @@ def _count(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, i
         counts = np.zeros(len(numbering.vocabulary) + 1, np.int64)
         for batch in batches:
             for text in raw_bytes(batch.column(0)):
-                counts += np.bincount(numbering.numbers(text), minlength=len(counts))
+                counts += np.bincount(numbering.numbers(text)[0], minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["word", "n"])
 
@@ -234,7 +241,7 @@ def _search(shared, threshold: float, names: list[str]):
                     share = float(s) / (MATCH * len(held.words[w[2]]))
                     key = (w[0], w[2])
                     if share >= threshold and (key not in best or best[key][2] < share):
-                        best[key] = (w[1], held.ids[w[2]], share, w[3] + int(p), w[3] + int(q))
+                        best[key] = (w[1], held.ids[w[2]], share, int(w[3][p]), int(w[3][q - 1]) + 1)
             waiting.clear()
             columns = list(zip(*best.values())) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -244,7 +251,7 @@ def _search(shared, threshold: float, names: list[str]):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
                 row += 1
-                numbers = numbering.numbers(text)
+                numbers, places = numbering.numbers(text)
                 items, diagonals = held.hits(numbers)
                 if len(items):
                     length = np.array([len(held.words[k]) for k in items])
@@ -253,7 +260,8 @@ def _search(shared, threshold: float, names: list[str]):
                         own = (items == k) & (diagonals // slack == near)
                         n, room = len(held.words[k]), 8 + len(held.words[k]) // 4
                         begin = max(0, int(diagonals[own].min()) - room)
-                        waiting.append((row, doc_id, k, begin, numbers[begin : int(diagonals[own].max()) + n + room]))
+                        end = int(diagonals[own].max()) + n + room
+                        waiting.append((row, doc_id, k, places[begin:end], numbers[begin:end]))
             # documents are whole in ``waiting``, so each pair is reported once
             if len(waiting) >= 4096:
                 yield flush()

@@ -75,3 +75,21 @@ def test_frequent_leaks_keep_their_seeds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
     assert {x["doc_id"] for x in d.find_contamination(docs, bench).collect()} == {i for i in range(400) if i % 2}
+
+
+def test_words_of_punctuation_alone(spark):
+    """Spaced maths and code match their exact copies in full, and copies whose signs are set otherwise."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    items = ["if ( a == b ) { return c ; } else { return d ; }", "x = y + z - u * v / t", "( ( ( ( ( p ) ) ) ) ) + ( ( ( q ) ) ) = ( ( ( s ) ) )", "= = ="]
+    rows = [(i, f"{prose(20)} - {prose(20)} {items[i % 3]} {prose(30)}") for i in range(6)]
+    rows += [(6, f"{prose(40)} if (a == b) {{ return c; }} else {{ return d; }} {prose(9)}")] + [(i, prose(60) + " = = = +") for i in range(7, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = {(x["doc_id"], x["item_id"]): x for x in d.find_contamination(docs, bench).collect()}
+    assert set(out) == {(i, i % 3) for i in range(6)} | {(6, 0)}
+    assert all(x["score"] == 1 for x in out.values())
+    for (doc, item), x in out.items():  # the places count all words, those of punctuation alone too
+        inner = rows[doc][1].split()[x["start_word"] : x["end_word"]]
+        cores = lambda words: [w for y in words if (w := y.strip("(){};=+-*/"))]
+        assert cores(inner) == cores(items[item].split()) and inner[0] and inner[-1]
