@@ -21,8 +21,13 @@ are compared one by one through their digests (128 bits), which are dealt out by
 Texts that occur whole more than once are known to repeat throughout and are
 read once.
 
-Defined cases: null texts are empty; texts shorter than ``width`` lose nothing; repeated rows and
-ids each give a row (repeated texts of ``width`` bytes or more lose all); an
+With ``words``, a run of that many words or more that occurs at two places goes as well, however few its
+bytes (words are parted by ASCII whitespace and compare by 64-bit hashes). For this every text is followed by
+its words' hashes, 8 bytes each, in which windows of ``words`` words are found by the same steps; what
+repeats there is mapped back to the bytes from the first word's start to the last one's end (runs that adjoin are one).
+
+Defined cases: null texts are empty; texts shorter than ``width`` (and than ``words``) lose nothing; repeated rows and
+ids each give a row (repeated texts of ``width`` bytes or ``words`` words or more lose all); an
 empty table gives no rows; further columns are not read. In a kept text, a
 character that a cut has split is dropped whole.
 """
@@ -32,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -43,17 +49,41 @@ from pyspark.sql import functions as F
 
 from lateflow.llm.common import cut, raw_bytes, release_worker
 
+WORD = 8
+WORD_GRAM = 8
 SHALLOW = 64
 SMALL = 24
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0xD6E8FEB86659FD93
 
 
-def find_anchors(many: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, hash, position, least and greatest distance back to a window start) of every anchor; ``gram`` is a power of two."""
-    lengths = np.array([len(t) for t in many], np.int64)
+class WordHashes(dict):
+    """8-byte hashes by word, filled as words are met, within a bound."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        h = hashlib.blake2b(word, digest_size=8).digest()
+        if len(self) >= 200_000:
+            self.clear()
+        if len(word) < 64:
+            self[word] = h
+        return h
+
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Closed intervals of bytes of the whole words that closed intervals in the words' hashes cover."""
+    places = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", text)]
+    whole = [(-(-p // WORD), (q + 1) // WORD) for p, q in spans]
+    return [(places[a][0], places[b - 1][1] - 1) for a, b in whole if a < b]
+
+
+def find_anchors(many: list[bytes], width: int, gram: int, unit: int = 1) -> tuple[np.ndarray, ...]:
+    """(text, hash, position, least and greatest distance back to a window start) of every anchor, in units of 1 or 8 bytes; ``gram`` is a power of two."""
+    lengths = np.array([len(t) // unit for t in many], np.int64)
     offset = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(many), np.uint8)
+    data = np.frombuffer(b"".join(many), np.uint8 if unit == 1 else np.uint64)
     windows = len(data) - width + 1
     has = np.flatnonzero(lengths >= width)
     if windows < 1 or not len(has):
@@ -227,21 +257,21 @@ class _Contexts:
     def __init__(self, buckets: int):
         self.buckets, self.held, self.size = buckets, defaultdict(list), 0
 
-    def add(self, gram: int, context: bytes, lo: int, hi: int, ref: tuple[int, int]) -> None:
-        places = self.held[gram, context, lo, hi]
+    def add(self, gram: int, width: int, context: bytes, lo: int, hi: int, ref: tuple[int, int]) -> None:
+        places = self.held[gram, width, context, lo, hi]
         if not places:
             self.size += len(context) + 200
         if ref not in places:  # few, or known to repeat anyway
             places.append(ref)
 
-    def flush(self, width: int) -> pa.RecordBatch:
+    def flush(self) -> pa.RecordBatch:
         found, by = [], defaultdict(list)
-        for (gram, context, lo, hi), places in self.held.items():
+        for (gram, width, context, lo, hi), places in self.held.items():
             many = len(places) > 1
             if many:
                 far, near = max(hi, 0), max(lo, 0)
                 found += [(key, pos - far, pos - near + width) for key, pos in places]
-            by[gram % self.buckets].append((gram, context, lo, hi, None if many else places[0]))
+            by[gram % self.buckets].append((gram, width, context, lo, hi, None if many else places[0]))
         spans = joined_spans(found)
         self.held.clear()
         self.size = 0
@@ -255,27 +285,31 @@ class _Contexts:
         return pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "key", "begin", "end"])
 
 
-def repeated_spans(kept: DataFrame, width: int, buckets: int) -> DataFrame:
-    """``(key, begin, end)`` of repeated strings in the texts of ``kept (key, packed, anchors)``."""
+def repeated_spans(kept: DataFrame, width: int, buckets: int, words: int | None = None) -> DataFrame:
+    """``(key, begin, end)`` of repeated strings in the texts of ``kept (key, packed, anchors)``; those of words lie beyond the text's end."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
-        expand, contexts = zstandard.ZstdDecompressor(), _Contexts(buckets)
+        expand, contexts, hashes = zstandard.ZstdDecompressor(), _Contexts(buckets), WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for key, packed, anchors in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     text = expand.decompress(packed)
+                    size = len(text)
+                    if words:
+                        text += b"\0" + hashes.of(text)  # a byte between, so that spans on both sides are not joined
                     for a in anchors:
                         pos, lo, hi = a["pos"], a["lo"], a["hi"]
+                        own, step = (width, 1) if pos < size else (words * WORD, WORD)
                         if not a["hot"]:
-                            contexts.add(a["gram"], text[pos - hi : pos - lo + width], lo, hi, (key, pos))
+                            contexts.add(a["gram"], own, text[pos - hi : pos - lo + own], lo, hi, (key, pos))
                             continue
-                        for s in range(pos - hi, pos - lo + 1):
-                            digest = hashlib.blake2b(text[s : s + width], digest_size=16).digest()
-                            contexts.add(int.from_bytes(digest[:8], "little", signed=True), digest, -1, -1, (key, s))
+                        for s in range(pos - hi, pos - lo + 1, step):
+                            digest = hashlib.blake2b(text[s : s + own], digest_size=16).digest()
+                            contexts.add(int.from_bytes(digest[:8], "little", signed=True), own, digest, -1, -1, (key, s))
                 if contexts.size > 24_000_000:
-                    yield contexts.flush(width)
-        yield contexts.flush(width)
+                    yield contexts.flush()
+        yield contexts.flush()
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -283,10 +317,10 @@ def repeated_spans(kept: DataFrame, width: int, buckets: int) -> DataFrame:
         def finish(parts: list[bytes]) -> list[tuple[int, int, int]]:
             groups: dict[int, dict] = defaultdict(lambda: defaultdict(set))
             for packed in parts:
-                for gram, context, lo, hi, ref in pickle.loads(expand.decompress(packed)):
-                    groups[gram][context, lo, hi].add(ref)  # None: repeats where it came from
+                for gram, own, context, lo, hi, ref in pickle.loads(expand.decompress(packed)):
+                    groups[gram, own][context, lo, hi].add(ref)  # None: repeats where it came from
             out = []
-            for group in groups.values():
+            for (_, width), group in groups.items():
                 for (_, lo, hi), refs in group.items():
                     if len(refs) > 1:
                         out += [(r[0], r[1] - max(hi, 0), r[1] - max(lo, 0) + width) for r in refs if r]
@@ -331,21 +365,32 @@ def remove_repeats(
     kept_text: bool = False,
     gram: int = 32,
     hot_rows: int = 20_000,
+    words: int | None = None,
 ) -> DataFrame:
     """``(id, *keep, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and with ``kept_text`` the text that is left."""
     docs = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_k_{c}") for c in keep), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text")).withColumn("key", F.xxhash64("_text"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(6, math.ceil(math.log2(2 * tasks)))  # a task sends a row for each at most
-    wide = docs.where(F.octet_length("_text") >= width).select("key", "_text")
+    long_ = F.octet_length("_text") >= width
+    if words:
+        own_words = F.size(F.filter(F.split(F.col("_text").cast("string"), r"[ \t\n\r\x0B\f]+"), lambda w: w != ""))
+        long_ = F.when(long_ | (F.octet_length("_text") < 2 * words - 1), long_).otherwise(own_words >= words)
+    wide = docs.where(long_).select("key", "_text")
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
         seen: set[int] = set()
         held: list[tuple[int, bytes]] = []
-        size = 0
+        size, hashes = 0, WordHashes()
 
         def rows() -> pa.RecordBatch:
             text, h, pos, lo, hi = find_anchors([t for _, t in held], width, gram)
+            if words:
+                begin = np.array([len(t) for _, t in held], np.int64)
+                w_text, w_h, *w_at = find_anchors([hashes.of(t) for _, t in held], words, WORD_GRAM, WORD)
+                w_pos, w_lo, w_hi = (x * WORD for x in w_at)
+                pairs = ((text, w_text), (h, ~w_h), (pos, begin[w_text] + 1 + w_pos), (lo, w_lo), (hi, w_hi))
+                text, h, pos, lo, hi = (np.concatenate(x) for x in pairs)
             keys = np.array([k for k, _ in held], np.int64)
             held.clear()
             columns = [pa.array(h, pa.int64()), pa.array(keys[text], pa.int64()), pa.array(pos, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
@@ -383,7 +428,7 @@ def remove_repeats(
     counts = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > hot_rows).alias("hot"))
     wanted = anchors.join(counts, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "pos", "lo", "hi", "hot")).alias("anchors"))
     kept = cut(wide.mapInArrow(pack, "key long, packed binary").join(wanted, "key").dropDuplicates(["key"]).select("key", "packed", "anchors"))
-    spans = repeated_spans(kept, width, buckets).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(kept, width, buckets, words).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -391,7 +436,9 @@ def remove_repeats(
             out: list[tuple] = []
             for key, packed, found in zip(*(c.to_pylist() for c in batch.columns)):
                 text, parts, last, removed = expand.decompress(packed), [], 0, 0
-                runs = merged([(s["begin"], s["end"] - 1) for s in found])
+                own = [(s["begin"], s["end"] - 1) for s in found]
+                beyond = merged([(p - len(text) - 1, q - len(text) - 1) for p, q in own if p > len(text)])
+                runs = merged([x for x in own if x[0] < len(text)] + (word_spans(text, beyond) if beyond else []))
                 for p, q in runs:
                     parts.append(text[last:p])
                     last, removed = q + 1, removed + q + 1 - p

@@ -81,6 +81,19 @@ def test_stages_and_run(spark, tmp_path):
     assert np.all([kind.get(i, "clean") not in ("toxic", "leak") for i in kept])
 
 
+def test_passages_of_over_fifty_words_are_cut(spark):
+    """Repeated passages of 51 to 65 words, all below 400 bytes, go; one of 50 words stays."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    passages = [" ".join(prose(n)) for n in (*range(51, 66), 50)]
+    assert all(len(p) < 400 for p in passages)
+    rows = [(i, " ".join([*prose(40), f"u{i}", passages[i % 16], f"v{i}", *prose(40)]), "en", "s", 0) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = {x["doc_id"]: x["text"] for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert left == {i: t if i % 16 == 15 else t.replace(passages[i % 16], "") for i, t, *_ in rows}
+
+
 def test_repeated_rows_and_no_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, None, "en", "s", 1), (None, "q r s t u v", "en", "s", 1)]

@@ -102,3 +102,52 @@ def test_kept_text_drops_split_characters(spark):
     got = {r["doc_id"]: r["kept_text"] for r in suffixes.remove_repeats(docs, 21, gram=8, kept_text=True).collect()}
     assert got[3] == "short" and set(got[1]) <= {"a", "é"} and got[2] == "b"
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+
+
+def brute_words(texts, width, words):
+    """Kept texts by ``width`` bytes or ``words`` words; the space between two words that go as words goes too."""
+    import re
+
+    where, places_of = {}, []
+    gone, out_words = [bytearray(len(t)) for t in texts], [set() for _ in texts]
+    for i, t in enumerate(texts):
+        for s in range(len(t) - width + 1):
+            where.setdefault(t[s : s + width], []).append((i, s, s + width, None))
+        own = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\f]+", t)]
+        for k in range(len(own) - words + 1):
+            run = own[k : k + words]
+            where.setdefault(tuple(t[a:b] for a, b in run), []).append((i, run[0][0], run[-1][1], k))
+        places_of.append(own)
+    for places in where.values():
+        if len(places) > 1:
+            for i, a, b, k in places:
+                gone[i][a:b] = b"\1" * (b - a)
+                out_words[i] |= set(range(k, k + words)) if k is not None else set()
+    for g, own, went in zip(gone, places_of, out_words):
+        for k in went:
+            if k + 1 in went:
+                a, b = own[k][1], own[k + 1][0]
+                g[a:b] = b"\1" * (b - a)
+    return [bytes(b for b, x in zip(t, g) if not x).decode() for t, g in zip(texts, gone)]
+
+
+@pytest.mark.parametrize("hot_rows", [20_000, 2])
+def test_runs_of_words(spark, hot_rows):
+    """Runs of words of every length around the limit, at ends, between other spaces, and beside byte strings."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.choice([1, 1, 2, 5])))
+    prose = lambda n: [word() for _ in range(n)]
+    shared = [prose(n) for n in (10, 11, 12, 13, 20, 40)] + [["y"] * 12, [w for _ in range(3) for w in "p q r s".split()]]
+    texts = []
+    for _ in range(90):
+        w = prose(r.randrange(25))
+        for _ in range(r.choice([0, 1, 2])):
+            at = r.choice([0, len(w), r.randrange(len(w) + 1)])
+            w[at:at] = r.choice(shared)
+        texts.append(r.choice([" ", " ", "\n", " \t"]).join(w))
+    texts += [" ".join(shared[5]), " ".join(shared[5]), "", "x" * 90 + " tail", "z " + "x" * 90, " ".join(shared[0]), " ".join(shared[0])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {x["doc_id"]: x["kept_text"] for x in suffixes.remove_repeats(docs, width=80, words=12, kept_text=True, gram=16, hot_rows=hot_rows).collect()}
+    want = brute_words([t.encode() for t in texts], 80, 12)
+    assert [out[i] for i in range(len(texts))] == want
+    assert want[-2] == texts[-2] and not want[90] and any(0 < len(w) < len(t) for w, t in zip(want, texts))
