@@ -3,9 +3,9 @@
 1. Words of all training documents are counted: each task counts its own, Spark
    sums. The result stays distributed; only the ``head`` (at most
    ``head_words`` words, by a threshold on counts) is broadcast.
-2. The recurrent model (see ``gru``) learns from a fixed share of the training
-   documents, so its data grow with the corpus. Groups of documents are trained on side by side from the same
-   parameters and their results averaged, in ``rounds`` rounds; parameters are summed
+2. The recurrent model (see ``gru``) learns from every training document, once: each of ``rounds`` rounds
+   takes its own part of them, by a hash of id and text. Groups of documents are trained on side by side from the
+   same parameters and their results averaged after each round; parameters are summed
    in the tasks, level by level.
 3. One pass scores every document. Rare words, beyond the head, have their
    counts joined in afterwards, summed per document.
@@ -147,7 +147,7 @@ def build_vocabulary(counts: DataFrame, head_words: int, shortlist: int, classes
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, groups: int, rounds: int, lanes: int) -> Gru:
-    """Average of the models that groups of the texts (column ``_text``, dealt by ``_deal``) give, round by round."""
+    """Average of the models that groups of the texts (column ``_text``, dealt by ``_deal``) give; each round takes its own part of the texts."""
     spark, model = texts.sparkSession, vocabulary.model()
     words = share(spark, vocabulary)
     for turn in range(rounds):
@@ -183,7 +183,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, groups: int, rounds: int, la
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["total", "tokens"])
 
-        sums = texts.repartition(groups, "_deal").select("_text").mapInArrow(learn, "total binary, tokens long")
+        part = texts.where(F.pmod(F.shiftright("_deal", 32), F.lit(rounds)) == turn)
+        sums = part.repartition(groups, "_deal").select("_text").mapInArrow(learn, "total binary, tokens long")
         left = groups
         while left > 1:
             left = -(-left // 16)
@@ -202,8 +203,8 @@ def score_documents(
     shortlist: int = 2_000,
     classes: int = 48,
     tails: int = 48,
-    learn_one_in: int = 16,
-    group_rows: int = 400,
+    learn_one_in: int = 1,
+    group_rows: int = 800,
     rounds: int = 2,
     lanes: int = 256,
 ) -> DataFrame:
@@ -213,10 +214,10 @@ def score_documents(
     training = docs.where(~F.col("_held"))
     counts = cut(count_words(training.select("_text")))
     vocabulary = build_vocabulary(counts, head_words, shortlist, classes, tails)
-    spread = F.xxhash64("_id", F.lit(29))
+    spread = F.xxhash64("_id", "_text", F.lit(29))
     lesson = training.where(F.pmod(spread, F.lit(learn_one_in)) == 0).withColumn("_deal", spread)
-    groups = max(1, -(-lesson.count() // group_rows))
-    model = train(lesson, vocabulary, groups, rounds, min(lanes, 64))
+    groups = max(1, -(-lesson.count() // (rounds * group_rows)))
+    model = train(lesson, vocabulary, groups, rounds, lanes)
     words, shared = share(spark, vocabulary), share(spark, model)
     kind = docs.schema["_id"].dataType.simpleString()
 

@@ -95,3 +95,17 @@ def test_scores(spark):
     assert sum(x["score"] for x in ours) > sum(x["base_score"] for x in ours)
     assert all(math.isfinite(x["score"]) and x["score"] < 0 for x in out)
     assert lm.score_documents(docs.limit(0), held).count() == 0
+
+
+def test_every_training_document_is_learned_from(spark, monkeypatch):
+    rows = [(i % 150, " ".join(f"w{(i * k) % 40}" for k in range(8))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, train = [], lm.train
+
+    def spy(texts, *rest):
+        seen.append(texts.count())
+        return train(texts, *rest)
+
+    monkeypatch.setattr(lm, "train", spy)
+    assert lm.score_documents(docs, F.col("doc_id") % 5 == 1).count() == 300
+    assert seen == [sum(i % 5 != 1 for i, _ in rows)]
