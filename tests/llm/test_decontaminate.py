@@ -48,7 +48,7 @@ def test_leaks_are_found_and_clean_documents_left(spark):
             i, own = items[k % 12]
             leak = list(own)
             if k % 2:
-                for at in r.sample(range(30), 5):
+                for at in sorted(r.sample(range(30), 5), reverse=True):
                     leak[at : at + 1] = r.choice([[], ["new"], [leak[at], "more"]])
             at = r.randrange(len(words) + 1)
             words[at:at] = [w.upper() + "," if k % 5 == 0 else w for w in leak]
