@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateflow.llm import bpe, decontaminate, embeddings, jaccard, lm, quality, sharding, suffixes, tokenfiles, toxicity
+from lateflow.llm import bpe, decontaminate, divergence, embeddings, jaccard, lm, merkle, quality, sharding, suffixes, tokenfiles, toxicity
 from lateflow.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,16 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=4, part=85, whole=100)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    built = merkle.manifest(docs, altered={"text": merkle.lower_ascii(F.col("text"))}, where=fold(3) == 0)
+    return built.proofs().select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
     "op2_decontamination": op2_decontamination,
@@ -90,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
+    "op12_merkle": op12_merkle,
+    "op13_divergence": op13_divergence,
 }
 ORACLE_SQL: dict[str, str] = {}
