@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateflow.llm import bpe, decontaminate, divergence, embeddings, jaccard, lm, merkle, quality, sharding, suffixes, tokenfiles, toxicity
+from lateflow.llm import bpe, decontaminate, divergence, embeddings, jaccard, lm, merkle, pii, quality, sharding, suffixes, tokenfiles, toxicity
 from lateflow.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,11 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=4, part=85, whole=100)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+    return pii.find_pii(read(spark, sf_dir, "documents"), outputs=outputs)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     built = merkle.manifest(docs, altered={"text": merkle.lower_ascii(F.col("text"))}, where=fold(3) == 0)
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
+    "op11_pii": op11_pii,
     "op12_merkle": op12_merkle,
     "op13_divergence": op13_divergence,
 }
