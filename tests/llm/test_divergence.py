@@ -61,7 +61,7 @@ def test_refinement_discards_prefixes(spark):
     """Prefixes count each document once, rare ones are not extended, and rare terms with a frequent prefix go at a later level."""
     texts = [f"common abcab abcac rare{i:c}" if i >= 97 else "common" for i in range(90, 110)]
     docs = spark.createDataFrame([(t, "en", "s") for t in texts], "text string, lang string, source string")
-    chunks = docs.mapInArrow(d._pack(1 << 20), d.CHUNK)
+    chunks = docs.coalesce(1).mapInArrow(d._pack(1 << 20), d.CHUNK)
     found = {bytes(x["prefix"]): x["docs"] for x in d.iceberg_terms(chunks, min_docs=13).collect()}
     assert found == {b"common": 20, b"abcab": 13, b"abcac": 13}
     one = {bytes(x["prefix"]): x["docs"] for x in chunks.mapInArrow(d._level(0, 2, None), "lang string, prefix binary, whole boolean, docs long").collect()}
