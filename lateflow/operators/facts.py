@@ -224,9 +224,13 @@ def fact_orders(
     detractor_max: int = 2,
     strict_nulls: bool = False,
     reduce_sides: bool = True,
+    sides_last: bool = False,
 ) -> DataFrame:
     """one row per delivered order with a customer delivery stamp.
 
+    With ``sides_last`` customers and sellers are joined after all parts by order have met: for raw
+    tables that are bucketed by order, which then need no Exchange on the order.
+
     With ``reduce_sides`` a customer or seller key that occurs twice counts once
     (``quality.key_check`` reports such keys); without, it multiplies its orders, as the
     reference's joins do.
@@ -243,13 +247,16 @@ def fact_orders(
     seller = sellers.select("seller_id", "seller_state", "seller_city")
     if reduce_sides:
         customer, seller = one_per_key(customer, "customer_id"), one_per_key(seller, "seller_id")
-    base = delivered.join(customer, "customer_id", "left")
-    attributed = order_item_rollup(items).join(seller, "seller_id", "left")
+    base, attributed = delivered, order_item_rollup(items)
+    if not sides_last:
+        base, attributed = base.join(customer, "customer_id", "left"), attributed.join(seller, "seller_id", "left")
     joined = (
         base.join(attributed, "order_id", "left")
         .join(order_skus(items), "order_id", "left")
         .join(latest_review(reviews, "latest"), "order_id", "left")
     )
+    if sides_last:
+        joined = joined.join(customer, "customer_id", "left").join(seller, "seller_id", "left")
     ts = F.col("order_purchase_timestamp")
     fact = joined.withColumns(
         {

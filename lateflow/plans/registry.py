@@ -210,6 +210,9 @@ JOBS: dict[str, Job] = {
     "csv_round_trip": _job(lambda m: R.round_trip_report(m.spark, m.raw)),
     "csv_round_trip_orders": _job(lambda m: R.round_trip(m.spark, m.raw, "orders")),
     "csv_round_trip_items": _job(lambda m: R.round_trip(m.spark, m.raw, "order_items")),
+    "csv_round_trip_reviews": _job(lambda m: R.round_trip_reviews(m.spark, m.raw)),
+    "csv_dirty_cells": _job(lambda m: R.dirty_cells(m.spark, m.raw)),
+    "load_rejects": _job(lambda m: R.load_rejects(m.spark, m.raw)),
     "load_report": _job(lambda m: R.malformed_report(m.spark, m.raw)),
     "schema_report": _job(lambda m: V.schema_report(m.spark, R.round_trip(m.spark, m.raw, "orders"), ORDERS)),
 }

@@ -8,8 +8,8 @@ For every ``TableSpec`` of the load plan:
    header (a file with another one fails the load);
    scan the CSV with every column as text (UTF-8, RFC-4180 quoting:
    ``quote='"'``, ``escape='"'`` so doubled quotes and embedded newlines parse;
-   ``multiLine`` only for files that need it, because such a file cannot be
-   split into several tasks: give large ones as a folder of part files). Rows with too few or too many fields are
+   files with line breaks in fields go through ``records.csv_records``, which
+   reads one file in many tasks). Rows with too few or too many fields are
    counted as ``malformed_rows``: missing fields load as NULL, surplus ones are
    not stored, and ``fail_on_malformed`` turns any such row into an error;
 2. clean each field the way the reference's loader does: a field equal to a
@@ -20,10 +20,13 @@ For every ``TableSpec`` of the load plan:
    reject (the reference's loader would have failed or silently shifted it).
    Integer columns accept integral decimals such as ``40.0``, which is what a
    pandas round trip writes for an int column with blanks;
-4. write the typed table with ``mode("overwrite")`` (full refresh: reruns do
-   not duplicate rows);
+4. write the typed table and, beside it in the same pass, one reject row for
+   each value that did not parse and each record with a wrong number of
+   fields: source file, the record, column, value and reason (``read_rejects``);
 5. count rows and rejects with an ``Observation`` attached to the write, so
-   the report needs no second scan.
+   the report needs no second scan;
+6. publish the new version only then (``versions``, full refresh: reruns do not
+   duplicate rows). A load that fails or is killed leaves the version before it in place.
 
 A missing file writes an empty typed table and reports ``missing``.
 """
@@ -38,34 +41,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lateflow.functions.expr import strip_text
+from lateflow.sources import versions
+from lateflow.sources.records import csv_records
 from lateflow.sources.schemas import LOAD_PLAN, NA_TOKENS, TableSpec
 
 MALFORMED = "_malformed"
+FILE, RECORD, PART = "_file", "_record", "_part"
+REJECTS = T.StructType([T.StructField(n, T.StringType(), True) for n in ("source_file", "record", "column_name", "value", "reason")])
 
 
 class MalformedSource(ValueError):
     """A source file that cannot be loaded as the table it is meant for."""
 
 
+QUOTING = {"quote": '"', "escape": '"', "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+
+
 def _csv_reader(spark: SparkSession, spec: TableSpec):
     return (
-        spark.read.option("header", True)
+        spark.read.options(**QUOTING)
+        .option("header", True)
         .option("encoding", "UTF-8")
-        .option("quote", '"')
-        .option("escape", '"')
         .option("multiLine", spec.multiline)
-        .option("mode", "PERMISSIVE")
         .option("nullValue", None)
-        .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
 
 
-def read_text_csv(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFrame, list[str]]:
+def _scan_records(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
+    """Text fields ``c0, c1, ...``, ``MALFORMED``, ``FILE`` and ``RECORD`` of files whose fields hold line breaks, read in parallel."""
+    records = csv_records(spark, path).where(F.length("record") > 0)
+    places = [f"c{i}" for i in range(len(header))]
+    fields = ", ".join(f"{c} string" for c in [*places, MALFORMED])
+    # a value that no field has: quoted empty fields stay empty text here, as in the other reader
+    parsed = F.from_csv("record", F.lit(fields), QUOTING | {"multiLine": "true", "nullValue": "\0"})
+    first = (F.col("block") == 0) & (F.col("rec") == 1)
+    scan = records.select("file", "record", first.alias("first"), parsed.alias("c"))
+    # every part file must have the same header
+    same = F.array(*(F.col(f"c.{c}") for c in places)) == F.array(*map(F.lit, header))
+    other = F.raise_error(F.concat(F.lit("another header in "), F.col("file"))).cast("boolean")
+    return scan.where(F.when(~F.col("first"), True).when(same, False).otherwise(other)).select("c.*", F.col("file").alias(FILE), F.col("record").alias(RECORD))
+
+
+def read_text_csv(spark: SparkSession, path: str, spec: TableSpec, parallel: bool = True) -> tuple[DataFrame, list[str]]:
     """Scan a CSV, columns bound by header name, every column as string, and
-    ``MALFORMED`` (the record, where its number of fields is wrong). Also the
-    names of columns the table does not know."""
+    ``MALFORMED`` (the record, where its number of fields is wrong), ``FILE`` and ``RECORD`` (as in the
+    file, or for files without line breaks in fields written anew from all its fields). Also the
+    names of columns the table does not know.
+
+    Without ``parallel`` a file with line breaks in fields is read by Spark's own ``multiLine``, in one task."""
     header = _csv_reader(spark, spec).csv(path).columns
     wanted = [f.name for f in spec.schema.fields]
     place = {}
@@ -74,17 +99,23 @@ def read_text_csv(spark: SparkSession, path: str, spec: TableSpec) -> tuple[Data
     missing = [n for n in wanted if n not in place]
     if missing:
         raise MalformedSource(f"{path} lacks the columns {missing} of {spec.table}; its header is {header}")
-    text = T.StructType([T.StructField(n, T.StringType(), True) for n in [*header, MALFORMED]])
-    scan = (
-        _csv_reader(spark, spec)
-        .schema(text)
-        .option("enforceSchema", False)  # every part file must have this header
-        .option("columnNameOfCorruptRecord", MALFORMED)
-        .option("columnPruning", False)  # the number of fields counts, also of those not loaded
-        .csv(path)
-    )
-    columns = [F.col(f"`{header[place[n]]}`").alias(n) for n in wanted]
-    return scan.select(*columns, MALFORMED), [n for n in place if n not in wanted]
+    if spec.multiline and parallel:
+        scan = _scan_records(spark, path, [n.removeprefix("\ufeff") for n in header])
+    else:
+        text = T.StructType([T.StructField(n, T.StringType(), True) for n in [*header, MALFORMED]])
+        scan = (
+            _csv_reader(spark, spec)
+            .schema(text)
+            .option("enforceSchema", False)  # every part file must have this header
+            .option("columnPruning", False)  # the number of fields counts, also of those not loaded
+            .csv(path)
+        )
+        file = F.col("_metadata.file_path").alias(FILE)
+        scan = scan.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(header)), MALFORMED, file)
+        fields = F.struct(*(f"c{i}" for i in range(len(header))))
+        scan = scan.withColumn(RECORD, F.coalesce(MALFORMED, F.to_csv(fields, {"quote": '"', "escape": '"'})))
+    columns = [F.col(f"c{place[n]}").alias(n) for n in wanted]
+    return scan.select(*columns, MALFORMED, FILE, RECORD), [n for n in place if n not in wanted]
 
 
 def clean_text(c: Column, na_tokens=NA_TOKENS) -> Column:
@@ -112,16 +143,34 @@ def typed(c: Column, dtype: T.DataType) -> Column:
 
 
 def clean_columns(spec: TableSpec) -> tuple[list[Column], dict[str, Column]]:
-    """Typed, cleaned column expressions over the text scan, plus per-column
-    reject-count aggregates (also over the text scan)."""
-    cols, rejects = [], {}
+    """Typed, cleaned column expressions over the text scan, and per typed column
+    whether a non-empty value did not parse (also over the text scan)."""
+    cols, bad = [], {}
     for f in spec.schema.fields:
         text = clean_text(F.col(f.name))
         value = typed(text, f.dataType)
         cols.append(value.alias(f.name))
         if not isinstance(f.dataType, T.StringType):
-            rejects[f.name] = F.count_if(text.isNotNull() & value.isNull())
-    return cols, rejects
+            bad[f.name] = text.isNotNull() & value.isNull()
+    return cols, bad
+
+
+def rows_and_rejects(scan: DataFrame, spec: TableSpec) -> DataFrame:
+    """Each record's typed row (``PART`` = rows) and a row for each of its rejects (``PART`` = rejects), all from one scan."""
+    cols, bad = clean_columns(spec)
+    types = {f.name: f.dataType.simpleString() for f in spec.schema.fields}
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in types.items()]
+    said = [f.name for f in REJECTS.fields]
+    no_reject = [F.lit(None).cast("string").alias(n) for n in said]
+
+    def reject(column: str | None, value: Column, reason: str) -> Column:
+        made = (F.col(FILE), F.col(RECORD), F.lit(column).cast("string"), value, F.lit(reason))
+        return F.struct(F.lit("rejects").alias(PART), *nothing, *(v.alias(n) for n, v in zip(said, made)))
+
+    row = F.struct(F.lit("rows").alias(PART), *cols, *no_reject)
+    parts = [row, F.when(F.col(MALFORMED).isNotNull(), reject(None, F.lit(None).cast("string"), "number of fields"))]
+    parts += [F.when(is_bad, reject(n, F.col(n), f"not a {types[n]}")) for n, is_bad in bad.items()]
+    return scan.select(F.inline(F.array_compact(F.array(*parts))))
 
 
 def clean_table(raw: DataFrame, spec: TableSpec) -> DataFrame:
@@ -153,33 +202,58 @@ def source_exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_table(spark: SparkSession, data_dir: str, spec: TableSpec, target_dir: str, fail_on_malformed: bool = False) -> LoadResult:
-    """Load one CSV into ``target_dir/<table>`` (parquet, overwrite)."""
+    """Load one CSV as a new version of ``target_dir/<table>`` (parquet), with its rejects beside it."""
     path = f"{data_dir.rstrip('/')}/{spec.file}"
     out = f"{target_dir.rstrip('/')}/{spec.table}"
     if not source_exists(spark, path):
-        spark.createDataFrame([], spec.schema).write.mode("overwrite").parquet(out)
+        versions.publish(spark, out, lambda at: spark.createDataFrame([], spec.schema).write.parquet(f"{at}/{PART}=rows"))
         return LoadResult(spec.table, spec.file, "missing", 0, {})
-    cols, rejects = clean_columns(spec)
     scan, unknown = read_text_csv(spark, path, spec)
     obs = Observation(f"load_{spec.table}")
     metrics = [F.count(F.lit(1)).alias("rows"), F.count(MALFORMED).alias("malformed")]
-    metrics += [agg.alias(f"reject_{k}") for k, agg in rejects.items()]
-    # metrics are computed on the text scan as rows stream into the write
-    scan.observe(obs, *metrics).select(*cols).write.mode("overwrite").parquet(out)
+    metrics += [F.count_if(is_bad).alias(f"reject_{k}") for k, is_bad in clean_columns(spec)[1].items()]
+
+    def write(at: str) -> None:
+        # metrics are computed on the text scan as rows stream into the write
+        both = rows_and_rejects(scan.observe(obs, *metrics), spec)
+        both.write.partitionBy(PART).parquet(at)
+        if not obs.get["rows"]:
+            spark.createDataFrame([], spec.schema).write.mode("overwrite").parquet(f"{at}/{PART}=rows")
+        if fail_on_malformed and obs.get["malformed"]:  # before the version is published
+            raise MalformedSource(f"{path} has {obs.get['malformed']} rows with too few or too many fields")
+
+    versions.publish(spark, out, write)
     got = obs.get
-    if fail_on_malformed and got["malformed"]:
-        raise MalformedSource(f"{path} has {got['malformed']} rows with too few or too many fields")
     return LoadResult(
         spec.table,
         spec.file,
         "loaded",
         int(got["rows"]),
-        {k: int(got[f"reject_{k}"]) for k in rejects if got[f"reject_{k}"]},
+        {k.removeprefix("reject_"): int(n) for k, n in got.items() if k.startswith("reject_") and n},
         int(got["malformed"]),
         tuple(unknown),
     )
 
 
+def table_path(spark: SparkSession, target_dir: str, table: str) -> str:
+    """Folder of the current version of a loaded table's rows."""
+    at = versions.current(spark, f"{target_dir.rstrip('/')}/{table}")
+    loaded = f"{at}/{PART}=rows"
+    return loaded if versions.exists(spark, loaded) else at
+
+
+def read_rejects(spark: SparkSession, target_dir: str, plan=LOAD_PLAN) -> DataFrame:
+    """Rejects of the current versions: ``table_name, source_file, record, column_name, value, reason``; a record with a wrong number
+    of fields has no column and value."""
+    out = spark.createDataFrame([], REJECTS).select(F.lit("").alias("table_name"), "*")
+    for spec in plan:
+        at = f"{versions.current(spark, f'{target_dir.rstrip("/")}/{spec.table}')}/{PART}=rejects"
+        if versions.exists(spark, at):
+            own = spark.read.schema(REJECTS).parquet(at)
+            out = out.unionByName(own.select(F.lit(spec.table).alias("table_name"), "*"))
+    return out
+
+
 def load_all(spark: SparkSession, data_dir: str, target_dir: str, plan=LOAD_PLAN, parallel: int = 4) -> DataFrame:
     """Load every table of the plan; return the load report as a DataFrame.
 
@@ -206,9 +280,13 @@ def load_all(spark: SparkSession, data_dir: str, target_dir: str, plan=LOAD_PLAN
     )
 
 
+def read_loaded(spark: SparkSession, target_dir: str, spec: TableSpec) -> DataFrame:
+    """One loaded table, in its current version."""
+    return spark.read.schema(spec.schema).parquet(table_path(spark, target_dir, spec.table))
+
+
 def read_raw(spark: SparkSession, target_dir: str, plan=LOAD_PLAN):
     """The loaded raw layer as a ``RawModel`` (typed parquet tables)."""
     from lateflow.sources.schemas import RawModel
 
-    tables = {spec.table: spark.read.schema(spec.schema).parquet(f"{target_dir.rstrip('/')}/{spec.table}") for spec in plan}
-    return RawModel(**tables)
+    return RawModel(**{spec.table: read_loaded(spark, target_dir, spec) for spec in plan})

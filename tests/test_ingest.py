@@ -125,7 +125,7 @@ def test_columns_are_bound_by_name(spark, tmpdir_path):
     _write(src, "olist_sellers_dataset.csv", "seller_state,extra,seller_city,seller_id,seller_zip_code_prefix\nSP,x,Sao Paulo,s1,01000\n")
     result = ingest.load_table(spark, src, SPECS["sellers"], os.path.join(tmpdir_path, "raw"))
     assert result.status == "loaded" and result.unknown_columns == ("extra",) and result.malformed_rows == 0
-    row = spark.read.parquet(os.path.join(tmpdir_path, "raw", "sellers")).first()
+    row = ingest.read_loaded(spark, os.path.join(tmpdir_path, "raw"), SPECS["sellers"]).first()
     assert (row["seller_id"], row["seller_zip_code_prefix"], row["seller_city"], row["seller_state"]) == ("s1", "01000", "Sao Paulo", "SP")
 
 
@@ -149,7 +149,7 @@ def test_short_and_long_rows_are_counted(spark, tmpdir_path):
     target = os.path.join(tmpdir_path, "raw")
     result = ingest.load_table(spark, src, SPECS["customers"], target)
     assert (result.rows, result.malformed_rows) == (3, 2)
-    states = {r["customer_id"]: r["customer_state"] for r in spark.read.parquet(f"{target}/customers").collect()}
+    states = {r["customer_id"]: r["customer_state"] for r in ingest.read_loaded(spark, target, SPECS["customers"]).collect()}
     assert states == {"c1": "SP", "c2": None, "c3": "RJ"}
     with pytest.raises(ingest.MalformedSource, match="2 rows"):
         ingest.load_table(spark, src, SPECS["customers"], target, fail_on_malformed=True)

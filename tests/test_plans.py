@@ -7,6 +7,7 @@ import pytest
 from lateflow.operators import facts, pareto, questions
 from lateflow.plans.materialize import build_fact_orders
 from lateflow.plans.registry import JOBS, Model
+from lateflow.sources import versions
 
 from conftest import SF001
 
@@ -19,7 +20,7 @@ def plan(df) -> str:
 def stored_fact(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("fact") / "fact_order_fulfillment")
     build_fact_orders(Model(spark, SF001).raw, path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(versions.current(spark, path))
 
 
 def test_question_scan_is_pruned_and_filtered(stored_fact):
