@@ -5,13 +5,13 @@ that occur in at least ``min_docs`` of its documents.
 
 Iceberg prefix refinement finds them. Documents are read once and packed into chunks: the chunk's distinct terms,
 sorted, and per document the numbers of its distinct terms with their uses. Levels then take byte prefixes of
-growing length (``first``, doubled each time). At each level a chunk counts, per language, the documents that hold each
+growing length (three, then doubled each time). At each level a chunk counts, per language, the documents that hold each
 prefix, only for prefixes that extend a survivor of the level before; counts are added up over chunks, and
 prefixes in fewer than ``min_docs`` documents are discarded. A term that ends within the level's length is
 complete, and kept if it survives. Refinement ends when no incomplete prefix survives. The long tail of rare
 terms therefore ends at short prefixes and is never shuffled as terms.
 
-Survivors go to the chunks as a bitmap of fixed size (``filter_bits``). A false hit makes a chunk
+Survivors go to the chunks as a bitmap of fixed size (``filter_bits``), made by the tasks that hold them. A false hit makes a chunk
 count a few prefixes in vain, whose exact counts then discard them, so results are exact at any size; there is no cap
 on survivors.
 
@@ -27,13 +27,15 @@ cut between terms while being counted; an empty table gives no rows; further col
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,22 +67,23 @@ class _Chunk:
     """Documents packed as arrays."""
 
     def __init__(self):
-        self.groups, self.numbers, self.doc_group, self.sizes, self.term, self.uses, self.bytes = {}, {}, [], [], [], [], 0
+        self.groups, self.numbers = {}, defaultdict(count().__next__)
+        self.doc_group, self.sizes, self.term, self.uses, self.bytes = array("i"), array("q"), array("i"), array("q"), 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        own, numbers = count_terms(text), self.numbers
+        own = count_terms(text)
         self.doc_group.append(self.groups.setdefault((lang, source), len(self.groups)))
         self.sizes.append(len(own))
-        self.term += [numbers.setdefault(t, len(numbers)) for t in own]
-        self.uses += own.values()
+        self.term.extend(map(self.numbers.__getitem__, own))
+        self.uses.extend(own.values())
         self.bytes += len(text)
 
     def pack(self) -> pa.RecordBatch:
         terms = sorted(self.numbers)
         place = np.empty(len(terms), np.int32)
-        place[[self.numbers[t] for t in terms]] = np.arange(len(terms), dtype=np.int32)
+        place[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms), dtype=np.int32)
         doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        term = place[np.array(self.term, np.int64)] if self.term else np.zeros(0, np.int32)
+        term = place[np.frombuffer(self.term, np.int32)] if self.term else np.zeros(0, np.int32)
         order = np.lexsort((term, doc))
         arrays = [np.array(self.doc_group, np.int32), doc, term[order], np.array(self.uses, np.int64)[order]]
         columns = [[[g[0] for g in self.groups]], [[g[1] for g in self.groups]], *([a.tobytes()] for a in arrays), [terms]]
@@ -110,14 +113,15 @@ class _Read:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         value = lambda name: batch.column(name)[i]
-        array = lambda name, kind: np.frombuffer(value(name).as_buffer(), kind)
+        packed = lambda name, kind: np.frombuffer(value(name).as_buffer(), kind)
         self.group_langs, self.group_sources = value("langs").as_py(), value("sources").as_py()
         self.langs = sorted(set(self.group_langs))
-        of_group = np.array([self.langs.index(x) for x in self.group_langs], np.int64)
-        self.doc, self.term, self.uses = array("doc", np.int32), array("term", np.int32), array("uses", np.int64)
-        self.group = array("doc_group", np.int32)[self.doc]
+        number = {x: k for k, x in enumerate(self.langs)}
+        of_group = np.array([number[x] for x in self.group_langs], np.int64)
+        self.doc, self.term, self.uses = packed("doc", np.int32), packed("term", np.int32), packed("uses", np.int64)
+        self.group = packed("doc_group", np.int32)[self.doc]
         self.lang = of_group[self.group]
-        self.terms = value("terms").as_py()
+        self.terms = value("terms").values.to_numpy(zero_copy_only=False).tolist()
         self.sizes = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
 
 
@@ -128,47 +132,109 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Read]:
                 yield chunk
 
 
-def key_of(lang: str, prefix: bytes) -> bytes:
-    return lang.encode() + b"\0" + prefix
+def _tally(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (all below ``size``) in order, and how often each occurs."""
+    if size > 4 * len(key) + 1_000_000:
+        return np.unique(key, return_counts=True)
+    times = np.bincount(key, minlength=size)
+    at = np.flatnonzero(times)
+    return at, times[at]
+
+
+def hashes(langs: list[str], lang: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of (language, byte string) keys. Strings are padded to the next power of two, size by size."""
+    seeds = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+    h = seeds[lang] if len(langs) else np.zeros(0, np.uint64)
+    width, done = 8, 0
+    while done < len(values):
+        own = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 8 else -1)))
+        words = values[own].astype(f"S{width}").view(np.uint64).reshape(len(own), width // 8)
+        x = h[own]
+        for column in range(width // 8):
+            x = (x ^ words[:, column]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+        h[own] = x
+        width, done = 2 * width, done + len(own)
+    return h
+
+
+def padded(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as an array (of fixed width while they are short) and their sizes."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    return np.array(values, f"S{max(1, sizes.max(initial=0))}" if sizes.max(initial=0) <= 64 else object), sizes
 
 
 class Filter:
     """A bitmap of fixed size of (language, prefix) keys: never misses one, and may let others through."""
 
-    def __init__(self, bits: int, words: dict[int, int]):
-        self.mask, self.words = bits - 1, np.zeros(bits // 64, np.uint64)
-        for w, x in words.items():
-            self.words[w] = x & 0xFFFFFFFFFFFFFFFF
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
-    def holds(self, key: bytes) -> bool:
-        h = xxhash.xxh64_intdigest(key, 42)  # as Spark's xxhash64 of binary
-        a, b = h & self.mask, (h >> 32) & self.mask
-        return bool(int(self.words[a >> 6]) >> (a & 63) & 1 and int(self.words[b >> 6]) >> (b & 63) & 1)
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        mask = np.uint64(64 * len(self.words) - 1)
+        hit = np.ones(len(h), bool)
+        for at in (h & mask, (h >> np.uint64(32)) & mask):
+            hit &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+        return hit
 
     @classmethod
     def of(cls, rows: DataFrame, bits: int) -> Filter:
         """From rows with ``lang`` and ``prefix``; what is collected is one number for each 64 bits at most."""
-        h = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("prefix")))
-        at = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))))
-        words = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
-        return cls(bits, dict(words.agg(F.bit_or(bit)).collect()))
 
+        def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(bits // 64, np.uint64)
+            for batch in batches:
+                langs = batch.column(0).dictionary_encode()
+                h = hashes(langs.dictionary.to_pylist(), langs.indices.to_numpy(), *padded(batch.column(1).to_pylist()))
+                for at in (h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)):
+                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            some = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(words[some].view(np.int64), pa.int64())], ["word", "bits"])
 
-def _held(chunk: _Read, kept: Filter, item: np.ndarray, values: list[bytes], rows: np.ndarray) -> np.ndarray:
-    """Of the chunk's entries ``rows`` those whose (language, item) the filter holds; each such key is looked up once."""
-    key = chunk.lang[rows] * len(values) + item[chunk.term[rows]]
-    seen, back = np.unique(key, return_inverse=True)
-    hit = [kept.holds(key_of(chunk.langs[k // len(values)], values[k % len(values)])) for k in seen.tolist()]
-    return rows[np.array(hit, bool)[back]] if len(rows) else rows
+        sums = rows.select("lang", "prefix").mapInArrow(own, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        words = np.zeros(bits // 64, np.uint64)
+        words[sums["word"].to_numpy(np.int64)] = sums["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(words)
+
+
+class _Items:
+    """Prefixes of some of a chunk's terms: ``of_term`` numbers the items, ``values`` are their bytes, ``whole`` those that are whole terms.
+
+    All ``terms`` are longer than half of ``length``, so padding at most doubles them."""
+
+    def __init__(self, chunk: _Read, terms: np.ndarray, length: int):
+        short = length <= 64
+        cuts = [chunk.terms[t][:length] for t in terms.tolist()]
+        self.values = np.array(cuts, f"S{length}" if short else object)
+        self.sizes = np.minimum(chunk.sizes[terms], length)
+        self.whole = chunk.sizes[terms] <= length
+        new = np.ones(len(cuts), bool)
+        new[1:] = (self.values[1:] != self.values[:-1]) | (self.whole[1:] != self.whole[:-1])
+        self.of_term = np.zeros(len(chunk.terms), np.int64)
+        self.of_term[terms] = np.cumsum(new) - 1
+        self.values, self.sizes, self.whole = self.values[new], self.sizes[new], self.whole[new]
 
+    def __len__(self):
+        return len(self.values)
 
-def _prefixes(chunk: _Read, length: int) -> tuple[np.ndarray, list[bytes], list[bool]]:
-    """The item of each term (its prefix, or the whole term where that ends within the length), and the items in order."""
-    cuts = [(t[:length], len(t) <= length) for t in chunk.terms]
-    new = np.array([True, *(a != b for a, b in zip(cuts[1:], cuts))])
-    first = np.flatnonzero(new)
-    return np.cumsum(new) - 1, [cuts[i][0] for i in first], [cuts[i][1] for i in first]
+
+def _terms_of(chunk: _Read, rows: np.ndarray) -> np.ndarray:
+    return _tally(chunk.term[rows], len(chunk.terms))[0]
+
+
+def _held(chunk: _Read, kept: Filter, items: _Items, rows: np.ndarray) -> np.ndarray:
+    """Of the chunk's entries ``rows`` those whose (language, item) the filter holds; each such key is looked up once."""
+    n = max(1, len(items))
+    key = chunk.lang[rows] * n + items.of_term[chunk.term[rows]]
+    seen, _ = _tally(key, len(chunk.langs) * n)
+    hit = seen[kept.holds(hashes(chunk.langs, seen // n, items.values[seen % n], items.sizes[seen % n]))]
+    if len(chunk.langs) * n <= 4 * len(key) + 1_000_000:
+        table = np.zeros(len(chunk.langs) * n, bool)
+        table[hit] = True
+        return rows[table[key]]
+    return rows[np.isin(key, hit)]
 
 
 def _level(before: int, length: int, kept: Filter | None) -> Callable:
@@ -176,18 +242,17 @@ def _level(before: int, length: int, kept: Filter | None) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            rows = np.flatnonzero(chunk.sizes[chunk.term] > before)
+            rows = np.flatnonzero((chunk.sizes > before)[chunk.term])
             if kept is not None:
-                last, values, _ = _prefixes(chunk, before)
-                rows = _held(chunk, kept, last, values, rows)
-            item, values, whole = _prefixes(chunk, length)
-            doc, own = chunk.doc[rows], item[chunk.term[rows]]
+                rows = _held(chunk, kept, _Items(chunk, _terms_of(chunk, rows), before), rows)
+            items = _Items(chunk, _terms_of(chunk, rows), length)
+            doc, own, n = chunk.doc[rows], items.of_term[chunk.term[rows]], max(1, len(items))
             # a document's terms are sorted, so its uses of one prefix lie side by side
             new = np.ones(len(rows), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
-            key, docs = np.unique(chunk.lang[rows][new] * len(values) + own[new], return_counts=True)
-            lang, at = (key // len(values)).tolist(), (key % len(values)).tolist()
-            columns = [[chunk.langs[k] for k in lang], [values[k] for k in at], [whole[k] for k in at], docs]
+            key, docs = _tally(chunk.lang[rows][new] * n + own[new], len(chunk.langs) * n)
+            at = key % n
+            columns = [np.array(chunk.langs, object)[key // n], items.values[at].tolist(), items.whole[at], docs]
             kinds = [pa.string(), pa.binary(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "prefix", "whole", "docs"])
 
@@ -200,19 +265,24 @@ def _uses(kept: Filter) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             n = len(chunk.terms)
-            rows = _held(chunk, kept, np.arange(n), chunk.terms, np.arange(len(chunk.term)))
-            key, back = np.unique(chunk.group[rows].astype(np.int64) * n + chunk.term[rows], return_inverse=True)
+            values, sizes = padded(chunk.terms)
+            key = chunk.lang * n + chunk.term
+            seen, _ = _tally(key, len(chunk.langs) * n)
+            held = seen[kept.holds(hashes(chunk.langs, seen // n, values[seen % n], sizes[seen % n]))]
+            rows = np.flatnonzero(np.isin(key, held, kind="table") if len(chunk.langs) * n < 50_000_000 else np.isin(key, held))
+            entry = chunk.group[rows].astype(np.int64) * n + chunk.term[rows]
+            key, _ = _tally(entry, len(chunk.group_langs) * n)
             total = np.zeros(len(key), np.int64)
-            np.add.at(total, back, chunk.uses[rows])
-            group, at = (key // n).tolist(), (key % n).tolist()
-            columns = [[chunk.group_langs[g] for g in group], [chunk.group_sources[g] for g in group], [chunk.terms[k] for k in at], total]
+            np.add.at(total, np.searchsorted(key, entry), chunk.uses[rows])
+            group, at = key // n, (key % n).tolist()
+            columns = [np.array(chunk.group_langs, object)[group], np.array(chunk.group_sources, object)[group], [chunk.terms[k] for k in at], total]
             kinds = [pa.string(), pa.string(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "source", "prefix", "uses"])
 
     return run
 
 
-def iceberg_terms(chunks: DataFrame, min_docs: int, first: int = 2, filter_bits: int = 1 << 23) -> DataFrame:
+def iceberg_terms(chunks: DataFrame, min_docs: int, first: int = 3, filter_bits: int = 1 << 23) -> DataFrame:
     """``(lang, prefix, docs)`` of the complete terms in at least ``min_docs`` documents of a language, by prefix refinement."""
     before, length, kept, found = 0, first, None, None
     while True:
@@ -258,7 +328,7 @@ def audit(
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",
-    chunk_bytes: int = 4 << 20,
+    chunk_bytes: int = 8 << 20,
     filter_bits: int = 1 << 23,
     block_rows: int = 50_000,
     tile_sources: int = 256,

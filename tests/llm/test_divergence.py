@@ -4,8 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from lateflow.llm import divergence as d
@@ -69,12 +69,12 @@ def test_refinement_discards_prefixes(spark):
 
 
 def test_filter_never_misses(spark):
-    keys = [("en", f"t{i}".encode()) for i in range(500)] + [("", b""), ("É", "ü".encode())]
-    kept = d.Filter.of(spark.createDataFrame(keys, "lang string, prefix binary"), 1 << 16)
-    assert all(kept.holds(d.key_of(*k)) for k in keys)
-    assert sum(kept.holds(d.key_of("en", f"n{i}".encode())) for i in range(1000)) < 30
-    row = spark.range(1).select(F.xxhash64(F.lit(b"ab\0c")).alias("h")).first()
-    assert row["h"] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"ab\0c", 42)
+    keys = [("en", f"t{i}".encode()) for i in range(500)] + [("", b"abcdefghi"), ("", b"x" * 70), ("É", "ü".encode())]
+    kept = d.Filter.of(spark.createDataFrame(keys, "lang string, prefix binary").repartition(3), 1 << 16)
+    langs = ["", "de", "en", "É"]
+    look = lambda keys: kept.holds(d.hashes(langs, np.array([langs.index(k) for k, _ in keys]), *d.padded([p for _, p in keys])))
+    assert look(keys).all()
+    assert look([("en", f"n{i}".encode()) for i in range(1000)]).sum() < 30 and look([("de", f"t{i}".encode()) for i in range(500)]).sum() < 20
 
 
 def test_large_counts_are_exact(spark):
