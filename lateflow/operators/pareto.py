@@ -12,7 +12,14 @@ window sends the whole table through one task. Two distributed forms:
     reuses the seller aggregation's exchange, so the fact is scanned once.
 
 ``pareto_full_curve`` (every qualifying seller)
-    A distributed prefix sum: a global sort (range-partitioned) whose rows are
+    Lazy, without an action or a checkpoint (``ranks_by_value``): sellers are
+    counted by (late count, cell of ids), where a cell is a short key in the order of the ids.
+    Prefix sums over the distinct late counts, then over the cells of one
+    late count, give the offsets; only rows of one late count and one cell
+    are numbered in one window, so the late count 0, which most sellers may have, is split.
+
+``prefix_rank`` (any total order)
+    A global sort (range-partitioned) whose rows are
     tagged with their partition and place and then checkpointed in the session's shared
     folder. The tags are data from then on, so whatever is done with the
     result (coalesce, union, limit) gives the same ranks. Running sums are
@@ -26,8 +33,9 @@ tie-breaks, so ranks are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lateflow.functions.exact import pct, rate_scaled
 from lateflow.session import checkpoint_root
@@ -120,6 +128,48 @@ def prefix_rank(df: DataFrame, order_cols: list, value_col: str) -> DataFrame:
     )
 
 
+def id_cell(df: DataFrame, column: str, width: int = 2, span: int = 4096) -> Column:
+    """A coarse key in the order of ``column``: the first ``width`` characters of a text, ``span`` numbers in a row; null stays null."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return F.substring(column, 1, width)
+    return F.floor(F.col(column) / F.lit(span))
+
+
+def ranks_by_value(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
+    """1-based row number ``_rank`` and running sum ``_cum`` of ``value_col`` in the order of ``value_col`` descending, then ``keys``
+    ascending (nulls first), and over all rows ``_rows`` and ``_total``.
+
+    ``keys`` must be unique. Values must repeat, as counts do: the one window without
+    partitions runs over the distinct values. Any ``df`` that reads its source alike each time gives the same ranks, whatever is done with them.
+    """
+    cell = id_cell(df, keys[0])
+    tagged = df.withColumn("_cell", cell)
+    cells = tagged.groupBy(value_col, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    per_value = cells.groupBy(value_col).agg(F.sum("_n").alias("_n"))
+    falling = Window.orderBy(F.desc(value_col)).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    values = per_value.select(
+        value_col,
+        F.coalesce(F.sum("_n").over(falling), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum(F.col("_n") * F.col(value_col)).over(falling), F.lit(0)).alias("_sum"),
+        F.sum("_n").over(everything).alias("_rows"),
+        F.sum(F.col("_n") * F.col(value_col)).over(everything).alias("_total"),
+    )
+    in_value = Window.partitionBy(value_col).orderBy(F.asc_nulls_first("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(value_col, F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(in_value), F.lit(0)).alias("_start")).join(values, value_col)
+    in_cell = Window.partitionBy(value_col, "_cell").orderBy(*(F.asc_nulls_first(k) for k in keys))
+    own = tagged.withColumn("_own", F.row_number().over(in_cell)).withColumnRenamed(value_col, "_v")
+    joined = own.join(starts, (F.col("_v") == F.col(value_col)) & F.col("_cell").eqNullSafe(F.col("_c")))
+    place = F.col("_start") + F.col("_own")
+    return joined.select(
+        *df.columns,
+        (F.col("_before") + place).alias("_rank"),
+        (F.col("_sum") + place * F.col(value_col)).alias("_cum"),
+        "_rows",
+        "_total",
+    )
+
+
 def pareto_full_curve(
     fact: DataFrame,
     min_rows: int = 30,
@@ -127,10 +177,8 @@ def pareto_full_curve(
     weight: str = "is_late",
     rank_name: str = "seller_rank",
 ) -> DataFrame:
-    """Q2 for every qualifying entity: rank, cumulative defects and shares.
-
-    The fact is read once; totals come from the checkpointed entity rollup."""
-    ranked = prefix_rank(seller_defects(fact, min_rows, entity, weight), _order_keys(entity), "late_orders")
+    """Q2 for every qualifying entity: rank, cumulative defects and shares."""
+    ranked = ranks_by_value(seller_defects(fact, min_rows, entity, weight), "late_orders", list(entity))
     return ranked.select(
         F.col("_rank").alias(rank_name),
         *entity,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,20 +133,61 @@ def reconcile_labels(df: DataFrame, label: str, first: Column, second: Column, m
     )
 
 
-def reconcile(a: DataFrame, b: DataFrame, keys: list[str], measure: str, names=("a", "b")) -> DataFrame:
-    """V7: full outer comparison of one measure between two results.
+def _row_hash(columns: list[str], seed: int) -> Column:
+    """64-bit hash of a row; nulls count, so values cannot slide from one column to the next."""
+    return F.xxhash64(F.lit(seed), *(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
 
-    Output: keys, ``<measure>_<names[0]>``, ``<measure>_<names[1]>`` (0 where a
-    side lacks the key), ``diff`` (second minus first). Both inputs are
-    expected to be small reports (one row per key).
+
+def bucket_digests(df: DataFrame, keys: list[str], columns: list[str], buckets: int) -> DataFrame:
+    """Per bucket of keys: rows and two order-free digests of all of them (XOR of one row hash, sum of another)."""
+    bucket = F.pmod(_row_hash(keys, 1), F.lit(buckets)).cast("int").alias("_bucket")
+    return df.groupBy(bucket).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.bit_xor(_row_hash(columns, 2)).alias("_xor"),
+        F.sum(_row_hash(columns, 3).cast("decimal(20,0)")).alias("_sum"),
+    )
+
+
+def differing_buckets(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], buckets: int) -> DataFrame:
+    """Buckets whose digests differ, or that only one side has: at most ``buckets`` rows."""
+    left, right = bucket_digests(a, keys, columns, buckets), bucket_digests(b, keys, columns, buckets)
+    both = left.alias("l").join(right.alias("r"), "_bucket", "full_outer")
+    same = F.lit(True)
+    for c in ("_rows", "_xor", "_sum"):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return both.where(~same).select("_bucket")
+
+
+def reconcile(a: DataFrame, b: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
+    """V7: every difference between two results with the same columns: ``keys``, ``status``, ``column_name``, ``value_a``, ``value_b``.
+
+    ``status`` is ``only a`` or ``only b`` for rows that one side lacks (no column), else ``differs`` with a row for
+    each column that differs, values as text. Rows with equal keys are paired in the order of their contents.
+
+    Each side is first reduced to a digest per bucket of keys. Only rows of buckets
+    that differ are shuffled and compared, so two results that agree cost one scan each.
     """
-    ca, cb = f"{measure}_{names[0]}", f"{measure}_{names[1]}"
-    left = a.select(*keys, F.col(measure).alias(ca))
-    right = b.select(*keys, F.col(measure).alias(cb))
-    joined = left.join(right, keys, "full_outer")
-    return joined.select(
-        *keys,
-        F.coalesce(F.col(ca), F.lit(0)).cast("bigint").alias(ca),
-        F.coalesce(F.col(cb), F.lit(0)).cast("bigint").alias(cb),
-        (F.coalesce(F.col(cb), F.lit(0)) - F.coalesce(F.col(ca), F.lit(0))).cast("bigint").alias("diff"),
-    ).orderBy(*keys)
+    columns = list(a.columns)
+    if sorted(columns) != sorted(b.columns):
+        raise ValueError(f"columns differ: {columns} and {b.columns}")
+    values = [c for c in columns if c not in keys]
+    differing = F.broadcast(differing_buckets(a, b, keys, columns, buckets))  # at most ``buckets`` numbers
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own = df.select("*", F.pmod(_row_hash(keys, 1), F.lit(buckets)).cast("int").alias("_bucket")).join(differing, "_bucket", "left_semi")
+        order = Window.partitionBy(*keys).orderBy(_row_hash(columns, 2), _row_hash(columns, 3))
+        texts = F.struct(*(F.col(c).cast("string").alias(c) for c in values)).alias(name)
+        return own.withColumn("_copy", F.row_number().over(order)).select(*(F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)), F.col("_copy").alias(f"{name}_copy"), texts)
+
+    left, right = side(a, "_a"), side(b, "_b")
+    on = F.col("_a_copy") == F.col("_b_copy")
+    for i in range(len(keys)):
+        on = on & F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))
+    joined = left.join(right, on, "full_outer")
+    said = lambda status, column, x, y: F.struct(F.lit(status).alias("status"), F.lit(column).cast("string").alias("column_name"), x.alias("value_a"), y.alias("value_b"))
+    none = F.lit(None).cast("string")
+    of_column = [F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), said("differs", c, F.col(f"_a.{c}"), F.col(f"_b.{c}"))) for c in values]
+    found = F.when(F.col("_b_copy").isNull(), F.array(said("only a", None, none, none))).when(F.col("_a_copy").isNull(), F.array(said("only b", None, none, none)))
+    found = found.otherwise(F.array_compact(F.array(*of_column)))
+    key_columns = [F.coalesce(f"_a{i}", f"_b{i}").alias(k) for i, k in enumerate(keys)]
+    return joined.select(*key_columns, F.explode(found).alias("_d")).select(*keys, "_d.*")

@@ -220,6 +220,38 @@ def state_variance(fact: DataFrame, min_orders: int = 100, min_entities: int = 1
     ).orderBy("worst_rank", "seller_state")
 
 
+def dominance(
+    fact: DataFrame, group: str = "seller_state", entity: str = "seller_id", weight: str | None = None, max_share_pct: int = 50
+) -> DataFrame:
+    """V8: whether a group's figures are those of one entity, whatever the number of entities.
+
+    Per group: orders (or the sum of the 0/1 ``weight``), entities with any, the greatest entity with its
+    share, and the Herfindahl index (sum of squared shares; 1 is a single entity). ``dominated`` marks
+    groups whose greatest entity holds at least ``max_share_pct`` percent. Of equal entities the one with the greater id is named.
+    Rows are counted by (group, entity) first, so a hot group or entity is reduced before it is shuffled.
+    """
+    n = _count() if weight is None else _sum_int(weight)
+    rollup = fact.filter(F.col(group).isNotNull() & F.col(entity).isNotNull()).groupBy(group, entity).agg(n.alias("_n")).filter("_n > 0")
+    square = F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")
+    per_group = rollup.groupBy(group).agg(
+        F.sum("_n").cast("bigint").alias("orders"),
+        F.count(F.lit(1)).alias("entities"),
+        F.max(F.struct("_n", entity)).alias("_top"),
+        F.sum(square).cast("decimal(38,0)").alias("_squares"),
+    )
+    whole = F.col("orders").cast("decimal(19,0)") * F.col("orders").cast("decimal(19,0)")
+    return per_group.select(
+        group,
+        "orders",
+        "entities",
+        F.col(f"_top.{entity}").alias("top_entity"),
+        F.col("_top._n").alias("top_orders"),
+        pct("_top._n", "orders").alias("top_share_pct"),
+        round_ratio("_squares", whole, 4, 5).alias("herfindahl"),
+        (F.col("_top._n") * 100 >= F.col("orders") * max_share_pct).alias("dominated"),
+    ).orderBy(group)
+
+
 def category_profile(
     fact: DataFrame,
     items: DataFrame,

@@ -3,8 +3,8 @@
 Each job derives the raw model from the tables under ``sf_dir`` and composes
 the library's lazy transforms on top, so Catalyst sees one plan per job and
 prunes what the job does not read (unused columns, and rollup joins that
-contribute no column). Nothing at order grain is checkpointed: the full Pareto curve checkpoints
-its seller rollup, and the reconciliation is one grouping.
+contribute no column). Jobs on stored forms of the raw layer (CSV, by order) write them
+under the shared checkpoint folder first.
 
 Registered parameters are the reference's defaults. Jobs named ``..._gate_50``,
 ``..._gaps`` and the like are the same operators with other parameters or on
@@ -25,7 +25,9 @@ from lateflow.operators import facts as F7
 from lateflow.operators import pareto as P
 from lateflow.operators import quality as V
 from lateflow.operators import questions as Q
+from lateflow.plans import layout as L
 from lateflow.plans import roundtrip as R
+from lateflow.session import scratch_path
 from lateflow.sources.schemas import EXPECTED_ROWS, ORDERS, RawModel
 from lateflow.sources.testmap import raw_model
 
@@ -107,6 +109,30 @@ def _reconcile_bands(m: Model) -> DataFrame:
     )
 
 
+def _reconcile_facts(m: Model) -> DataFrame:
+    """Differences between the order fact and one built from raw tables that lack every 50th order and the reviews of every 37th."""
+    other = F7.fact_orders(
+        _without_every(m.raw.orders, "order_id", 50),
+        m.raw.order_items,
+        _without_every(m.raw.order_reviews, "order_id", 37),
+        m.raw.sellers,
+        m.raw.customers,
+    )
+    return V.reconcile(m.fact, other, ["order_id"], buckets=256)
+
+
+def _state_dominance(m: Model) -> DataFrame:
+    """Dominance by state where one seller in three of each state holds nearly all of it: those sellers' orders count as one seller's."""
+    one = F.when(F.col("seller_id") % 3 != 0, F.lit(-1).cast("bigint")).otherwise(F.col("seller_id"))
+    return Q.dominance(m.fact.withColumn("seller_id", one), max_share_pct=60)
+
+
+def _by_order(m: Model) -> L.OrderLayout:
+    """The raw layer by order, in a folder of its own; orders of more than six lines stand apart as if they were hot."""
+    root = scratch_path(m.spark, "by-order")
+    return L.store_by_order(m.spark, m.raw, root, buckets=8, hot_rows=6, database=f"by_order_{root.rsplit('-', 1)[1]}")
+
+
 def _without_every(df: DataFrame, key: str, n: int) -> DataFrame:
     """``df`` without the rows whose key is a multiple of ``n``."""
     return df.filter(F.col(key) % n != 0)
@@ -173,6 +199,12 @@ JOBS: dict[str, Job] = {
     "q7_lateness_band": _job(lambda m: Q.lateness_bands(m.fact)),
     "q8_sourcing": _job(lambda m: Q.sourcing_profile(m.fact)),
     "reconcile_bands": _job(_reconcile_bands),
+    "reconcile_facts": _job(_reconcile_facts),
+    "state_dominance": _job(lambda m: Q.dominance(m.fact)),
+    "state_dominance_one_seller": _job(_state_dominance),
+    # both facts from the raw layer laid out by order
+    "fact_orders_by_order": _job(lambda m: L.fact_orders_by_order(_by_order(m))),
+    "fact_lines_by_order": _job(lambda m: L.fact_lines_by_order(_by_order(m))),
     # diagnostics
     "chi_square_counts": _job(lambda m: T.chi_square_counts(m.raw.order_items, m.raw.order_reviews)),
     "chi_square_stat": _job(lambda m: T.chi_square_stat(m.raw.order_items, m.raw.order_reviews)),
