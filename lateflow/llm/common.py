@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import pickle
 import sys
@@ -82,8 +84,14 @@ def worker_state(key: tuple, make: Callable[[], object]) -> object:
 
 
 def release_worker() -> None:
-    """Drop what ``worker_state`` keeps, at the start of tasks that need the memory for other things."""
-    sys.modules.pop("lateflow_worker_state", None)
+    """Drop what ``worker_state`` keeps and hand freed memory back, at the start of tasks that need it for other things."""
+    if sys.modules.pop("lateflow_worker_state", None):
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:

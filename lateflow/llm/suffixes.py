@@ -26,6 +26,10 @@ bytes (words are parted by ASCII whitespace and compare by 64-bit hashes). For t
 its words' hashes, 8 bytes each, in which windows of ``words`` words are found by the same steps; what
 repeats there is mapped back to the bytes from the first word's start to the last one's end (runs that adjoin are one).
 
+With ``keep_first`` a string stays at its first place, by (id, position), and goes at all others: a window is cut if an equal one starts
+earlier. Of repeated texts the row with the least id stays (null ids come last; rows equal in id and text stay together). A string that overlaps itself
+(a run of one letter) is cut from its second start on.
+
 Defined cases: null texts are empty; texts shorter than ``width`` (and than ``words``) lose nothing; repeated rows and
 ids each give a row (repeated texts of ``width`` bytes or ``words`` words or more lose all); an
 empty table gives no rows; further columns are not read. In a kept text, a
@@ -192,22 +196,25 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int
     return order, [common(strings[i], strings[j]) for i, j in zip(order, order[1:])]
 
 
-def shared_starts(group: list[tuple[bytes, int, int]], width: int) -> list[list[tuple[int, int]]]:
-    """For each of a gram's distinct contexts ``(bytes, lo, hi)`` the distances back from the anchor at which its window occurs in another."""
+def shared_starts(group: list[tuple[bytes, int, int]], width: int, rank: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each of a gram's distinct contexts ``(bytes, lo, hi)`` the distances back from the anchor at which its window occurs in another;
+    with ``rank`` in another of lower rank."""
     after, before = [c[hi:] for c, _, hi in group], [c[:hi][::-1] for c, _, hi in group]
     order, lcp = deep_shallow(after)
     n = len(group)
     out: list[list[tuple[int, int]]] = [[] for _ in group]
     if n <= SMALL:
-        for rank, i in enumerate(order):
+        for at, i in enumerate(order):
             _, lo, hi = group[i]
             for step in (-1, 1):
-                j, right = rank, width
+                j, right = at, width
                 while 0 <= j + step < n:
                     right = min(right, lcp[j if step > 0 else j - 1])
                     j += step
                     if width - right > hi:
                         break
+                    if rank and rank[order[j]] > rank[i]:
+                        continue
                     p, q = max(lo, width - right), min(hi, common(before[i], before[order[j]]))
                     if p <= q:
                         out[i].append((p, q))
@@ -219,6 +226,7 @@ def shared_starts(group: list[tuple[bytes, int, int]], width: int) -> list[list[
     rank_after[order], rank_before[back] = np.arange(n), np.arange(n)
     a, b = np.array(lcp), np.array(back_lcp)
     lo, hi = np.array([g[1] for g in group]), np.array([g[2] for g in group])
+    ranks = np.array(rank) if rank else None
     points = np.unique(np.concatenate([lo, hi + 1, b + 1, width - a]))
     points = points[(points >= lo.min()) & (points <= hi.max())]
     for p, q in zip(points.tolist(), [*(points[1:] - 1).tolist(), int(hi.max())]):
@@ -226,8 +234,13 @@ def shared_starts(group: list[tuple[bytes, int, int]], width: int) -> list[list[
         x = np.concatenate([[0], np.cumsum(a < width - p)])[rank_after]
         y = np.concatenate([[0], np.cumsum(b < p)])[rank_before]
         live = np.flatnonzero((lo <= p) & (p <= hi))
-        _, which, count = np.unique(x[live] * n + y[live], return_inverse=True, return_counts=True)
-        for i in live[count[which] > 1].tolist():
+        classes, which, count = np.unique(x[live] * n + y[live], return_inverse=True, return_counts=True)
+        again = count[which] > 1
+        if rank:
+            least = np.full(len(classes), n)
+            np.minimum.at(least, which, ranks[live])
+            again = ranks[live] > least[which]
+        for i in live[again].tolist():
             out[i].append((p, q))
     return [merged(x) for x in out]
 
@@ -252,12 +265,14 @@ def joined_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]
 
 
 class _Contexts:
-    """Contexts of a task, each distinct one once; flushed as packed rows by bucket of the gram."""
+    """Contexts of a task, each distinct one once; flushed as packed rows by bucket of the gram.
+
+    A place is ``(first id of its text, key, position)``; with ``keep_first`` the least place of a context goes on as its place, else none does where there are several."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, defaultdict(list), 0
+    def __init__(self, buckets: int, keep_first: bool):
+        self.buckets, self.keep_first, self.held, self.size = buckets, keep_first, defaultdict(list), 0
 
-    def add(self, gram: int, width: int, context: bytes, lo: int, hi: int, ref: tuple[int, int]) -> None:
+    def add(self, gram: int, width: int, context: bytes, lo: int, hi: int, ref: tuple[int, int, int]) -> None:
         places = self.held[gram, width, context, lo, hi]
         if not places:
             self.size += len(context) + 200
@@ -267,11 +282,11 @@ class _Contexts:
     def flush(self) -> pa.RecordBatch:
         found, by = [], defaultdict(list)
         for (gram, width, context, lo, hi), places in self.held.items():
-            many = len(places) > 1
-            if many:
+            one = min(places) if self.keep_first or len(places) == 1 else None
+            if len(places) > 1:
                 far, near = max(hi, 0), max(lo, 0)
-                found += [(key, pos - far, pos - near + width) for key, pos in places]
-            by[gram % self.buckets].append((gram, width, context, lo, hi, None if many else places[0]))
+                found += [(key, pos - far, pos - near + width) for r in places if r != one for _, key, pos in (r,)]
+            by[gram % self.buckets].append((gram, width, context, lo, hi, one))
         spans = joined_spans(found)
         self.held.clear()
         self.size = 0
@@ -285,15 +300,16 @@ class _Contexts:
         return pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "key", "begin", "end"])
 
 
-def repeated_spans(kept: DataFrame, width: int, buckets: int, words: int | None = None) -> DataFrame:
-    """``(key, begin, end)`` of repeated strings in the texts of ``kept (key, packed, anchors)``; those of words lie beyond the text's end."""
+def repeated_spans(kept: DataFrame, width: int, buckets: int, words: int | None = None, keep_first: bool = False) -> DataFrame:
+    """``(key, begin, end)`` of repeated strings in the texts of ``kept (key, packed, anchors, first)``; those of words lie beyond the text's end.
+    With ``keep_first`` without the place of each string that is least by (first, position)."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
-        expand, contexts, hashes = zstandard.ZstdDecompressor(), _Contexts(buckets), WordHashes()
+        expand, contexts, hashes = zstandard.ZstdDecompressor(), _Contexts(buckets, keep_first), WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                for key, packed, anchors in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                for key, packed, anchors, first in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     text = expand.decompress(packed)
                     size = len(text)
                     if words:
@@ -302,16 +318,17 @@ def repeated_spans(kept: DataFrame, width: int, buckets: int, words: int | None
                         pos, lo, hi = a["pos"], a["lo"], a["hi"]
                         own, step = (width, 1) if pos < size else (words * WORD, WORD)
                         if not a["hot"]:
-                            contexts.add(a["gram"], own, text[pos - hi : pos - lo + own], lo, hi, (key, pos))
+                            contexts.add(a["gram"], own, text[pos - hi : pos - lo + own], lo, hi, (first, key, pos))
                             continue
                         for s in range(pos - hi, pos - lo + 1, step):
                             digest = hashlib.blake2b(text[s : s + own], digest_size=16).digest()
-                            contexts.add(int.from_bytes(digest[:8], "little", signed=True), own, digest, -1, -1, (key, s))
-                if contexts.size > 24_000_000:
+                            contexts.add(int.from_bytes(digest[:8], "little", signed=True), own, digest, -1, -1, (first, key, s))
+                if contexts.size > 10_000_000:
                     yield contexts.flush()
         yield contexts.flush()
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         expand = zstandard.ZstdDecompressor()
 
         def finish(parts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -323,13 +340,20 @@ def repeated_spans(kept: DataFrame, width: int, buckets: int, words: int | None
             for (_, width), group in groups.items():
                 for (_, lo, hi), refs in group.items():
                     if len(refs) > 1:
-                        out += [(r[0], r[1] - max(hi, 0), r[1] - max(lo, 0) + width) for r in refs if r]
+                        least = min(refs) if keep_first else None
+                        out += [(r[1], r[2] - max(hi, 0), r[2] - max(lo, 0) + width) for r in refs if r and r != least]
                 distinct = [c for c in group if c[2] >= 0]
                 if len(distinct) > 1:
-                    for c, found in zip(distinct, shared_starts(distinct, width)):
+                    rank = None
+                    if keep_first:
+                        place = [min(group[c]) for c in distinct]
+                        rank = [0] * len(place)
+                        for k, i in enumerate(sorted(range(len(place)), key=place.__getitem__)):
+                            rank[i] = k
+                    for c, found in zip(distinct, shared_starts(distinct, width, rank)):
                         refs = group[c]
-                        if len(refs) == 1 and None not in refs:
-                            ((key, pos),) = refs
+                        if keep_first or len(refs) == 1 and None not in refs:
+                            _, key, pos = min(refs)
                             out += [(key, pos - q, pos - p + width) for p, q in found]
             return joined_spans(out)
 
@@ -366,6 +390,7 @@ def remove_repeats(
     gram: int = 32,
     hot_rows: int = 20_000,
     words: int | None = None,
+    keep_first: bool = False,
 ) -> DataFrame:
     """``(id, *keep, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and with ``kept_text`` the text that is left."""
     docs = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_k_{c}") for c in keep), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text")).withColumn("key", F.xxhash64("_text"))
@@ -376,6 +401,8 @@ def remove_repeats(
         own_words = F.size(F.filter(F.split(F.col("_text").cast("string"), r"[ \t\n\r\x0B\f]+"), lambda w: w != ""))
         long_ = F.when(long_ | (F.octet_length("_text") < 2 * words - 1), long_).otherwise(own_words >= words)
     wide = docs.where(long_).select("key", "_text")
+    place = F.coalesce(F.col("_id").cast("long"), F.lit((1 << 63) - 1)) if keep_first else F.lit(0).cast("long")
+    firsts = cut(docs.groupBy("key").agg(F.min(place).alias("first"))) if keep_first else None
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
@@ -427,8 +454,10 @@ def remove_repeats(
     anchors = cut(wide.mapInArrow(mark, "gram long, key long, pos int, lo int, hi int"))
     counts = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > hot_rows).alias("hot"))
     wanted = anchors.join(counts, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "pos", "lo", "hi", "hot")).alias("anchors"))
-    kept = cut(wide.mapInArrow(pack, "key long, packed binary").join(wanted, "key").dropDuplicates(["key"]).select("key", "packed", "anchors"))
-    spans = repeated_spans(kept, width, buckets, words).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    kept = wide.mapInArrow(pack, "key long, packed binary").join(wanted, "key").dropDuplicates(["key"])
+    kept = kept.join(firsts, "key") if keep_first else kept.withColumn("first", place)
+    kept = cut(kept.select("key", "packed", "anchors", "first"))
+    spans = repeated_spans(kept, width, buckets, words, keep_first).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -450,9 +479,12 @@ def remove_repeats(
 
     cleaned = kept.select("key", "packed").join(spans, "key").mapInArrow(clean, "key long, removed long, spans long, sha string, rest string")
     copies = wide.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = docs.select("_id", *(f"_k_{c}" for c in keep), "key", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("own_sha"), *([F.col("_text")] if kept_text else []))
+    rows = docs.select("_id", *(f"_k_{c}" for c in keep), "key", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("own_sha"), place.alias("place"), *([F.col("_text")] if kept_text else []))
     joined = rows.join(copies, "key", "left").join(cleaned, "key", "left")
     whole = F.col("copies").isNotNull()
+    if keep_first:
+        joined = joined.join(firsts, "key")
+        whole = whole & (F.col("place") > F.col("first"))
     columns = [
         F.col("_id").alias(id_col),
         *(F.col(f"_k_{c}").alias(c) for c in keep),

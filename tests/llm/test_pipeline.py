@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from test_jaccard import brute as near_copies
-from test_suffixes import brute as repeats
+from test_suffixes import brute_first as repeats
 
 
 def planted(seed=1):
@@ -82,7 +82,7 @@ def test_stages_and_run(spark, tmp_path):
 
 
 def test_passages_of_over_fifty_words_are_cut(spark):
-    """Repeated passages of 51 to 65 words, all below 400 bytes, go; one of 50 words stays."""
+    """Repeated passages of 51 to 65 words, all below 400 bytes, go but at their first place; one of 50 words stays."""
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 8)))
     prose = lambda n: [word() for _ in range(n)]
@@ -91,7 +91,31 @@ def test_passages_of_over_fifty_words_are_cut(spark):
     rows = [(i, " ".join([*prose(40), f"u{i}", passages[i % 16], f"v{i}", *prose(40)]), "en", "s", 0) for i in range(64)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     left = {x["doc_id"]: x["text"] for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
-    assert left == {i: t if i % 16 == 15 else t.replace(passages[i % 16], "") for i, t, *_ in rows}
+    assert left == {i: t if i % 16 == 15 or i < 16 else t.replace(passages[i % 16], "") for i, t, *_ in rows}
+
+
+def test_rows_are_judged_by_id_and_text(spark, tmp_path):
+    """A row of the same id with another text is left alone, near copies that share an id are one group, rows without an id are judged too,
+    and of a quoted document the words stay where they stood first."""
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    a, clean, item, quoted = prose(60), prose(60), prose(30), prose(60)
+    near = a[:30] + ["changed"] + a[31:]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, words: (i, " ".join(words), "en", "s", 0)
+    rows = [row(1, a), row(2, a), row(2, clean), row(1, near), row(None, a), row(None, prose(40)), row(7, prose(10) + item), row(7, prose(50))]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    single = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    texts = [(x["doc_id"], x["text"]) for x in single]
+    assert sorted(i or 0 for i, _ in texts) == [0, 1, 2, 7, 7] and (2, " ".join(clean)) in texts
+    assert len([t for _, t in texts if t in (" ".join(a), " ".join(near))]) == 1
+    safe = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(x["text"] for x in safe) == sorted(t for _, t, *_ in rows if " ".join(item) not in t)
+    both = spark.createDataFrame([row(5, prose(20) + quoted + prose(20)), row(3, quoted), row(9, quoted + quoted)], schema)
+    left = {x["doc_id"]: x["text"].split() for x in corpus_pipeline.cut_repeats(spark, both, "").collect()}
+    assert left[3] == quoted and len(left[5]) == 40 and 9 not in left
 
 
 def test_repeated_rows_and_no_rows(spark, tmp_path):

@@ -25,6 +25,24 @@ def brute(texts, width):
     return out
 
 
+def brute_first(texts, width):
+    """As ``brute``, but only windows that have started before, in text order, go; of equal texts all but the first."""
+    seen, gone, whole = set(), [], {}
+    for i, t in enumerate(texts):
+        own = bytearray(len(t))
+        if t in whole and len(t) >= width:
+            own = bytearray(b"\1" * len(t))
+        else:
+            whole[t] = i
+            for s in range(len(t) - width + 1):
+                w = t[s : s + width]
+                if w in seen:
+                    own[s : s + width] = b"\1" * width
+                seen.add(w)
+        gone.append(own)
+    return [(len(t), sum(g), hashlib.sha256(bytes(b for b, x in zip(t, g) if not x)).hexdigest()) for t, g in zip(texts, gone)]
+
+
 def corpus(seed, width):
     r = random.Random(seed)
     noise = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
@@ -151,3 +169,14 @@ def test_runs_of_words(spark, hot_rows):
     want = brute_words([t.encode() for t in texts], 80, 12)
     assert [out[i] for i in range(len(texts))] == want
     assert want[-2] == texts[-2] and not want[90] and any(0 < len(w) < len(t) for w, t in zip(want, texts))
+
+
+@pytest.mark.parametrize("seed,hot_rows", [(1, 20_000), (2, 20_000), (3, 3)])
+def test_first_places_stay(spark, seed, hot_rows):
+    """With ``keep_first`` a string goes where it has started before: every string of the input is still somewhere in the output."""
+    width = 40
+    texts = corpus(seed, width)
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    out = suffixes.remove_repeats(docs, width=width, gram=8, hot_rows=hot_rows, keep_first=True, kept_text=True).collect()
+    got = [(x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in sorted(out, key=lambda x: x["doc_id"])]
+    assert got == brute_first(texts, width)
