@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, discard, raw_bytes, store
+from lateflow.llm.common import cut, discard, raw_bytes, release_worker, store
 
 UNIT = 1_000_000_000
 SMOOTH = 5
@@ -94,14 +94,17 @@ class _Chunk:
 
 def _pack(chunk_bytes: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         chunk = _Chunk()
         for batch in batches:
-            langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
-            for lang, source, text in zip(langs, sources, raw_bytes(batch.column("text"))):
-                chunk.add(lang, source, text)
-                if chunk.bytes >= chunk_bytes or len(chunk.sizes) >= 50_000:
-                    yield chunk.pack()
-                    chunk = _Chunk()
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                langs, sources = (part.column(c).to_pylist() for c in ("lang", "source"))
+                for lang, source, text in zip(langs, sources, raw_bytes(part.column("text"))):
+                    chunk.add(lang, source, text)
+                    if chunk.bytes >= chunk_bytes or len(chunk.sizes) >= 50_000:
+                        yield chunk.pack()
+                        chunk = _Chunk()
         if chunk.sizes:
             yield chunk.pack()
 
@@ -132,6 +135,29 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Read]:
                 yield chunk
 
 
+class _Sums:
+    """Counts by group and byte string, added up over the chunks of a task and handed on within a bound."""
+
+    def __init__(self, names: list[str], kinds: list[pa.DataType], most: int = 300_000):
+        self.names, self.kinds, self.most = names, kinds, most
+        self.by, self.size = defaultdict(dict), 0
+
+    def add(self, group: tuple, values: list[bytes], counts: list[int]) -> None:
+        own = self.by[group]
+        before = len(own)
+        for v, n in zip(values, counts):
+            own[v] = own.get(v, 0) + n
+        self.size += len(own) - before
+
+    def rows(self) -> pa.RecordBatch:
+        sizes = [len(own) for own in self.by.values()]
+        groups = [pa.array(np.repeat(np.array([g[i] for g in self.by], object), sizes), k) for i, k in enumerate(self.kinds)]
+        values = pa.array([v for own in self.by.values() for v in own], pa.binary())
+        counts = pa.array([n for own in self.by.values() for n in own.values()], pa.int64())
+        self.by, self.size = defaultdict(dict), 0
+        return pa.RecordBatch.from_arrays([*groups, values, counts], self.names)
+
+
 def _tally(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys (all below ``size``) in order, and how often each occurs."""
     if size > 4 * len(key) + 1_000_000:
@@ -241,6 +267,8 @@ def _level(before: int, length: int, kept: Filter | None) -> Callable:
     """Documents for each prefix of ``length`` bytes that extends a survivor of length ``before``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
+        sums = _Sums(["lang", "whole", "prefix", "docs"], [pa.string(), pa.bool_()])
         for chunk in _chunks(batches):
             rows = np.flatnonzero((chunk.sizes > before)[chunk.term])
             if kept is not None:
@@ -251,10 +279,15 @@ def _level(before: int, length: int, kept: Filter | None) -> Callable:
             new = np.ones(len(rows), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
             key, docs = _tally(chunk.lang[rows][new] * n + own[new], len(chunk.langs) * n)
-            at = key % n
-            columns = [np.array(chunk.langs, object)[key // n], items.values[at].tolist(), items.whole[at], docs]
-            kinds = [pa.string(), pa.binary(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "prefix", "whole", "docs"])
+            for k, lang in enumerate(chunk.langs):
+                of_lang = slice(*np.searchsorted(key, [k * n, (k + 1) * n]))
+                at, times = key[of_lang] - k * n, docs[of_lang]
+                for whole in (False, True):
+                    some = items.whole[at] == whole
+                    sums.add((lang, whole), items.values[at[some]].tolist(), times[some].tolist())
+            if sums.size > sums.most:
+                yield sums.rows()
+        yield sums.rows()
 
     return run
 
@@ -263,6 +296,8 @@ def _uses(kept: Filter) -> Callable:
     """Uses of each kept term by language and source."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
+        sums = _Sums(["lang", "source", "prefix", "uses"], [pa.string(), pa.string()])
         for chunk in _chunks(batches):
             n = len(chunk.terms)
             values, sizes = padded(chunk.terms)
@@ -274,10 +309,12 @@ def _uses(kept: Filter) -> Callable:
             key, _ = _tally(entry, len(chunk.group_langs) * n)
             total = np.zeros(len(key), np.int64)
             np.add.at(total, np.searchsorted(key, entry), chunk.uses[rows])
-            group, at = key // n, (key % n).tolist()
-            columns = [np.array(chunk.group_langs, object)[group], np.array(chunk.group_sources, object)[group], [chunk.terms[k] for k in at], total]
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "source", "prefix", "uses"])
+            for k, group in enumerate(zip(chunk.group_langs, chunk.group_sources)):
+                own = slice(*np.searchsorted(key, [k * n, (k + 1) * n]))
+                sums.add(group, [chunk.terms[t] for t in (key[own] - k * n).tolist()], total[own].tolist())
+            if sums.size > sums.most:
+                yield sums.rows()
+        yield sums.rows()
 
     return run
 
@@ -286,7 +323,7 @@ def iceberg_terms(chunks: DataFrame, min_docs: int, first: int = 3, filter_bits:
     """``(lang, prefix, docs)`` of the complete terms in at least ``min_docs`` documents of a language, by prefix refinement."""
     before, length, kept, found = 0, first, None, None
     while True:
-        counted = chunks.mapInArrow(_level(before, length, kept), "lang string, prefix binary, whole boolean, docs bigint")
+        counted = chunks.mapInArrow(_level(before, length, kept), "lang string, whole boolean, prefix binary, docs bigint")
         survivors = cut(counted.groupBy("lang", "prefix", "whole").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs))
         whole = survivors.where("whole").select("lang", "prefix", "docs")
         found = whole if found is None else found.unionByName(whole)
@@ -328,7 +365,7 @@ def audit(
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
     filter_bits: int = 1 << 23,
     block_rows: int = 50_000,
     tile_sources: int = 256,

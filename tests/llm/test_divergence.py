@@ -64,7 +64,7 @@ def test_refinement_discards_prefixes(spark):
     chunks = docs.coalesce(1).mapInArrow(d._pack(1 << 20), d.CHUNK)
     found = {bytes(x["prefix"]): x["docs"] for x in d.iceberg_terms(chunks, min_docs=13).collect()}
     assert found == {b"common": 20, b"abcab": 13, b"abcac": 13}
-    one = {bytes(x["prefix"]): x["docs"] for x in chunks.mapInArrow(d._level(0, 2, None), "lang string, prefix binary, whole boolean, docs long").collect()}
+    one = {bytes(x["prefix"]): x["docs"] for x in chunks.mapInArrow(d._level(0, 2, None), "lang string, whole boolean, prefix binary, docs long").collect()}
     assert one == {b"co": 20, b"ab": 13, b"ra": 13}  # two terms of one document count once
 
 
