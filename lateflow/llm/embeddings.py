@@ -3,19 +3,23 @@
 Unit vectors are halved; each half has a codebook of its own (k-means on a
 bounded sample), and the product of both is a grid of cells. Every vector lies
 in one cell. As a query it visits cells in multi-sequence order (nearest sum of
-both halves' distances first) until the target recall, which is calibrated on
-the sample for neighbours just at the threshold; cells that by the codebooks' bisectors cannot hold
-a neighbour are passed over, and the visit ends where no cell is left. What it meets
-there is verified by cosine in double precision.
+both halves' distances first); cells that by the codebooks' bisectors cannot hold
+a neighbour are passed over, and the visit ends where no cell is left. With a target recall of 1 that is the only
+end, and every link is found; a lower target ends visits earlier, after a number of cells calibrated on
+the sample for neighbours just at the threshold. What a query meets
+is verified by cosine in double precision.
+
+A pair is compared once: of two cells the vectors of the one with the lower number visit the other, and within a cell the
+lower node is the visitor. A link found counts for both. Codewords grow with the root of the rows, so cells keep their size.
 
 Equal vectors of a label count once, with their number. A cell with very many
 vectors is split, and its visitors go to each part. Parts report, for each
-visitor, the number of its links, and edges that join linked vectors to one of
+visitor and each vector visited, the number of its links, and edges that join linked vectors to one of
 them: never all pairs.
 
 Defined cases: null or empty vectors, zero vectors, vectors with null or
 non-finite components and vectors without a label link with nothing;
-vectors of different lengths never link; repeated rows and ids each give a row
+vectors of different lengths never link; a null id is no one's smallest id, and its own component only where it has no other; repeated rows and ids each give a row
 (equal vectors of a label link); an empty table gives no rows; further columns
 are not read.
 """
@@ -23,6 +27,7 @@ are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -80,7 +85,7 @@ class MultiIndex:
         self.reach = max(0.0, 2 - 2 * threshold) + 1e-9  # squared distance at the threshold
         self.books = [kmeans(self._part(sample, s), codewords) for s in (0, 1)]
         self.gaps = [np.sqrt(_distances(b, b)) for b in self.books]
-        self.visits = self._calibrate(sample[:queries], threshold, target)
+        self.visits = self._calibrate(sample[:queries], threshold, target) if target < 1 else len(self.books[0]) * len(self.books[1])
 
     def _part(self, x: np.ndarray, side: int) -> np.ndarray:
         return x[:, : self.half] if side == 0 else x[:, self.half :]
@@ -104,7 +109,12 @@ class MultiIndex:
         return a * len(self.books[1]) + b
 
     def visited(self, x: np.ndarray) -> list[list[int]]:
-        """Cells that each vector visits as a query."""
+        """Cells that each vector visits as a query: of those that may hold neighbours its own and those of higher numbers."""
+        step = max(1, 2_000_000 // (len(self.books[0]) ** 2 + len(self.books[1]) ** 2))  # what is held for a vector grows with the codewords' square
+        return [own for at in range(0, len(x), step) for own in self._visited(x[at : at + step])]
+
+    def _visited(self, x: np.ndarray) -> list[list[int]]:
+        cells = self.cells(x)
         distances = [_distances(self._part(x, s), self.books[s]) for s in (0, 1)]
         bounds = []
         for d, gap in zip(distances, self.gaps):
@@ -120,8 +130,9 @@ class MultiIndex:
                 if n >= self.visits or not open_:
                     break
                 if bounds[0][i][a] + bounds[1][i][b] <= self.reach:
-                    own.append(a * len(self.books[1]) + b)
                     open_ -= 1
+                    if (cell := a * len(self.books[1]) + b) >= cells[i]:
+                        own.append(cell)
             out.append(own)
         return out
 
@@ -139,12 +150,12 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
-    codewords: int = 16,
-    target_recall: float = 0.999,
+    codewords: int | None = None,
+    target_recall: float = 1.0,
     sample_rows: int = 8_192,
     part_rows: int = 2_048,
 ) -> DataFrame:
-    """``(id, n_links, component_id, kept)`` for every row of ``vectors``."""
+    """``(id, n_links, component_id, kept)`` for every row of ``vectors``. Without ``codewords`` a half has one for each 16 of the root of the rows, 16 to 512."""
     spark = vectors.sparkSession
     v = F.col("_v")
     clean = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col("_l").isNotNull(), F.lit(False))
@@ -152,14 +163,14 @@ def near_duplicates(
     rows = rows.withColumn("node", F.when(clean, F.xxhash64("_l", F.size("_v"), "_v")))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("_l").alias("_l"), F.first("_v").alias("_v")))
     own = rows.select("_id", "node")
-    lengths = [r[0] for r in nodes.select(F.size("_v")).distinct().collect()]  # one for each kind of vector
+    lengths = sorted((r[0], r[1]) for r in nodes.groupBy(F.size("_v")).count().collect())  # one for each kind of vector
 
     found = None
-    for size in lengths:
+    for size, n in lengths:
         part = nodes.where(F.size("_v") == size)
         sample = hash_sample(part, sample_rows, "node").select("_v").collect()
         table = pa.array([r[0] for r in sample], pa.list_(pa.float64()))
-        index = MultiIndex(_unit(table, size), codewords, threshold, target_recall)
+        index = MultiIndex(_unit(table, size), codewords or min(512, max(16, math.isqrt(n) // 16)), threshold, target_recall)
         met = _meet(part, share(spark, index), size, threshold, part_rows)
         found = met if found is None else found.unionByName(met)
     if found is None:
@@ -184,7 +195,7 @@ def near_duplicates(
 
 
 def _meet(nodes: DataFrame, shared, size: int, threshold: float, part_rows: int) -> DataFrame:
-    """``(a, b, links)``: per visitor and part the number of vectors linked, and edges that join what is linked."""
+    """``(a, b, links)``: per part and visitor or visited vector the number of vectors linked, and edges that join what is linked."""
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = load(shared)
@@ -200,12 +211,13 @@ def _meet(nodes: DataFrame, shared, size: int, threshold: float, part_rows: int)
     placed = cut(placed)
     parts = placed.groupBy("_l", "cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     base = placed.join(parts, ["_l", "cell"]).select("_l", "cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "node", "copies", "_v")
-    visitors = placed.select("_l", F.explode("visits").alias("cell"), "node", "copies", "_v").join(parts, ["_l", "cell"])
-    visitors = visitors.select("_l", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "node", "copies", "_v")
+    visitors = placed.select("_l", F.col("cell").alias("home"), F.explode("visits").alias("cell"), "node", "copies", "_v").join(parts, ["_l", "cell"])
+    role = F.when(F.col("home") == F.col("cell"), 2).otherwise(1).alias("role")  # those of the cell itself meet each other
+    visitors = visitors.select("_l", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), role, "node", "copies", "_v")
     dealt = base.unionByName(visitors).repartition("_l", "cell", "part").sortWithinPartitions("_l", "cell", "part", "role")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, node, copies, parent = None, [], [], None, []
+        current, held, node, copies, parent, got = None, [], [], None, [], None
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -214,20 +226,20 @@ def _meet(nodes: DataFrame, shared, size: int, threshold: float, part_rows: int)
             return i
 
         def inner() -> list[tuple[int, int, int]]:
-            """Edges among the vectors of the part that a visitor has joined."""
-            return [(node[i], node[root(i)], 0) for i in range(len(parent)) if root(i) != i]
+            """Links of the vectors of the part, and edges among those that a visitor has joined."""
+            return [(node[i], node[root(i)], int(got[i])) for i in range(len(parent)) if got[i] or root(i) != i]
 
-        def meet(x: np.ndarray, who: list[int]) -> list[tuple]:
+        def meet(x: np.ndarray, who: list[int], number: np.ndarray, home: bool) -> list[tuple]:
             out, links = [], x @ held.T >= threshold
+            if home:
+                links &= np.array(who)[:, None] < np.array(node)[None]
+            got[:] += number @ links
             for i in np.flatnonzero(links.any(1)).tolist():
                 hit = np.flatnonzero(links[i])
-                others = [int(h) for h in hit if node[h] != who[i]]
-                if not others:
-                    continue
                 first = root(int(hit[0]))
                 for h in hit[1:]:
                     parent[root(int(h))] = first
-                out.append((who[i], node[others[0]], int(copies[others].sum())))
+                out.append((who[i], node[hit[0]], int(copies[hit].sum())))
             return out
 
         for batch in batches:
@@ -241,16 +253,18 @@ def _meet(nodes: DataFrame, shared, size: int, threshold: float, part_rows: int)
                     end += 1
                 some = batch.slice(at, end - at)
                 x, who = _unit(some.column("_v"), size), some.column("node").to_pylist()
+                number = some.column("copies").to_numpy()
                 if keys[at][:3] != current:
                     out += inner()
                     current, held, node, copies, parent = keys[at][:3], np.zeros((0, size)), [], np.zeros(0, np.int64), []
+                    got = np.zeros(0, np.int64)
                 if not keys[at][3]:
                     held, node = np.vstack([held, x]), node + who
-                    copies = np.concatenate([copies, np.array(some.column("copies").to_pylist(), np.int64)])
-                    parent = list(range(len(node)))
+                    copies = np.concatenate([copies, number])
+                    parent, got = list(range(len(node))), np.zeros(len(node), np.int64)
                 elif len(node):
                     for p in range(0, len(x), 1024):
-                        out += meet(x[p : p + 1024], who[p : p + 1024])
+                        out += meet(x[p : p + 1024], who[p : p + 1024], number[p : p + 1024], keys[at][3] == 2)
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["a", "b", "links"])
         out = inner()
