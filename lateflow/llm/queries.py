@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateflow.llm import bpe, decontaminate, divergence, embeddings, jaccard, lm, merkle, pii, quality, sharding, suffixes, tokenfiles, toxicity
+from lateflow.llm import bpe, decontaminate, divergence, embeddings, jaccard, lm, merkle, oracle, pii, quality, sharding, suffixes, tokenfiles, toxicity
 from lateflow.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -109,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_merkle": op12_merkle,
     "op13_divergence": op13_divergence,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
