@@ -46,7 +46,7 @@ SMOOTH = 5
 #: Letters lower-cased, bytes from 0x80 up as they are, anything else a blank.
 TERM_BYTES = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 PIECE = 1 << 20
-CHUNK = "langs array<string>, sources array<string>, doc_group binary, doc binary, term binary, uses binary, terms array<binary>"
+CHUNK = "langs array<string>, sources array<string>, doc_group binary, doc_sizes binary, term binary, uses binary, terms array<binary>"
 
 
 def count_terms(text: bytes) -> Counter:
@@ -68,7 +68,7 @@ class _Chunk:
 
     def __init__(self):
         self.groups, self.numbers = {}, defaultdict(count().__next__)
-        self.doc_group, self.sizes, self.term, self.uses, self.bytes = array("i"), array("q"), array("i"), array("q"), 0
+        self.doc_group, self.sizes, self.term, self.uses, self.bytes = array("i"), array("i"), array("i"), array("i"), 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
         own = count_terms(text)
@@ -82,13 +82,14 @@ class _Chunk:
         terms = sorted(self.numbers)
         place = np.empty(len(terms), np.int32)
         place[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms), dtype=np.int32)
-        doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        sizes = np.array(self.sizes, np.int32)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         term = place[np.frombuffer(self.term, np.int32)] if self.term else np.zeros(0, np.int32)
         order = np.lexsort((term, doc))
-        arrays = [np.array(self.doc_group, np.int32), doc, term[order], np.array(self.uses, np.int64)[order]]
+        arrays = [np.array(self.doc_group, np.int32), sizes, term[order], np.array(self.uses, np.int32)[order]]
         columns = [[[g[0] for g in self.groups]], [[g[1] for g in self.groups]], *([a.tobytes()] for a in arrays), [terms]]
         kinds = [pa.list_(pa.string())] * 2 + [pa.binary()] * 4 + [pa.list_(pa.binary())]
-        names = ["langs", "sources", "doc_group", "doc", "term", "uses", "terms"]
+        names = ["langs", "sources", "doc_group", "doc_sizes", "term", "uses", "terms"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
@@ -121,7 +122,8 @@ class _Read:
         self.langs = sorted(set(self.group_langs))
         number = {x: k for k, x in enumerate(self.langs)}
         of_group = np.array([number[x] for x in self.group_langs], np.int64)
-        self.doc, self.term, self.uses = packed("doc", np.int32), packed("term", np.int32), packed("uses", np.int64)
+        sizes, self.term, self.uses = packed("doc_sizes", np.int32), packed("term", np.int32), packed("uses", np.int32)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.group = packed("doc_group", np.int32)[self.doc]
         self.lang = of_group[self.group]
         self.terms = value("terms").values.to_numpy(zero_copy_only=False).tolist()
@@ -138,7 +140,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Read]:
 class _Sums:
     """Counts by group and byte string, added up over the chunks of a task and handed on within a bound."""
 
-    def __init__(self, names: list[str], kinds: list[pa.DataType], most: int = 300_000):
+    def __init__(self, names: list[str], kinds: list[pa.DataType], most: int = 150_000):
         self.names, self.kinds, self.most = names, kinds, most
         self.by, self.size = defaultdict(dict), 0
 
