@@ -44,6 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,21 +170,9 @@ def linked(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
 def jaccard_components(docs: DataFrame, n: int = 5, part: int = 4, whole: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row; links at a similarity of ``part / whole`` or more."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    kind = docs.schema["_id"].dataType.simpleString()
-
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker()
-        shingler = Shingler(n)
-        for batch in batches:
-            size, node = [], []
-            for text in raw_bytes(batch.column(1)):
-                h = shingler.hashes(text)
-                size.append(len(h))
-                node.append(fingerprint(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["_id", "_key", "n_shingles", "node"])
-
-    rows = cut(docs.mapInArrow(measure, f"_id {kind}, _key long, n_shingles long, node long"))
-    active = prefix_filter(docs, rows, n, part, whole)
+    seen = measure(docs, n, part, whole)
+    rows = seen.where("shared is null").select("_id", "_key", "n_shingles", "node")
+    active = prefix_filter(seen, part, whole)
     sets = _texts(docs, rows, active, n)
     members = signature_groups(sets, n, part, whole)
     links = resolve(members, sets, n, part, whole)
@@ -266,32 +255,97 @@ def _by_bucket(batches: Iterable[pa.RecordBatch], finish) -> Iterator[pa.RecordB
         yield finish(parts)
 
 
-def prefix_filter(docs: DataFrame, rows: DataFrame, n: int, part: int, whole: int, spare: float = 0.06) -> DataFrame:
-    """``(node)`` of the sets that may link: enough of their smallest hashes occur among those of other sets."""
-    bits, share = _bits(docs), (whole - part) / whole + spare
+#: Share of a set's smallest hashes that are counted beyond those that a linked set may lack.
+SPARE = 0.06
 
-    def smallest(h: np.ndarray) -> np.ndarray:
-        return h[: int(len(h) * share) + 2]
+
+def measure(docs: DataFrame, n: int, part: int, whole: int) -> DataFrame:
+    """All that one pass over the texts of ``docs (_id, _text, _key)`` tells, as one table: a row per document (``_id, _key, n_shingles, node``; ``shared``
+    null), and rows ``node, shared``: how many of a set's smallest hashes occur among those of other sets.
+
+    The hashes travel packed by bucket of the hash space, and the documents' rows with them, so texts are cut into shingles once.
+    """
+    bits, share = _bits(docs), (whole - part) / whole + SPARE
+    kind = docs.schema["_id"].dataType.simpleString()
+    names = ["bucket", "packed", "_id", "_key", "n_shingles", "node"]
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emit((t for b in batches for t in raw_bytes(b.column(0))), n, smallest, bits)
+        release_worker()
+        shingler, seen, held, count = Shingler(n), set(), [], 0
+
+        def flush(id_type: pa.DataType) -> pa.RecordBatch:
+            values = np.concatenate([v for v, _ in held])
+            rows = _pack(values, np.repeat(np.array([f for _, f in held], np.int64), [len(v) for v, _ in held]), bits)
+            held.clear()
+            none = [pa.nulls(rows.num_rows, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*rows.columns, *none], names)
+
+        id_type = pa.int64()
+        for batch in batches:
+            id_type = batch.column(0).type
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                size, node = [], []
+                for text in raw_bytes(some.column(1)):
+                    h = shingler.hashes(text)
+                    size.append(len(h))
+                    node.append(fingerprint(h) if len(h) else None)
+                    if not len(h) or node[-1] in seen:
+                        continue
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(node[-1])
+                    held.append((h[: int(len(h) * share) + 2], node[-1]))
+                    count += len(held[-1][0])
+                    if count >= 1_000_000:
+                        yield flush(id_type)
+                        count = 0
+                spread = pa.array((np.arange(len(size)) + at) % (1 << bits), pa.int32())
+                columns = [spread, pa.nulls(len(size), pa.binary()), some.column(0), some.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        if held:
+            yield flush(id_type)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(parts: list[bytes]) -> pa.RecordBatch:
+        def finish(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             node, begin, size = _unpack(parts)
             shared = np.zeros(len(node) + 1, np.int64)
             np.add.at(shared, begin, 1)
             np.add.at(shared, begin + size, -1)
-            own, times = np.unique(node[np.cumsum(shared)[:-1] > 0], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(times, pa.int64())], ["node", "shared"])
+            return np.unique(node[np.cumsum(shared)[:-1] > 0], return_counts=True)
 
-        yield from _by_bucket(batches, finish)
+        def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            own, times = found
+            columns = [pa.nulls(len(own), id_type), *[pa.nulls(len(own), pa.int64())] * 2, pa.array(own, pa.int64()), pa.array(times, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["_id", "_key", "n_shingles", "node", "shared"])
 
-    packed = docs.select("_text").mapInArrow(sign, "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
-    counts = packed.mapInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
-    sizes = rows.where("node is not null").select("node", "n_shingles").distinct()
+        release_worker()
+        current, parts, id_type = None, [], pa.int64()
+        for batch in batches:
+            id_type, of_document = batch.column(2).type, batch.column(1).is_null()
+            own = batch.filter(of_document)
+            yield pa.RecordBatch.from_arrays([*own.columns[2:], pa.nulls(own.num_rows, pa.int64())], ["_id", "_key", "n_shingles", "node", "shared"])
+            own = batch.filter(pc.invert(of_document))
+            for bucket, packed in zip(own.column(0).to_pylist(), own.column(1).to_pylist()):
+                if bucket != current and parts:
+                    yield rows(finish(parts))
+                    parts = []
+                current = bucket
+                parts.append(packed)
+        if parts:
+            yield rows(finish(parts))
+
+    signed = docs.select("_id", "_text", "_key").mapInArrow(sign, f"bucket int, packed binary, _id {kind}, _key long, n_shingles long, node long")
+    dealt = signed.repartition("bucket").sortWithinPartitions("bucket")
+    return cut(dealt.mapInArrow(count, f"_id {kind}, _key long, n_shingles long, node long, shared long"))
+
+
+def prefix_filter(seen: DataFrame, part: int, whole: int) -> DataFrame:
+    """``(node)`` of the sets that may link: enough of their smallest hashes occur among those of other sets."""
+    counts = seen.where("shared is not null").groupBy("node").agg(F.sum("shared").alias("shared"))
+    sizes = seen.where("shared is null and node is not null").select("node", "n_shingles").distinct()
     # a linked set has at least part / whole of this one's elements, and of its prefix all but (whole - part) / whole of its elements are in this one
-    needed = F.floor(F.col("n_shingles") * (part / whole * spare) - 1e-9) + 1
+    needed = F.floor(F.col("n_shingles") * (part / whole * SPARE) - 1e-9) + 1
     return cut(counts.join(sizes, "node").where(F.col("shared") >= needed).select("node"))
 
 
