@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, raw_bytes, release_worker
+from lateflow.llm.common import cut, discard, raw_bytes, release_worker, store
 
 WORD = 8
 WORD_GRAM = 8
@@ -451,12 +451,13 @@ def remove_repeats(
                     packed.append(squeeze.compress(text))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(packed, pa.binary())], ["key", "packed"])
 
-    anchors = cut(wide.mapInArrow(mark, "gram long, key long, pos int, lo int, hi int"))
+    anchors = store(wide.mapInArrow(mark, "gram long, key long, pos int, lo int, hi int"))
     counts = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > hot_rows).alias("hot"))
     wanted = anchors.join(counts, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "pos", "lo", "hi", "hot")).alias("anchors"))
     kept = wide.mapInArrow(pack, "key long, packed binary").join(wanted, "key").dropDuplicates(["key"])
     kept = kept.join(firsts, "key") if keep_first else kept.withColumn("first", place)
     kept = cut(kept.select("key", "packed", "anchors", "first"))
+    discard(anchors)
     spans = repeated_spans(kept, width, buckets, words, keep_first).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
