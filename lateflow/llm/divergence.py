@@ -31,7 +31,7 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -49,18 +49,19 @@ PIECE = 1 << 20
 CHUNK = "langs array<string>, sources array<string>, doc_group binary, doc_sizes binary, term binary, uses binary, terms array<binary>"
 
 
-def count_terms(text: bytes) -> Counter:
-    """Uses of each term of a text."""
+def terms_of(text: bytes) -> tuple[Iterable[bytes], Iterable[int], int]:
+    """Terms of a text, their uses and their number: each use by itself, or for a long text each distinct term once."""
     letters = text.translate(TERM_BYTES)
     if len(letters) <= PIECE:
-        return Counter(letters.split())
+        found = letters.split()
+        return found, repeat(1, len(found)), len(found)
     out, at = Counter(), 0
     while at < len(letters):
         end = letters.find(b" ", at + PIECE)
         end = len(letters) if end < 0 else end
         out.update(letters[at:end].split())
         at = end
-    return out
+    return out, out.values(), len(out)
 
 
 class _Chunk:
@@ -71,22 +72,25 @@ class _Chunk:
         self.doc_group, self.sizes, self.term, self.uses, self.bytes = array("i"), array("i"), array("i"), array("i"), 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        own = count_terms(text)
+        found, uses, n = terms_of(text)
         self.doc_group.append(self.groups.setdefault((lang, source), len(self.groups)))
-        self.sizes.append(len(own))
-        self.term.extend(map(self.numbers.__getitem__, own))
-        self.uses.extend(own.values())
+        self.sizes.append(n)
+        self.term.extend(map(self.numbers.__getitem__, found))
+        self.uses.extend(uses)
         self.bytes += len(text)
 
     def pack(self) -> pa.RecordBatch:
         terms = sorted(self.numbers)
-        place = np.empty(len(terms), np.int32)
-        place[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms), dtype=np.int32)
-        sizes = np.array(self.sizes, np.int32)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        term = place[np.frombuffer(self.term, np.int32)] if self.term else np.zeros(0, np.int32)
-        order = np.lexsort((term, doc))
-        arrays = [np.array(self.doc_group, np.int32), sizes, term[order], np.array(self.uses, np.int32)[order]]
+        place = np.empty(len(terms), np.int64)
+        place[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+        doc = np.repeat(np.arange(len(self.sizes)), np.frombuffer(self.sizes, np.int32))
+        key = doc * max(1, len(terms)) + place[np.frombuffer(self.term, np.int32)] if self.term else np.zeros(0, np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        uses = np.add.reduceat(np.frombuffer(self.uses, np.int32)[order], first) if len(key) else key
+        sizes = np.bincount(key[first] // max(1, len(terms)), minlength=len(self.sizes))
+        arrays = [np.array(self.doc_group, np.int32), sizes.astype(np.int32), (key[first] % max(1, len(terms))).astype(np.int32), uses.astype(np.int32)]
         columns = [[[g[0] for g in self.groups]], [[g[1] for g in self.groups]], *([a.tobytes()] for a in arrays), [terms]]
         kinds = [pa.list_(pa.string())] * 2 + [pa.binary()] * 4 + [pa.list_(pa.binary())]
         names = ["langs", "sources", "doc_group", "doc_sizes", "term", "uses", "terms"]
@@ -299,7 +303,7 @@ def _uses(kept: Filter) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
-        sums = _Sums(["lang", "source", "prefix", "uses"], [pa.string(), pa.string()])
+        sums = _Sums(["lang", "source", "prefix", "uses"], [pa.string(), pa.string()], 400_000)
         for chunk in _chunks(batches):
             n = len(chunk.terms)
             values, sizes = padded(chunk.terms)
