@@ -81,7 +81,7 @@ def write_dated(df: DataFrame, path: str, by_month: bool = True, bounds: list |
     for column in ("order_id", "seller_id"):
         if column in df.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", 128 * 1024)
     if monthly:
         writer = writer.partitionBy("purchase_month")
     versions.publish(df.sparkSession, path, writer.parquet)
