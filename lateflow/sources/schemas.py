@@ -8,7 +8,7 @@ the reader; nothing is inferred.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -168,7 +168,8 @@ NA_TOKENS = (
 @dataclass(frozen=True)
 class RawModel:
     """The raw layer as DataFrames. Payments and geolocation are loaded and
-    checked by the reference but joined by no analysis, so they are optional."""
+    checked by the reference but joined by no analysis, so they are optional.
+    ``item_partitions``: partitions for joins of all items by order, where the source knows its size."""
 
     orders: DataFrame
     order_items: DataFrame
@@ -179,12 +180,13 @@ class RawModel:
     product_category_translation: DataFrame
     order_payments: DataFrame | None = field(default=None)
     geolocation: DataFrame | None = field(default=None)
+    item_partitions: int | None = field(default=None)
 
     def tables(self) -> dict[str, DataFrame]:
         out = {}
         for f in fields(self):
             df = getattr(self, f.name)
-            if df is not None:
+            if isinstance(df, DataFrame):
                 out[f.name] = df
         return out
 
@@ -204,13 +206,11 @@ def with_collation(raw: RawModel, collation: str = CI_RTRIM) -> RawModel:
     """
     from pyspark.sql import functions as F
 
-    def collate(df: DataFrame | None) -> DataFrame | None:
-        if df is None:
-            return None
+    def collate(df: DataFrame) -> DataFrame:
         cols = [
             F.collate(F.col(f.name), collation).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
             for f in df.schema.fields
         ]
         return df.select(*cols)
 
-    return RawModel(**{f.name: collate(getattr(raw, f.name)) for f in fields(raw)})
+    return replace(raw, **{name: collate(df) for name, df in raw.tables().items()})

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from lateflow.sources.schemas import RawModel
 
+# Items of one partition by order; a task's sort and rollups take about 500 bytes each.
+PARTITION_ITEMS = 250_000
+
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -55,10 +58,19 @@ def derive_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def derive_order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def item_partitions(lineitem: DataFrame) -> int:
+    """Partitions for joins and rollups of all items by order: one for each ``PARTITION_ITEMS`` items, whatever the session's number is.
+
+    AQE joins small partitions until there is one per core, so a task would hold more items the more there are."""
+    return max(1, -(-lineitem.count() // PARTITION_ITEMS))  # footers only
+
+
+def derive_order_items(lineitem: DataFrame, orders: DataFrame, partitions: int | None = None) -> DataFrame:
     # one row per order key, so that a job which does not read the shipping
-    # limit drops this left join
-    purchase = orders.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.max("o_orderdate").alias("_purchase"))
+    # limit drops this left join. The number of partitions is set on this side: the items
+    # follow it, and it goes where the join goes
+    dealt = orders.repartition(partitions or item_partitions(lineitem), "o_orderkey")
+    purchase = dealt.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.max("o_orderdate").alias("_purchase"))
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     return lineitem.join(purchase, "l_orderkey", "left").select(
         F.col("l_orderkey").alias("order_id"),
@@ -186,9 +198,11 @@ def raw_model(spark: SparkSession, sf_dir: str, full: bool = False) -> RawModel:
     src = TpchSource(spark, sf_dir)
     orders = src.table("orders")
     nation, region = src.table("nation"), src.table("region")
+    lineitem = src.table("lineitem")
+    partitions = item_partitions(lineitem)
     return RawModel(
         orders=derive_orders(orders),
-        order_items=derive_order_items(src.table("lineitem"), orders),
+        order_items=derive_order_items(lineitem, orders, partitions),
         order_reviews=derive_order_reviews(src.table("events")),
         customers=derive_customers(src.table("customer"), nation, region),
         sellers=derive_sellers(src.table("supplier"), nation, region),
@@ -196,4 +210,5 @@ def raw_model(spark: SparkSession, sf_dir: str, full: bool = False) -> RawModel:
         product_category_translation=derive_translation(src.table("part")),
         order_payments=derive_payments(orders) if full else None,
         geolocation=derive_geolocation(src.table("customer"), nation, region) if full else None,
+        item_partitions=partitions,
     )
