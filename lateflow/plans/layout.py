@@ -25,7 +25,7 @@ from lateflow.sources.schemas import RawModel
 
 BY_ORDER = ("orders", "order_items", "order_reviews")
 KEY = "order_id"
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 500_000  # a task reads one bucket, so this bounds its memory
 HOT_ROWS = 500_000
 
 
@@ -45,10 +45,10 @@ def hot_orders(tables: list[DataFrame], hot_rows: int) -> DataFrame:
 
 
 def store_by_order(spark: SparkSession, raw: RawModel, root: str, buckets: int | None = None, hot_rows: int = HOT_ROWS, database: str = "by_order") -> OrderLayout:
-    """Publish orders, items and reviews of ``raw`` under ``root`` by order; without ``buckets`` there is one for each ``BUCKET_ROWS`` items."""
+    """Publish orders, items and reviews of ``raw`` under ``root`` by order: one bucket for each ``BUCKET_ROWS`` items, ``buckets`` at least."""
     checkpoint_root(spark)
     hot = hot_orders([raw.order_items, raw.order_reviews], hot_rows).checkpoint(eager=True)
-    n = buckets or max(1, -(-raw.order_items.count() // BUCKET_ROWS))
+    n = max(buckets or 1, -(-raw.order_items.count() // BUCKET_ROWS))
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root.rstrip('/')}'")
     for table in BY_ORDER:
         df = raw.tables()[table]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from lateflow.operators import facts
+from lateflow.plans import layout
 from lateflow.plans.registry import Model
 from lateflow.sources import testmap
 
@@ -70,3 +72,11 @@ def test_lines_follow_the_dealt_orders(spark, no_broadcast):
     narrow = plan(dealt.select("order_id", "product_id", "is_late"))
     assert len(re.findall(r"hashpartitioning\(order_id#\d+L?, 9\)", narrow)) == 2
     assert rows(dealt) == rows(facts.fact_lines(raw.order_items, fact, raw.products, raw.product_category_translation))
+
+
+def test_buckets_grow_with_the_items(spark, monkeypatch, tmp_path):
+    raw = Model(spark, SF001).raw
+    monkeypatch.setattr(layout, "BUCKET_ROWS", -(-raw.order_items.count() // 11))
+    stored = layout.store_by_order(spark, raw, str(tmp_path), buckets=2, database=f"by_order_{uuid.uuid4().hex[:8]}")
+    assert stored.buckets == 11
+    assert rows(layout.fact_orders_by_order(stored)) == rows(facts.fact_orders_from(raw))
