@@ -158,6 +158,15 @@ def differing_buckets(a: DataFrame, b: DataFrame, keys: list[str], columns: list
     return both.where(~same).select("_bucket")
 
 
+_EXACT = (T.IntegralType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampNTZType)
+
+
+def _compared_as(column: str, a: DataFrame, b: DataFrame) -> Column:
+    """A column in the form in which two results compare it: its own where equal values and equal texts are the same thing, else text."""
+    kind = a.schema[column].dataType
+    return F.col(column) if isinstance(kind, _EXACT) and kind == b.schema[column].dataType else F.col(column).cast("string").alias(column)
+
+
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
     """V7: every difference between two results with the same columns: ``keys``, ``status``, ``column_name``, ``value_a``, ``value_b``.
 
@@ -165,7 +174,8 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], buckets: int = 4096)
     each column that differs, values as text. Rows with equal keys are paired in the order of their contents.
 
     Each side is first reduced to a digest per bucket of keys. Only rows of buckets
-    that differ are shuffled and compared, so two results that agree cost one scan each.
+    that differ are shuffled and compared, so two results that agree cost one scan each. Numbers, dates and stamps
+    travel as they are; only values that differ become texts.
     """
     columns = list(a.columns)
     if sorted(columns) != sorted(b.columns):
@@ -176,8 +186,8 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], buckets: int = 4096)
     def side(df: DataFrame, name: str) -> DataFrame:
         own = df.select("*", F.pmod(_row_hash(keys, 1), F.lit(buckets)).cast("int").alias("_bucket")).join(differing, "_bucket", "left_semi")
         order = Window.partitionBy(*keys).orderBy(_row_hash(columns, 2), _row_hash(columns, 3))
-        texts = F.struct(*(F.col(c).cast("string").alias(c) for c in values)).alias(name)
-        return own.withColumn("_copy", F.row_number().over(order)).select(*(F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)), F.col("_copy").alias(f"{name}_copy"), texts)
+        compared = F.struct(*(_compared_as(c, a, b) for c in values)).alias(name)
+        return own.withColumn("_copy", F.row_number().over(order)).select(*(F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)), F.col("_copy").alias(f"{name}_copy"), compared)
 
     left, right = side(a, "_a"), side(b, "_b")
     on = F.col("_a_copy") == F.col("_b_copy")
@@ -186,7 +196,7 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], buckets: int = 4096)
     joined = left.join(right, on, "full_outer")
     said = lambda status, column, x, y: F.struct(F.lit(status).alias("status"), F.lit(column).cast("string").alias("column_name"), x.alias("value_a"), y.alias("value_b"))
     none = F.lit(None).cast("string")
-    of_column = [F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), said("differs", c, F.col(f"_a.{c}"), F.col(f"_b.{c}"))) for c in values]
+    of_column = [F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), said("differs", c, F.col(f"_a.{c}").cast("string"), F.col(f"_b.{c}").cast("string"))) for c in values]
     found = F.when(F.col("_b_copy").isNull(), F.array(said("only a", None, none, none))).when(F.col("_a_copy").isNull(), F.array(said("only b", None, none, none)))
     found = found.otherwise(F.array_compact(F.array(*of_column)))
     key_columns = [F.coalesce(f"_a{i}", f"_b{i}").alias(k) for i, k in enumerate(keys)]
