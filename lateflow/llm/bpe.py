@@ -79,10 +79,29 @@ class PieceEncoder:
             return [p for part in self.at_special.split(text) if part for p in ([part] if part in self.special else self.split(part))]
         return self.split(text)
 
+    def encode_new(self, part: list[str]) -> list[bytes]:
+        """Packed ids of pieces that the cache does not hold."""
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
     def encode_pieces(self, many: list[list[str]]) -> list[bytes]:
         """Packed ids of each list of pieces."""
+        passing = self._fill(set().union(*many))
+        out = [b"".join(map(self.cache.__getitem__, pieces)) for pieces in many]
+        for piece in passing:
+            del self.cache[piece]
+        return out
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each of many different pieces."""
+        passing = self._fill(pieces)
+        out = list(map(self.cache.__getitem__, pieces))
+        for piece in passing:
+            del self.cache[piece]
+        return out
+
+    def _fill(self, wanted: Iterable[str]) -> list[str]:
+        """Bring different pieces into the cache; returns those that are not to stay there."""
         cache = self.cache
-        wanted = set().union(*many) if many else set()
         new = [p for p in wanted if p not in cache]
         if len(cache) + len(new) > self.bound:
             cache.clear()
@@ -90,14 +109,11 @@ class PieceEncoder:
         passing = []
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[piece] = array.array("I", e.ids).tobytes()
+            for piece, packed in zip(part, self.encode_new(part)):
+                cache[piece] = packed
                 if len(piece) > LONG_PIECE:
                     passing.append(piece)
-        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in many]
-        for piece in passing:
-            del cache[piece]
-        return out
+        return passing
 
     def encode(self, text: str) -> bytes:
         return self.encode_pieces([self.pieces(text)])[0]

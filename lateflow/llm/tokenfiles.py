@@ -24,7 +24,10 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
+import array
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -32,6 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -43,8 +47,71 @@ from lateflow.llm.common import cut, hash_sample, shared_dir, texts, worker_stat
 MAGIC = b"LFTOK001"
 
 
-def _encoder(path: str) -> PieceEncoder:
-    return worker_state(("words", path), lambda: PieceEncoder(path, split_words, bound=1_000_000))  # about 200 MB
+# Letters whose small forms are single letters and that compose with nothing, then marks: one pre-token, or two.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
+_RUN = 50  # plain words encoded as one text
+
+
+class WordEncoder(PieceEncoder):
+    """Encodes a column at once: Arrow cuts its texts into words and numbers the distinct ones, so each is looked up once a column.
+
+    New plain words are encoded in runs, with spaces between. Where the vocabulary marks the last token of a
+    pre-token, the marks tell which ids belong to which word; a run whose marks do not add up is encoded word by word."""
+
+    def __init__(self, path: str):
+        super().__init__(path, split_words, bound=1_000_000)  # about 200 MB
+        with open(path) as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        probes = ["a", "Bé", "a,", "Bé,%!"]
+        self.marked = [int(self.last[np.frombuffer(x, "<u4")].sum()) for x in super().encode_new(probes)] == [1, 1, 2, 2]
+
+    def encode_new(self, part: list[str]) -> list[bytes]:
+        found = [_PLAIN.fullmatch(w) if self.marked else None for w in part]
+        out: list = [None] * len(part)
+        plain = [i for i, m in enumerate(found) if m]
+        runs = [plain[at : at + _RUN] for at in range(0, len(plain), _RUN)]
+        together = [" ".join([part[i] for i in run]) for run in runs]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(together, add_special_tokens=False)):
+            packed = array.array("I", e.ids).tobytes()
+            final = np.flatnonzero(self.last[np.frombuffer(packed, "<u4")])
+            marks = np.cumsum([2 if found[i][1] else 1 for i in run])
+            if len(final) == marks[-1] and (final[-1] + 1) * 4 == len(packed):
+                ends = ((final[marks - 1] + 1) * 4).tolist()
+                for i, p, q in zip(run, [0, *ends], ends):
+                    out[i] = packed[p:q]
+        rest = [i for i, p in enumerate(out) if p is None]
+        for i, p in zip(rest, super().encode_new([part[i] for i in rest])):
+            out[i] = p
+        return out
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Packed ids of each text; null counts as empty."""
+        column = pc.fill_null(column, "")
+        if any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special):
+            return self.encode_pieces([self.pieces(t) for t in texts(column)])
+        pieces = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        words = pieces.flatten().dictionary_encode()
+        try:
+            distinct = words.dictionary.to_pylist()
+        except UnicodeDecodeError:
+            return self.encode_pieces([self.pieces(t) for t in texts(column)])
+        packed = self.lookup(distinct)
+        ids, sizes = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        index = words.indices.to_numpy()
+        size = sizes[index]
+        ends = np.cumsum(size)
+        place = np.repeat((np.cumsum(sizes) - sizes)[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        bounds = (np.append(0, ends)[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()] * 4).tolist()
+        data = ids[place].tobytes()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _encoder(path: str) -> WordEncoder:
+    return worker_state(("words", path), lambda: WordEncoder(path))
 
 
 def _open(uri: str):
@@ -162,7 +229,7 @@ def write_token_files(
                     place, name = _open(uri)
                     place.create_dir(name.rpartition("/")[0], recursive=True)
                     out, first = FileWriter(place.open_output_stream(name), dictionary), part.column(0)[0].as_py()
-                packed = encode.encode_pieces([encode.pieces(t) for t in texts(part.column(1))])
+                packed = encode.encode_column(part.column(1))
                 for doc_id, p in zip(part.column(0).to_pylist(), packed):
                     out.add(doc_id, p + tail)
                     n_tokens += len(p) // 4 + 1

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,3 +45,21 @@ def test_empty_and_tiny(spark, tmp_path):
     out = tokenfiles.read_token_files(tokenfiles.write_token_files(docs, PATH, folder=f"{tmp_path}/a")).collect()
     assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in out)[0] == (1, 0, 1) and len(out) == 2
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(docs.limit(0), PATH, folder=f"{tmp_path}/b")).count() == 0
+
+
+def test_column_is_encoded_by_its_distinct_words(monkeypatch):
+    texts = ["The cat, the CAT!! it's é É, İstanbul ǅ ½ a1b2", None, "", " \n ", "a\tb  c\r\nd", "<|endoftext|> x <|startoftext|>y", "日本語 🎉🎉 ok,x " + "x" * 300]
+    library, column = Tokenizer.from_file(PATH), pa.array(texts * 3)
+    encoder = tokenfiles.WordEncoder(PATH)
+    assert encoder.marked
+    for at, n in ((0, 21), (1, 3), (5, 2), (3, 0)):
+        want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in (texts * 3)[at : at + n]]
+        assert encoder.encode_column(column.slice(at, n)) == want
+    asked, encoder = [], tokenfiles.WordEncoder(PATH)
+    monkeypatch.setattr(encoder, "encode_new", lambda part: asked.extend(part) or tokenfiles.WordEncoder.encode_new(encoder, part))
+    encoder.encode_column(pa.array(["one two, one", "two, three"] * 50))
+    assert sorted(asked) == ["one", "three", "two,"]  # whatever their number of places
+    encoder.last[:] = False  # marks that do not add up
+    assert encoder.encode_new(["plain", "words,"]) == [np.array(library.encode(w).ids, "<u4").tobytes() for w in ("plain", "words,")]
+    bad = pa.array([b"ok \xff word", b"fine"], pa.binary()).view(pa.string())
+    assert encoder.encode_column(bad) == [encoder.encode("ok � word"), encoder.encode("fine")]
