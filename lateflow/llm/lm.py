@@ -24,15 +24,17 @@ an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, load, raw_bytes, share
+from lateflow.llm.common import cut, latest, load, raw_bytes, share
 from lateflow.llm.gru import Gru, Lanes
 
 END = b"\n"  # stands for the end token; no word can hold it
@@ -45,6 +47,7 @@ class Vocabulary:
         order = sorted(range(len(words)), key=lambda i: (words[i] != END, -counts[i], words[i]))
         self.words = {words[i]: k for k, i in enumerate(order)}
         self.count = np.array([counts[i] for i in order], np.int64)
+        self.last = np.array([words[i][-1] for i in order] + [0], np.uint8)  # last bytes; the last of all: beyond the head
         self.total, self.types = total, types
         self.listed = n = min(shortlist, len(order))
         # shortlist classes of about equal sums of the roots of their words' counts
@@ -85,10 +88,12 @@ class Vocabulary:
         """Head numbers of a text's tokens (-1 beyond the head), their last bytes, and the tokens beyond the head."""
         tokens = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
         tokens.append(END)
-        get = self.words.get
-        head = np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens))
-        last = np.fromiter((w[-1] for w in tokens), np.uint8, len(tokens))
-        return head, last, [tokens[i] for i in np.flatnonzero(head < 0).tolist()]
+        head = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int32, len(tokens))
+        beyond = np.flatnonzero(head < 0)
+        rare = [tokens[i] for i in beyond.tolist()]
+        last = self.last[head]
+        last[beyond] = [w[-1] for w in rare]
+        return head, last, rare
 
     def targets(self, head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, shortlist word or -1, number as an input) of tokens by head number and last byte."""
@@ -149,13 +154,13 @@ def build_vocabulary(counts: DataFrame, head_words: int, shortlist: int, classes
 def train(texts: DataFrame, vocabulary: Vocabulary, groups: int, rounds: int, lanes: int) -> Gru:
     """Average of the models that groups of the texts (column ``_text``, dealt by ``_deal``) give; each round takes its own part of the texts."""
     spark, model = texts.sparkSession, vocabulary.model()
-    words = share(spark, vocabulary)
+    words, tag = share(spark, vocabulary), uuid.uuid4().hex
     for turn in range(rounds):
         shared = share(spark, model)
         rate = 0.006 / (turn + 1)
 
         def learn(batches: Iterable[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            own, gru, held = load(words), load(shared), []
+            own, gru, held = latest("vocabulary", tag, lambda: load(words)), load(shared), []
             done = size = 0
             for batch in batches:
                 for text in raw_bytes(batch.column(0)):

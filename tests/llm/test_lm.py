@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from lateflow.llm import gru, lm
+from lateflow.llm import common, gru, lm
 
 
 def small_lanes(r, vocabulary=9, bounds=(0, 2, 5), tails=3):
@@ -109,3 +109,23 @@ def test_every_training_document_is_learned_from(spark, monkeypatch):
     monkeypatch.setattr(lm, "train", spy)
     assert lm.score_documents(docs, F.col("doc_id") % 5 == 1).count() == 300
     assert seen == [sum(i % 5 != 1 for i, _ in rows)]
+
+
+def test_words_beyond_the_head_keep_their_last_bytes():
+    vocabulary = lm.Vocabulary([b"a.", lm.END, b"bc"], [7, 3, 2], {ord("."): (7, 1), ord("\n"): (3, 1), ord("c"): (4, 2)}, 14, 4, 2, 2, 2)
+    head, last, rare = vocabulary.encode("A. é xyz\x0bBC a.".encode())
+    tokens = [b"a.", "é".encode(), b"xyz", b"bc", b"a.", lm.END]
+    assert head.tolist() == [vocabulary.words.get(w, -1) for w in tokens] and rare == tokens[1:3]
+    assert last.tolist() == [w[-1] for w in tokens] == vocabulary.last[head].tolist()[:1] + [w[-1] for w in tokens[1:]]
+    assert vocabulary.encode(b"")[0].tolist() == [0] and vocabulary.encode(b"")[2] == []
+
+
+def test_a_worker_keeps_one_vocabulary(monkeypatch):
+    import sys
+
+    monkeypatch.delitem(sys.modules, "lateflow_worker_state", raising=False)
+    made = []
+    for tag in ("x", "x", "y", "y", "x"):
+        assert common.latest("vocabulary", tag, lambda: made.append(tag) or tag) == tag  # noqa: B023
+    assert made == ["x", "y", "x"]
+    common.release_worker()
