@@ -25,19 +25,41 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, latest, load, raw_bytes, share
+from lateflow.llm.common import cut, latest, load, share
 from lateflow.llm.gru import Gru, Lanes
 
 END = b"\n"  # stands for the end token; no word can hold it
+SLICE = 12_000_000  # bytes of text cut into words at once
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, each batch in the fewest parts that have about ``SLICE`` bytes in a column, or less (a row is not cut)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        parts = max(1, -(-int(ends[-1]) // SLICE)) if len(ends) else 0
+        cuts = np.searchsorted(ends, ends[-1:] / max(parts, 1) * np.arange(1, parts)) + 1
+        bounds = sorted({0, len(ends), *cuts.tolist()})
+        for begin, end in zip(bounds, bounds[1:]):
+            yield batch.slice(begin, end - begin)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts (null: none), A-Z lower-cased, parted by exactly the six ASCII spaces; and each text's number of them."""
+    plain = pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())  # bytes: these functions know only ASCII
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    words, bounds = parts.flatten().view(pa.binary()), parts.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    some = pc.greater(pc.binary_length(words), 0)
+    lengths = np.diff(np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[bounds])
+    return (words if lengths.sum() == len(words) else words.filter(some)), lengths
 
 
 class Vocabulary:
@@ -46,6 +68,7 @@ class Vocabulary:
     def __init__(self, words: list[bytes], counts: list[int], by_byte: dict[int, tuple[int, int]], total: int, types: int, shortlist: int, classes: int, tails: int):
         order = sorted(range(len(words)), key=lambda i: (words[i] != END, -counts[i], words[i]))
         self.words = {words[i]: k for k, i in enumerate(order)}
+        self.column = pa.array([*self.words, END], pa.binary())
         self.count = np.array([counts[i] for i in order], np.int64)
         self.last = np.array([words[i][-1] for i in order] + [0], np.uint8)  # last bytes; the last of all: beyond the head
         self.total, self.types = total, types
@@ -80,57 +103,62 @@ class Vocabulary:
         gru = Gru(self.inputs, self.bounds, self.tails)
         c = self.count[: self.listed] + 0.5
         by_class = np.add.reduceat(c, self.bounds[:-1]) if self.listed else np.zeros(0)
-        gru.p["bc"][:] = np.log(np.concatenate([by_class, self.z]))
-        gru.p["bo"][:] = np.log(c)
+        gru.p["wc"][:, -1] = np.log(np.concatenate([by_class, self.z]))
+        gru.p["wo"][:, -1] = np.log(c)
         return gru
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Head numbers of a text's tokens (-1 beyond the head), their last bytes, and the tokens beyond the head."""
-        tokens = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
-        tokens.append(END)
-        head = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int32, len(tokens))
-        beyond = np.flatnonzero(head < 0)
-        rare = [tokens[i] for i in beyond.tolist()]
-        last = self.last[head]
-        last[beyond] = [w[-1] for w in rare]
-        return head, last, rare
+        head, last, _, rare = self.encode_column(pa.array([text], pa.binary()))
+        return head, last, rare[0].as_py()
+
+    def encode_column(self, texts: pa.Array, lesson: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array | None]:
+        """Of all texts' tokens, one text after another, head numbers and last bytes; each text's number of tokens; and a list of those beyond the head for each.
+        For a ``lesson``, which tells only the shortlist's words apart, all others are beyond the head and not listed."""
+        words, lengths = split(texts)
+        lengths, known = lengths + 1, self.listed if lesson else len(self.words)
+        ends = np.cumsum(lengths) - 1
+        place = np.empty(int(lengths.sum()), np.int64)  # of tokens among the head's words, the end and the texts' words
+        word = np.ones(len(place), bool)
+        word[ends] = False
+        place[ends], place[word] = known, known + 1 + np.arange(len(words))
+        every = pa.concat_arrays([self.column[:known], self.column[-1:], words])
+        # distinct words are numbered in order: the head's by their head numbers
+        head = every.dictionary_encode().indices.to_numpy()[place].astype(np.int32)
+        head[head >= known] = -1
+        bounds = np.frombuffer(every.buffers()[1], np.int32)[every.offset : every.offset + len(every) + 1]
+        last = np.frombuffer(every.buffers()[2], np.uint8)[bounds[1:] - 1][place]
+        if lesson:
+            return head, last, lengths, None
+        rare = np.flatnonzero(head < 0)
+        bounds = np.searchsorted(rare, np.append(0, ends + 1))
+        return head, last, lengths, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), every.take(pa.array(place[rare])))
 
     def targets(self, head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, shortlist word or -1, number as an input) of tokens by head number and last byte."""
-        listed = (head >= 0) & (head < self.listed)
-        tail = self.tail_of[last]
-        classes = np.where(listed, self.class_of[np.where(listed, head, 0)] if self.listed else 0, len(self.bounds) - 1 + tail)
-        return classes.astype(np.int32), np.where(listed, head, -1).astype(np.int32), np.where(listed, head, self.listed + tail).astype(np.int32)
-
-    def lanes(self, texts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[Lanes, np.ndarray, np.ndarray, np.ndarray]:
-        """Grid of texts (head numbers and last bytes); head numbers, tail classes and lengths beside it."""
-        lengths = np.array([len(h) for h, _ in texts], np.int64)
-        head, last = np.concatenate([h for h, _ in texts]), np.concatenate([b for _, b in texts])
+        words = np.where(head < self.listed, head, -1)
+        tail, listed = self.tail_of[last], words >= 0
+        classes = np.append(self.class_of, 0).astype(np.int32)[words]
+        return np.where(listed, classes, tail + np.int32(len(self.bounds) - 1)), words.astype(np.int32), np.where(listed, words, tail + np.int32(self.listed)).astype(np.int32)
+
+    def lanes(self, head: np.ndarray, last: np.ndarray, lengths: np.ndarray, most: int) -> Lanes:
+        """Grid of texts, by their tokens' head numbers and last bytes."""
         classes, words, inputs = self.targets(head, last)
         before = np.empty_like(inputs)
         before[1:] = inputs[:-1]
         before[np.cumsum(lengths) - lengths] = self.inputs - 1
-        return Lanes(before, classes, words, lengths, self.inputs - 1, most), head, self.tail_of[last], lengths
+        return Lanes(before, classes, words, lengths, self.inputs - 1, most)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``(word, n)`` over a column of texts, the end token included."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for text in raw_bytes(batch.column(0)):
-                counts.update(text.lower().split())
-                counts[END] += 1
-                if len(counts) > 500_000:
-                    yield rows()
-        yield rows()
+        for part in slices(batches, 0):
+            found = split(part.column(0))[0].value_counts()
+            words, counts = found.field(0), found.field(1).cast(pa.int64())
+            ends = pa.array([END], pa.binary()), pa.array([part.num_rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, ends[0]]), pa.concat_arrays([counts, ends[1]])], ["word", "n"])
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -162,18 +190,30 @@ def train(texts: DataFrame, vocabulary: Vocabulary, groups: int, rounds: int, la
         def learn(batches: Iterable[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             own, gru, held = latest("vocabulary", tag, lambda: load(words)), load(shared), []
             done = size = 0
-            for batch in batches:
-                for text in raw_bytes(batch.column(0)):
-                    head, last, _ = own.encode(text)
-                    # long texts go on as further sequences, so that lanes fill evenly
-                    held += [(head[at : at + 2_048], last[at : at + 2_048]) for at in range(0, len(head), 2_048)]
-                    size += len(head)
-                    if size >= 400_000:  # a bounded share of a group at once
-                        gru.train(own.lanes(held, lanes)[0], rate=rate)
+
+            def lesson() -> None:
+                head, last, lengths = (np.concatenate(x) for x in zip(*held))
+                # long texts go on as further sequences, so that lanes fill evenly
+                pieces = -(-lengths // 2_048)
+                cut_ = np.full(pieces.sum(), 2_048)
+                cut_[np.cumsum(pieces) - 1] = lengths - 2_048 * (pieces - 1)
+                gru.train(own.lanes(head, last, cut_, lanes), rate=rate)
+                held.clear()
+
+            for part in slices(batches, 0):
+                head, last, lengths, _ = own.encode_column(part.column(0), lesson=True)
+                ends = np.append(0, np.cumsum(lengths))
+                at = 0
+                while at < len(lengths):
+                    end = min(len(lengths), int(np.searchsorted(ends, ends[at] + 400_000 - size)))  # a bounded share of a group at once
+                    held.append((head[ends[at] : ends[end]], last[ends[at] : ends[end]], lengths[at:end]))
+                    size += int(ends[end] - ends[at])
+                    if size >= 400_000:
+                        lesson()
                         done, size = done + size, 0
-                        held.clear()
+                    at = end
             if held:
-                gru.train(own.lanes(held, lanes)[0], rate=rate)
+                lesson()
                 done += size
             if done:
                 total = gru.flat().astype(np.float64) * done
@@ -220,50 +260,27 @@ def score_documents(
     counts = cut(count_words(training.select("_text")))
     vocabulary = build_vocabulary(counts, head_words, shortlist, classes, tails)
     spread = F.xxhash64("_id", "_text", F.lit(29))
-    lesson = training.where(F.pmod(spread, F.lit(learn_one_in)) == 0).withColumn("_deal", spread)
+    lesson = training if learn_one_in == 1 else training.where(F.pmod(spread, F.lit(learn_one_in)) == 0)
+    lesson = lesson.withColumn("_deal", spread)
     groups = max(1, -(-lesson.count() // (rounds * group_rows)))
     model = train(lesson, vocabulary, groups, rounds, lanes)
-    words, shared = share(spark, vocabulary), share(spark, model)
+    words, shared, tag = share(spark, vocabulary), share(spark, model), uuid.uuid4().hex
     kind = docs.schema["_id"].dataType.simpleString()
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, gru = load(words), load(shared)
+        own, gru = latest("vocabulary", tag, lambda: load(words)), load(shared)
         log_count = np.log10(np.append(own.count, 0) + 0.5)  # the last: beyond the head
 
-        def flush(ids: pa.Array, held: list, texts: list, rare: list) -> pa.RecordBatch:
-            grid, head, tail, lengths = own.lanes(texts, lanes)
-            n = len(texts)
+        for part in slices(batches, 1):
+            head, last, lengths, rare = own.encode_column(part.column(1))
+            begin = np.cumsum(lengths) - lengths
             beyond, listed = head < 0, (head >= 0) & (head < own.listed)
-            log_p = gru.score(grid) / math.log(10)
-            log_p += np.where(listed, 0, np.where(beyond, 0, log_count[head]) - own.log_z[tail])
             base = np.where(beyond, 0, log_count[head])
-            sums = [np.bincount(grid.sequence, v, n) for v in (log_p, base, ~beyond)]
-            columns = [
-                ids,
-                pa.array(held, pa.bool_()),
-                pa.array(lengths, pa.int64()),
-                pa.array(sums[2].astype(np.int64)),
-                pa.array(sums[1], pa.float64()),
-                pa.array(sums[0], pa.float64()),
-                pa.array(rare, pa.list_(pa.binary())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-        ids, held, texts, rare, size, kind_ = [], [], [], [], 0, None
-        for batch in batches:
-            kind_ = batch.schema.field(0).type
-            for doc_id, text, h in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                head, last, beyond = own.encode(text)
-                ids.append(doc_id)
-                held.append(h)
-                texts.append((head, last))
-                rare.append(beyond)
-                size += len(head)
-                if size >= 3_000_000:
-                    yield flush(pa.array(ids, kind_), held, texts, rare)
-                    ids, held, texts, rare, size = [], [], [], [], 0
-        if ids:
-            yield flush(pa.array(ids, kind_), held, texts, rare)
+            log_p = gru.score(own.lanes(head, last, lengths, lanes)) / math.log(10)
+            log_p += np.where(listed, 0, base - own.log_z[own.tail_of[last]])
+            sums = [np.add.reduceat(v, begin) for v in (log_p, base, (~beyond).astype(np.int64))]
+            columns = [part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0]), rare]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     scored = docs.select("_id", "_text", "_held").mapInArrow(score, f"_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>")
     scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))

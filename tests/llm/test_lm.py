@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lateflow.llm import common, gru, lm
@@ -120,6 +121,46 @@ def test_words_beyond_the_head_keep_their_last_bytes():
     assert vocabulary.encode(b"")[0].tolist() == [0] and vocabulary.encode(b"")[2] == []
 
 
+def test_columns_of_texts_are_encoded_at_once(monkeypatch):
+    vocabulary = lm.Vocabulary([b"a", lm.END, b"bc", b"d"], [7, 3, 2, 1], {ord("a"): (7, 1), ord("\n"): (3, 1), ord("c"): (2, 1), ord("d"): (1, 1)}, 13, 4, 2, 2, 2)
+    raw = [b"A  bC\tx", None, b"", b" \n", b"\x0bd\x1ca\x85 \xff\xc3 \x00\r\n", b"D\x0cz"]
+    tokens = [[*(t or b"").lower().split(), lm.END] for t in raw]
+    head, last, lengths, rare = vocabulary.encode_column(pa.array([b"cut off", *raw], pa.binary())[1:])
+    assert head.tolist() == [vocabulary.words.get(w, -1) for t in tokens for w in t]
+    assert last.tolist() == [w[-1] for t in tokens for w in t] and lengths.tolist() == [len(t) for t in tokens]
+    assert rare.to_pylist() == [[w for w in t if w not in vocabulary.words] for t in tokens]
+    of_lesson = vocabulary.encode_column(pa.array(raw, pa.binary()), lesson=True)  # only the shortlist's words are told apart
+    for ours, theirs in zip(vocabulary.targets(*of_lesson[:2]), vocabulary.targets(head, last)):
+        assert ours.tolist() == theirs.tolist()
+    none = lm.Vocabulary([], [], {}, 0, 0, 2, 2, 2).encode_column(pa.array([b"x", None], pa.binary()))
+    assert none[0].tolist() == [-1, -1, -1] and none[3].to_pylist() == [[b"x", lm.END], [lm.END]]
+    monkeypatch.setattr(lm, "SLICE", 10)
+    for sizes in ([4] * 10, [100, None, 1], [None, None], [], [3, 50, 3, 12], [0, 0, 30]):
+        texts = [None if n is None else b"x" * n for n in sizes]
+        parts = list(lm.slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["t"])], 0))
+        assert [t for p in parts for t in p.column(0).to_pylist()] == texts and all(p.num_rows for p in parts)
+
+
+def test_outputs_of_any_size():
+    r = np.random.default_rng(4)
+    model = gru.Gru(9, [0, 2, 5, 6], 3, embed=4, hidden=5, dtype=np.float64)
+    n = 700  # more than a block
+    words = r.integers(-1, 6, n)
+    classes = np.where(words < 0, 3 + r.integers(0, 3, n), np.searchsorted([2, 5], words, side="right"))
+    states = np.append(r.uniform(-1, 1, (n, 5)), np.ones((n, 1)), 1)
+    for size in (1, 40, 4_000):  # of logits: too far apart for one common greatest, then
+        for k in ("wc", "wo"):
+            model.p[k] = r.standard_normal(model.p[k].shape) * size
+        want = np.zeros(n)
+        for i, (c, w) in enumerate(zip(classes, words)):
+            of_class = [(model.p["wo"][a:b], w - a) for a, b in ((0, 2), (2, 5), (5, 6)) if a <= w < b]
+            for weights, at in [(model.p["wc"], c), *of_class]:
+                x = weights @ states[i]
+                want[i] += x[at] - x.max() - np.log(np.exp(x - x.max()).sum())
+        got, _ = model.outputs(states[:, :5].copy(), classes, words)
+        assert np.allclose(got, want) and np.isfinite(got).all()
+
+
 def test_a_worker_keeps_one_vocabulary(monkeypatch):
     import sys
 
