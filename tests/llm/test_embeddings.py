@@ -85,3 +85,32 @@ def test_null_ids_and_clashing_columns(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component_id int")
     got = sorted(map(str, ((x["vec_id"], x["n_links"], x["component_id"]) for x in embeddings.near_duplicates(table).collect())))
     assert got == sorted(map(str, [(None, 1, 4), (4, 1, 4), (None, 0, None), (2, 0, 2)]))
+
+
+def test_a_vector_is_sent_to_few_tasks(spark, monkeypatch):
+    """Vectors in all directions, which no grid of cells keeps apart, and near copies: what is dealt grows with the rows and the blocks, not with cells; all links are found."""
+    g = np.random.default_rng(8)
+    x = g.standard_normal((3000, 32))
+    x[::30] = x[0] + 0.05 * g.standard_normal((100, 32))
+    x[1::150] = x[1] + 0.2 * g.standard_normal((20, 32))
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(5000, x[7].tolist(), 1), (5001, x[30].tolist(), 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    sent, plain = [], type(table).repartition
+
+    def counted(self, *columns):
+        sent.append(self.count())
+        return plain(self, *columns)
+
+    monkeypatch.setattr(type(table), "repartition", counted)
+    unit = np.array([v for _, v, _ in rows], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    want = sorted((r[0], int(n) - 1) for r, n in zip(rows, linked.sum(1)))
+    assert sum(n for _, n in want) > 8000
+    for blocks, options in ((3, {}), (7, {"block_bytes": 4 * 32 * 500})):
+        sent.clear()
+        got = embeddings.near_duplicates(table, **options).collect()
+        assert sorted((r["vec_id"], r["n_links"]) for r in got) == want
+        assert {r["component_id"] for r in got if r["n_links"] >= 99} == {0}
+        assert sent == [3000 * (blocks + 1) // 2]  # before: one row for each cell that a vector visits
