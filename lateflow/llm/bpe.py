@@ -12,7 +12,8 @@ are each other's encoding, and the pairs at both seams were already encoded so.
 
 Within a leaf, text is cut only before a single space, which always starts a
 new pre-token, and the pieces are encoded by the tokenizers library once per
-worker and kept in a bounded cache.
+worker and kept in a bounded cache. Arrow cuts and numbers the pieces of many texts at once; new ones are
+encoded in runs, whose ids fall apart at the pieces' bytes; ids are spelled and decoded a column at a time.
 
 Defined cases: null is the empty text, with no ids; bytes that are no UTF-8 are
 read as U+FFFD; repeated rows and ids each give a row; an empty table gives no
@@ -31,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ from lateflow.llm.common import texts, worker_state
 CACHED_PIECES = 400_000  # entries a worker keeps, unless told otherwise; about 80 MB
 LONG_PIECE = 64  # characters; longer pieces seldom recur and are not kept
 
+_RUN = 50  # new pieces encoded together
+
 _AFTER_SPACE = re.compile(r" \s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 # Always a boundary of the byte-level pre-tokenizer, whatever stands around.
@@ -54,6 +58,12 @@ def split_on_spaces(text: str) -> list[str]:
     return [first, *(" " + x for x in rest)]
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def split_words(text: str) -> list[str]:
     """Pieces between spaces and line ends, for vocabularies that drop white space."""
     return text.replace("\n", " ").split(" ")
@@ -101,11 +111,7 @@ class PieceEncoder:
 
     def _fill(self, wanted: Iterable[str]) -> list[str]:
         """Bring different pieces into the cache; returns those that are not to stay there."""
-        cache = self.cache
-        new = [p for p in wanted if p not in cache]
-        if len(cache) + len(new) > self.bound:
-            cache.clear()
-            new = list(wanted)
+        cache, new = self.cache, self._missing(wanted)
         passing = []
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
@@ -115,6 +121,14 @@ class PieceEncoder:
                     passing.append(piece)
         return passing
 
+    def _missing(self, wanted: Iterable[str]) -> list[str]:
+        """Pieces that the cache, with room made for them, does not hold."""
+        new = [p for p in wanted if p not in self.cache]
+        if len(self.cache) + len(new) > self.bound:
+            self.cache.clear()
+            new = list(wanted)
+        return new
+
     def encode(self, text: str) -> bytes:
         return self.encode_pieces([self.pieces(text)])[0]
 
@@ -124,6 +138,7 @@ class ByteLevelBPE(PieceEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.older: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes written as themselves
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -132,12 +147,60 @@ class ByteLevelBPE(PieceEncoder):
         for token, i in vocabulary.items():
             known = all(c in byte_of for c in token)
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if known else token.encode()
-        self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.decoded_of = pa.array(self.bytes_of, pa.large_binary())
+        self.spelled_of = pa.array([b"%d," % i for i in range(len(self.bytes_of))], pa.large_binary())
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
+    def _missing(self, wanted: Iterable[str]) -> list[str]:
+        """As the cache fills by half, what it holds grows old: pieces wanted again are taken over, the others go the next time."""
+        new = [p for p in wanted if p not in self.cache]
+        if len(self.cache) + len(new) > self.bound // 2:
+            self.older, self.cache = dict(self.cache), self.cache
+            self.cache.clear()
+            new = list(wanted)
+        older = self.older
+        self.cache.update([(p, older[p]) for p in new if p in older])
+        return [p for p in new if p not in older]
+
+    def encode_new(self, part: list[str]) -> list[bytes]:
+        """Pieces of a space and a word stay apart in a run too; a run whose tokens do not end where each piece does is encoded piece by piece."""
+        out: list = [None] * len(part)
+        alike = [i for i, p in enumerate(part) if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        runs = [alike[at : at + _RUN] for at in range(0, len(alike), _RUN)]
+        apart = [[part[i] for i in run] for run in runs]
+        for run, pieces, e in zip(runs, apart, self.tokenizer.encode_batch_fast(["".join(x) for x in apart], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(0, np.cumsum(self.length_of[ids]))
+            bounds = np.cumsum([0, *map(len, map(str.encode, pieces))])
+            at = np.searchsorted(ends, bounds)
+            if ends[-1] == bounds[-1] and (ends[at] == bounds).all():
+                packed, at = ids.tobytes(), (at * 4).tolist()
+                for i, p, q in zip(run, at, at[1:]):
+                    out[i] = packed[p:q]
+        rest = [i for i, p in enumerate(out) if p is None]
+        for i, p in zip(rest, super().encode_new([part[i] for i in rest])):
+            out[i] = p
+        return out
+
+    def encode_texts(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the last one's end)."""
+        plain = [not (t.endswith(" ") or "\0" in t or any(s in t for s in self.special) or _AFTER_SPACE.search(t)) for t in many]
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        column = pa.array([t for t, p in zip(many, plain) if p], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(column, " ", "\0 "), "\0")
+        others = [self.pieces(t) for t, p in zip(many, plain) if not p]
+        words = pa.concat_arrays([cut.flatten(), pa.array([p for x in others for p in x], pa.large_string())]).dictionary_encode()
+        packed = self.lookup(words.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        counts = np.concatenate([np.diff(cut.offsets.to_numpy()), np.fromiter(map(len, others), np.int64, len(others))])
+        back = np.argsort(order, kind="stable")
+        index = words.indices.to_numpy()[ranges((np.cumsum(counts) - counts)[back], counts[back])]
+        ends = np.append(0, np.cumsum(sizes[index]))
+        return ids[ranges((np.cumsum(sizes) - sizes)[index], sizes[index])], ends[np.append(0, np.cumsum(counts[back]))]
+
     def join(self, left: tuple[str, bytes], right: tuple[str, bytes], window: int = 8) -> tuple[str, bytes]:
         """Encoding of two neighbouring texts from the encodings of each."""
         text = left[0] + right[0]
@@ -210,17 +273,29 @@ _DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256":
 _REAL = {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
 
 
-def _outputs(bpe: ByteLevelBPE, packed: list[bytes], outputs: tuple[str, ...]) -> list[pa.Array]:
-    ids = [np.frombuffer(p, "<u4") for p in packed]
-    decoded = [bpe.decode(x) for x in ids] if {"decoded", "decoded_sha256"} & set(outputs) else []
+def _stretches(values: pa.Array, starts: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of neighbouring values, from each start to the next one."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset) if len(values) else np.zeros(1, np.int64)
+    data = memoryview(values.buffers()[2]) if len(values) and values.buffers()[2] else memoryview(b"")
+    at = offsets[starts].tolist()
+    return (data[p:q] for p, q in zip(at, at[1:]))
+
+
+def _outputs(bpe: ByteLevelBPE, ids: np.ndarray, starts: np.ndarray, outputs: tuple[str, ...]) -> list[pa.Array]:
+    """Columns of the texts whose ids begin at ``starts`` (and end at the last of them)."""
+
+    def decoded() -> Iterator[str]:
+        return (str(x, "utf-8", "replace") for x in _stretches(bpe.decoded_of.take(pa.array(ids)), starts))
+
     column = {
-        "n_tokens": lambda: [len(x) for x in ids],
-        "ids": lambda: [x.astype(np.int32) for x in ids],
-        "decoded": lambda: decoded,
-        "ids_sha256": lambda: [hashlib.sha256(",".join(map(bpe.text_of.__getitem__, x.tolist())).encode()).hexdigest() for x in ids],
-        "decoded_sha256": lambda: [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
+        "n_tokens": lambda: np.diff(starts),
+        "ids": lambda: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view(np.int32))),
+        "decoded": lambda: list(decoded()),
+        "ids_sha256": lambda: [hashlib.sha256(x[:-1]).hexdigest() for x in _stretches(bpe.spelled_of.take(pa.array(ids)), starts)],
+        "decoded_sha256": lambda: [hashlib.sha256(x.encode()).hexdigest() for x in decoded()],
     }
-    return [pa.array(column[c](), (_DIGESTS | _REAL)[c]) for c in outputs]
+    made = [column[c]() for c in outputs]
+    return [x.cast(_REAL["ids"]) if isinstance(x, pa.Array) else pa.array(x, (_DIGESTS | _REAL)[c]) for x, c in zip(made, outputs)]
 
 
 def encode_decode(
@@ -246,10 +321,9 @@ def encode_decode(
     def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_level(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                packed = bpe.encode_pieces([bpe.pieces(t) for t in texts(part.column(1))])
-                yield pa.RecordBatch.from_arrays([part.column(0), *_outputs(bpe, packed, outputs)], ["_id", *outputs])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_outputs(bpe, *bpe.encode_texts(texts(part.column(1))), outputs)], ["_id", *outputs])
 
     def cut_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_level(path)
@@ -261,15 +335,18 @@ def encode_decode(
     def encode_leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_level(path)
         for batch in batches:
-            packed = bpe.encode_pieces([bpe.pieces(t) for t in texts(batch.column(3))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], ["_key", "_leaf", "_stretch", "_part", "_ids"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, starts = bpe.encode_texts(texts(part.column(3)))
+                packed = [ids[p:q].tobytes() for p, q in zip(starts, starts[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], ["_key", "_leaf", "_stretch", "_part", "_ids"])
 
     def join_leaves(table: pa.Table) -> pa.Table:
         bpe = byte_level(path)
         table = table.sort_by("_leaf")
         columns = [table.column(c).to_pylist() for c in ("_stretch", "_part", "_ids")]
-        whole = bpe.concatenate(list(zip(*columns)))
-        return pa.Table.from_arrays([table.column("_key").slice(0, 1).combine_chunks(), *_outputs(bpe, [whole], outputs)], ["_key", *outputs])
+        whole = np.frombuffer(bpe.concatenate(list(zip(*columns))), "<u4")
+        return pa.Table.from_arrays([table.column("_key").slice(0, 1).combine_chunks(), *_outputs(bpe, whole, np.array([0, len(whole)]), outputs)], ["_key", *outputs])
 
     near = docs.where(~is_long).mapInArrow(short, f"_id {kind}, {made}")
     far = docs.where(is_long).withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))

@@ -49,48 +49,35 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateflow.llm.common import cut, discard, raw_bytes, release_worker, store
+from lateflow.llm.common import WordHasher, cut, discard, mixed, raw_bytes, release_worker, store
 from lateflow.llm.components import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A
-    x = (x ^ (x >> np.uint64(29))) * _B
-    return x ^ (x >> np.uint64(32))
+class Shingler(WordHasher):
+    """Sorted distinct n-gram hashes of texts."""
 
-
-class Shingler(dict):
-    """Sorted distinct n-gram hashes of texts; word hashes are kept within a bound."""
-
-    def __init__(self, n: int, bound: int = 200_000):
+    def __init__(self, n: int):
         super().__init__()
-        self.n, self.bound = n, bound
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= self.bound:
-            self.clear()
-        if len(word) < 64:
-            self[word] = h
-        return h
+        self.n = n
+        self.weight = mixed(np.arange(1, n + 1, dtype=np.uint64) * _A) | np.uint64(1)  # of the words of a shingle
 
     def hashes(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
-        if not words:
-            return np.zeros(0, np.uint64)
-        x = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        x = self.words(text.lower())  # of bytes: A-Z only
+        if not len(x):
+            return x
         width = min(self.n, len(x))
         out = np.full(len(x) - width + 1, width, np.uint64)
         for i in range(width):
-            out = _mix(out + x[i : i + len(out)])
-        return np.unique(out)
+            out += x[i : i + len(out)] * self.weight[i]
+        out = np.sort(mixed(out))
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def fingerprint(h: np.ndarray) -> int:
     """A set's own hash, as a signed 64-bit number."""
-    return int(_mix(np.array([_mix(h).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
+    return int(mixed(np.array([mixed(h).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
 class Bands:
@@ -133,7 +120,7 @@ class Bands:
     def signatures(self, h: np.ndarray) -> np.ndarray:
         """All signatures of a set given as sorted hashes."""
         own = self.band(len(h))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _B), dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ _B), dtype=np.uint64)])
         out = []
         for index in (own, own + 1):
             first, second, subsets, spare = self.plan(index)
@@ -147,8 +134,8 @@ class Bands:
             for number, subset in enumerate(subsets):
                 value = np.zeros(first, np.uint64)
                 for c in subset:
-                    value += _mix(sums[:, c] + np.uint64(c + 1))
-                made.append(_mix(value + np.arange(first, dtype=np.uint64) * _A + np.uint64((index * 1009 + number) * int(_B) & (1 << 64) - 1)))
+                    value += mixed(sums[:, c] + np.uint64(c + 1))
+                made.append(mixed(value + np.arange(first, dtype=np.uint64) * _A + np.uint64((index * 1009 + number) * int(_B) & (1 << 64) - 1)))
                 some.append(full[:, subset].any(1))
             made, some = np.stack(made, 1), np.stack(some, 1)
             out.append(made[some])
@@ -156,7 +143,7 @@ class Bands:
                 # any spare + 1 ranges that lack elements, with a subset that lacks them in each
                 lacking = [(int(r), int(v)) for r, v in zip(np.nonzero(~some)[0], made[~some])]
                 together = [sum(v for _, v in c) & (1 << 64) - 1 for c in combinations(lacking, spare + 1) if len({r for r, _ in c}) == spare + 1]
-                out.append(_mix(np.array(together, np.uint64) ^ _A))
+                out.append(mixed(np.array(together, np.uint64) ^ _A))
         return np.concatenate(out)
 
 

@@ -74,3 +74,47 @@ def test_spark_rows(spark, library):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.encode_decode(docs.limit(0), PATH).count() == 0
+
+
+class Counted:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, part, **options):
+        self.given += part
+        return self.tokenizer.encode_batch_fast(part, **options)
+
+
+def test_new_words_are_encoded_in_runs(library):
+    encoder = bpe.ByteLevelBPE(PATH)
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    words = [f" wörd{i}x's" for i in range(1000)]
+    assert [list(memoryview(x).cast("I")) for x in encoder.lookup(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(counted.given) == 20  # before: 1000
+
+
+def test_recent_words_outlast_the_cache(library):
+    encoder = bpe.ByteLevelBPE(PATH)
+    encoder.bound, encoder.tokenizer = 200, Counted(encoder.tokenizer)
+    for i in range(0, 3000, 30):
+        words = [" the", " of", *(f" w{k}" for k in range(i, i + 30))]
+        assert [list(memoryview(x).cast("I")) for x in encoder.lookup(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+        assert len(encoder.cache) + len(encoder.older) <= 200
+    assert sum(" the of" in x for x in encoder.tokenizer.given) == 1  # before: at each clearing
+
+
+@pytest.mark.parametrize("bound", [50, 400_000])
+def test_columns_equal_library(library, bound):
+    encoder = bpe.ByteLevelBPE(PATH)
+    encoder.bound = bound
+    for many in ([], [""], ["", " ", "a\0 b", "\0", "x  y", "é "], *(list(some_texts(seed, 60)) for seed in range(20))):
+        ids, starts = encoder.encode_texts(many)
+        want = [library.encode(t, add_special_tokens=False).ids for t in many]
+        assert [ids[p:q].tolist() for p, q in zip(starts, starts[1:])] == want
+        out = bpe._outputs(encoder, ids, starts, ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"))
+        back = [library.decode(w, skip_special_tokens=False) for w in want]
+        assert [x.to_pylist() for x in out[:3]] == [list(map(len, want)), want, back]
+        assert out[3].to_pylist() == [hashlib.sha256(",".join(map(str, w)).encode()).hexdigest() for w in want]
+        assert out[4].to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in back]

@@ -119,3 +119,21 @@ def test_connected_components(spark):
             parent[b] = a
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_words_are_hashed_at_once():
+    """Equal words hash alike wherever they stand and whatever the block, others apart; a text's sets follow."""
+    from lateflow.llm.common import WordHasher
+
+    r = random.Random(9)
+    words = [b"", *(bytes(r.choice(b"ab\x00\x85\xff") for _ in range(r.choice([1, 2, 3, 9, 70]))) for _ in range(3000)), b"w" * 70_000]
+    whole, short = WordHasher(), WordHasher(block=16)
+    for some in ([], words, words[::-1]):
+        text = b"".join(w + bytes([r.choice(b"\t\n\x0b\x0c\r ")]) for w in some)
+        got = whole.words(text).tolist()
+        assert got == short.words(text).tolist()
+        assert len(got) == len(text.split()) and len(set(zip(text.split(), got))) == len(set(got)) == len(set(text.split()))
+    shingler = jaccard.Shingler(3)
+    a, b = (shingler.hashes(t) for t in (b"A b  c\nd e", b"x b c d e"))
+    assert len(a) == len(b) == 3 and len(np.intersect1d(a, b)) == 2 and (np.sort(a) == a).all()
+    assert len(shingler.hashes(b"one two")) == 1 and not len(shingler.hashes(b" \n"))
